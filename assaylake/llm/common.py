@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import saved, ship
+
+__all__ = ["LAST_ID", "SPACES", "WORD", "let", "saved", "table", "tune"]
+
 #: ASCII white space of the word rule; a word is a maximal run of anything else.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,27 +17,12 @@ LAST_ID = 2**63 - 1
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches, so that a worker never holds many long texts at once."""
+    """Bound Arrow batches, so that a worker never holds many long texts at once; give the workers this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     return spark
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir, which all executors share; only where that is unset, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="assaylake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/assaylake-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage, and survives the loss of any executor."""
-    path = scratch(df.sparkSession)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,12 +30,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def let(value: Column, body) -> Column:
     """Bind a costly expression to a lambda variable, so that it is evaluated once."""
     return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
-
-def lower_ascii(c: Column) -> Column:
-    """A-Z to lower case and nothing else."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
