@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def reject_chain(decisions: DataFrame, entity: str, name: str, order: str) -> DataFrame:
+def reject_chain(decisions: DataFrame, entity: str, name: str, order: list[str]) -> DataFrame:
     """(entity, name, position): each entity's rejecting rules in order."""
-    return decisions.select(entity, name, F.row_number().over(Window.partitionBy(entity).orderBy(order)).alias("position"))
+    return decisions.select(entity, name, F.row_number().over(Window.partitionBy(entity).orderBy(*order)).alias("position"))
 
 
 def blocker_summary(chain: DataFrame, entity: str, name: str) -> DataFrame:
@@ -61,7 +61,7 @@ def with_shares(counts: DataFrame, n: str = "n") -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).withColumn("pct", F.round(F.try_divide(F.col(n) * 100.0, F.col("total")), 2))
 
 
-def verdicts(decisions: DataFrame, entity: str, decision: str, code: str, ordinal: str) -> DataFrame:
+def verdicts(decisions: DataFrame, entity: str, decision: str, code: str, order: list[str]) -> DataFrame:
     """(entity, excluded, code): excluded when any rule rejects; the code of the first rejecting rule."""
     rejects: Column = F.col(decision) == "REJECT"
-    return decisions.groupBy(entity).agg(F.bool_or(rejects).alias("excluded"), F.min_by(F.col(code), F.when(rejects, F.col(ordinal))).alias("code"))
+    return decisions.groupBy(entity).agg(F.bool_or(rejects).alias("excluded"), F.min_by(F.col(code), F.when(rejects, F.struct(*order))).alias("code"))
