@@ -113,7 +113,10 @@ def mix_counts(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: the input's columns, one row for each time that a document is taken, in the order of virtual finish times."""
+    """The mix itself: the input's columns, one row for each time that a document is taken, in the order of virtual finish times.
+
+    Rows that repeat an id and a text are each given once for every reading that any of them is taken in.
+    """
     mix = plan_mix(docs, id_col=id_col, **options)
     text_col = options.get("text_col", "text")
     taken = (
@@ -122,7 +125,6 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFra
         .select("_id", "_tie", "_rank", "_shuffle", mix.finish(F.col("_epoch")).alias("_vt"), "_epoch")
         .distinct()
     )
-    # Rows with the same id and text are as many in the input as in the plan: one copy of the plan's item for each.
     named = docs.withColumns({"_mix_id": F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "_mix_tie": F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))})
     items = taken.groupBy(F.coalesce(F.col("_id").cast("string"), F.lit("null")).alias("_mix_id"), F.col("_tie").alias("_mix_tie")).agg(F.collect_set("_epoch").alias("_epochs"), F.min(F.struct("_vt", "_rank", "_shuffle")).alias("_at"))
     joined = named.join(items, ["_mix_id", "_mix_tie"]).withColumn("_epoch", F.explode("_epochs"))

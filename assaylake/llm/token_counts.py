@@ -87,7 +87,7 @@ def count_tokens(blocks: DataFrame, separator: int = 50256) -> DataFrame:
     ended = (
         found.select("file", "block", "ends")
         .join(carried.filter("docs > 0").select("file", "block", "start", "docs_before", "open"), ["file", "block"])
-        .select("file", "docs_before", F.col("open") - F.col("start"), F.posexplode("ends").alias("at", "end"), F.col("ends"), (F.col("open") - F.col("start")).alias("from"))
+        .select("file", "docs_before", F.posexplode("ends").alias("at", "end"), F.col("ends"), (F.col("open") - F.col("start")).alias("from"))
         .select("file", (F.col("docs_before") + F.col("at")).alias("ordinal"), (F.col("end") - F.when(F.col("at") > 0, F.get("ends", F.col("at") - 1) + 1).otherwise(F.col("from"))).alias("n_tokens"), F.lit(True).alias("terminated"))
     )
     files = placed.groupBy("file").agg(F.sum("n").alias("n"), F.sum("docs").alias("ordinal"), F.max(F.col("start") + F.col("last")).alias("last"))
