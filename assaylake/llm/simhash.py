@@ -144,13 +144,14 @@ def _compare(words64: int, min_bytes: int, max_bits: int, cap: int):
                 out.append(np.stack([np.ones_like(ids), ids, ids], axis=1))
             else:
                 fps = np.stack([c.view(np.uint64) for c in columns[2:]], axis=1)
-                octets = _bytes(fps)
-                for i in range(1, len(ids)):  # row by row: memory in proportion to the list
-                    shared = (octets[:i] == octets[i]).sum(axis=1)
-                    near = np.flatnonzero(shared >= min_bytes)
-                    near = near[np.bitwise_count(fps[near] ^ fps[i]).sum(axis=1) <= max_bits]
-                    if len(near):
-                        out.append(np.stack([np.zeros(len(near), np.int64), np.full(len(near), ids[i]), ids[near]], axis=1) if len(near) < 3 else _star(ids[i], ids[near]))
+                octets, found = _bytes(fps), []
+                for i in range(1, len(ids)):  # row by row: memory in proportion to the list and its near pairs
+                    near = np.flatnonzero((octets[:i] == octets[i]).sum(axis=1) >= min_bytes)
+                    bits = np.bitwise_count(fps[near] ^ fps[i]).sum(axis=1)
+                    found += [(d, i, j) for d, j in zip(bits.tolist(), near.tolist(), strict=True) if d <= max_bits]
+                if links := _forest(found, len(ids)):
+                    at = np.array(links)
+                    out.append(np.stack([np.zeros(len(at), np.int64), ids[at[:, 0]], ids[at[:, 1]]], axis=1))
             if len(out) > 2000:
                 yield packed()
                 out.clear()
@@ -159,8 +160,22 @@ def _compare(words64: int, min_bytes: int, max_bits: int, cap: int):
     return run
 
 
-def _star(one: int, others: np.ndarray) -> np.ndarray:
-    return np.stack([np.zeros(len(others), np.int64), np.full(len(others), one), others], axis=1)
+def _forest(pairs: list[tuple[int, int, int]], n: int) -> list[tuple[int, int]]:
+    """Of (distance, i, j), the closest ones that connect what all of them connect: fewer than n links, however many pairs."""
+    root = list(range(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for _, i, j in sorted(pairs):
+        a, b = find(i), find(j)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((i, j))
+    return out
 
 
 def _balls(reach: int):
@@ -205,12 +220,31 @@ def _longer(words64: int, places: list[int]):
     return run
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, words64: int = 1, triples: int = 64, list_cap: int = LIST_CAP) -> DataFrame:
+def _shingles(text: str | None, k: int) -> set[tuple[bytes, ...]]:
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def _verify(shingle: int, min_jaccard: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = _shingles(a, shingle), _shingles(b, shingle)
+                both = len(x & y)
+                keep.append(both >= min_jaccard * (len(x) + len(y) - both))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["_a", "_b"])
+
+    return run
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, words64: int = 1, triples: int = 64, list_cap: int = LIST_CAP, min_jaccard: float | None = None) -> DataFrame:
     """(doc_id, _f0.., component_id): one row an input row; component_id is the smallest id reachable over links.
 
     Two fingerprints link if they differ in at most ``max_bits`` bits. With 64 bits (words64=1) and max_bits up to 4
     no link is lost. With wider fingerprints, for looser thresholds, the index has ``triples`` sets of places and finds
     a pair with the chance that it agrees in one of them; lists over ``list_cap`` are indexed again by one more byte.
+    With ``min_jaccard`` a link must also have that similarity of the two texts' sets of shingles, counted exactly.
     A null or empty text has fingerprint zero and links like any other. Ids are integers; null ids come back as null
     and sort last; repeated rows get the same component. An empty table gives an empty table.
     """
@@ -245,6 +279,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             near = rest.mapInArrow(_postings(places, words64), f"_key long, _id long, {longs}").repartitionByRange("_key", *columns).sortWithinPartitions("_key", *columns)
             more = second.filter("_kind = 0").select("_a", "_b").union(near.mapInArrow(_neighbours(words64, max_bits), "_a long, _b long"))
         links = links.union(more)
+    if min_jaccard is not None:
+        # The closest links of every list are held against the texts; fewer links than listed members, so no hot group is paired out.
+        texts = slim.groupBy("_id").agg(F.min("_text").alias("_text"))
+        left, right = (texts.select(F.col("_id").alias(i), F.col("_text").alias(t)) for i, t in (("_a", "_ta"), ("_b", "_tb")))
+        links = saved(links.distinct()).join(left, "_a").join(right, "_b").select("_a", "_b", "_ta", "_tb").mapInArrow(_verify(shingle, min_jaccard), "_a long, _b long")
     roots = components(links.select(F.col("_a").alias("u"), F.col("_b").alias("v")))
     named = saved(distinct.join(roots, distinct["_rep"] == roots["node"], "left").select(*columns, F.coalesce("root", "_rep").alias("_component")))
     back = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
@@ -267,13 +306,14 @@ def _neighbours(words64: int, max_bits: int, window: int = 64):
     return run
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words64: int = 4, max_bits: int = 40, triples: int = 64) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, min_jaccard: float = 0.8, words64: int = 4, max_bits: int = 54, triples: int = 96) -> DataFrame:
     """The input's rows and columns with one document of each near-duplicate group: the one with the smallest id.
 
-    256-bit fingerprints of 5-word shingles; at most 40 differing bits, which is what a Jaccard similarity of the
-    shingle sets of 0.8 gives on average (angle arccos(2J / (1 + J))). Rows with a null id stay; of repeated rows one stays.
+    Candidates are 256-bit fingerprints of 5-word shingles that meet in the index and differ in at most 54 bits; pairs
+    with a Jaccard similarity of 0.8 differ in 39 on average (angle arccos(2J / (1 + J))), with a deviation of 6. The
+    similarity itself is then counted. Rows with a null id stay; of rows that repeat an id one stays.
     """
-    groups = near_groups(docs, id_col, text_col, shingle, max_bits, words64, triples)
+    groups = near_groups(docs, id_col, text_col, shingle, max_bits, words64, triples, min_jaccard=min_jaccard)
     kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     known = docs.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
     return known.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").union(docs.filter(F.col(id_col).isNull()))
