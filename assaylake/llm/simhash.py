@@ -5,7 +5,8 @@ places. The index lists fingerprints under the values of three byte places; the
 pair with the guaranteed minimum of shared bytes meets in at least one list (a covering design). Within a list the
 shared positional bytes of each pair are tallied, pairs below the guaranteed minimum are dropped, the rest verified by
 their differing bits. Equal fingerprints are one entry, so copies cost nothing. A list that is too long to compare
-within is not compared: its members go to an exact way that is linear in their number (see _balls).
+at once goes to an exact way: narrow fingerprints to one that is linear in the members (see _balls), wide ones are
+linked to their list's first member, and blocks that these links did not join are compared block by block (_blocks).
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, saved, table, tune
@@ -85,7 +86,7 @@ def _bytes(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(fps.astype("<u8")).view(np.uint8).reshape(len(fps), -1)
 
 
-def _postings(triples: list, words64: int):
+def _postings(triples: list, words64: int, carried: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
@@ -94,7 +95,7 @@ def _postings(triples: list, words64: int):
                 b = _bytes(fps).astype(np.int64)
                 keys = np.concatenate([(np.int64(j) << 24) | (b[:, x] << 16) | (b[:, y] << 8) | b[:, z] for j, (x, y, z) in enumerate(triples)])
                 n = len(triples)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(batch.column(0).to_numpy(), n)), *(_signed(np.tile(fps[:, i], n)) for i in range(words64))], names=["_key", "_id", *(f"_f{i}" for i in range(words64))])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(batch.column(0).to_numpy(), n)), *(_signed(np.tile(fps[:, i], n)) for i in range(carried))], names=["_key", "_id", *(f"_f{i}" for i in range(carried))])
 
     return run
 
@@ -128,27 +129,33 @@ def _groups(batches: Iterator[pa.RecordBatch], cap: int):
         yield joined(), not cut
 
 
-def _compare(words64: int, min_bytes: int, max_bits: int, cap: int):
-    """(kind, a, b): links 0 of a member to a smaller one, or, of lists that are too long, their members as kind 1."""
+def _compare(min_bytes: int, max_bits: int, cap: int):
+    """(kind, a, b): links 0 of a member to a smaller one; of lists that are too long, 0 for members near the first one and 1, the list's key and the member, for all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
+        pivot_key, pivot_id, pivot = None, 0, np.zeros(0, np.uint64)
 
         def packed():
             rows = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(3)], names=["_kind", "_a", "_b"])
 
         for columns, whole in _groups(batches, cap):
-            ids = columns[1]
+            keys, ids = columns[:2]
+            fps = np.stack([c.view(np.uint64) for c in columns[2:]], axis=1)
             if not whole:
-                out.append(np.stack([np.ones_like(ids), ids, ids], axis=1))
+                if keys[0] != pivot_key:
+                    pivot_key, pivot_id, pivot = keys[0], ids[0], fps[0]
+                near = ids[(np.bitwise_count(fps ^ pivot).sum(axis=1) <= max_bits) & (ids != pivot_id)]
+                out.append(np.stack([np.zeros_like(near), near, np.full_like(near, pivot_id)], axis=1))
+                out.append(np.stack([np.ones_like(ids), keys, ids], axis=1))
             else:
-                fps = np.stack([c.view(np.uint64) for c in columns[2:]], axis=1)
                 octets, found = _bytes(fps), []
                 for i in range(1, len(ids)):  # row by row: memory in proportion to the list and its near pairs
-                    near = np.flatnonzero((octets[:i] == octets[i]).sum(axis=1) >= min_bytes)
+                    near = np.arange(i) if min_bytes == 0 else np.flatnonzero((octets[:i] == octets[i]).sum(axis=1) >= min_bytes)
                     bits = np.bitwise_count(fps[near] ^ fps[i]).sum(axis=1)
-                    found += [(d, i, j) for d, j in zip(bits.tolist(), near.tolist(), strict=True) if d <= max_bits]
+                    at = np.flatnonzero(bits <= max_bits)
+                    found += [(d, i, j) for d, j in zip(bits[at].tolist(), near[at].tolist(), strict=True)]
                 if links := _forest(found, len(ids)):
                     at = np.array(links)
                     out.append(np.stack([np.zeros(len(at), np.int64), ids[at[:, 0]], ids[at[:, 1]]], axis=1))
@@ -205,21 +212,6 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rest), pa.array(np.full(len(rest), ids.min()))], names=["_a", "_b"])
 
 
-def _longer(words64: int, places: list[int]):
-    """Keys of crowded lists again, with one more byte place each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                fps = np.stack([batch.column(i + 2).to_numpy().view(np.uint64) for i in range(words64)], axis=1)
-                b, key, n = _bytes(fps).astype(np.int64), batch.column(0).to_numpy(), len(places)
-                keys = np.concatenate([(key << 16) ^ (np.int64(p) << 8) ^ b[:, p] for p in places])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(batch.column(1).to_numpy(), n)), *(_signed(np.tile(fps[:, i], n)) for i in range(words64))], names=["_key", "_id", *(f"_f{i}" for i in range(words64))])
-
-    return run
-
-
 def _shingles(text: str | None, k: int) -> set[tuple[bytes, ...]]:
     words = (text or "").encode().lower().split()
     return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
@@ -238,82 +230,83 @@ def _verify(shingle: int, min_jaccard: float):
     return run
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, words64: int = 1, triples: int = 64, list_cap: int = LIST_CAP, min_jaccard: float | None = None) -> DataFrame:
+def _blocks(crowded: DataFrame, joined: DataFrame, entries: DataFrame, block: int) -> DataFrame:
+    """(_key, _id, _f0, ...): each two blocks of a crowded list that ``joined`` did not bring together, under one key.
+
+    The members (_key, _id) of a list are dealt to blocks in the order of their component so far, so that a large group
+    of near copies fills blocks of its own; two blocks that hold one and the same component need no comparison. The
+    work is linear in a group that is already joined, and quadratic only in members that are not.
+    """
+    named = crowded.join(joined.select(F.col("node").alias("_id"), "root"), "_id", "left").withColumn("_c", F.coalesce("root", "_id")).drop("root")
+    at = F.row_number().over(Window.partitionBy("_key").orderBy("_c", "_id"))
+    dealt = saved(named.withColumn("_block", F.floor((at - 1) / block)))
+    spans = saved(dealt.groupBy("_key", "_block").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")))
+    left, right = (spans.select("_key", F.col("_block").alias(f"_{s}"), F.col("_lo").alias(f"_lo{s}"), F.col("_hi").alias(f"_hi{s}")) for s in "xy")
+    apart = left.join(right, "_key").filter("_x <= _y and not (_lox = _hix and _loy = _hiy and _lox = _loy)")
+    two = apart.select("_key", F.xxhash64("_key", "_x", "_y").alias("_two"), F.explode(F.array_distinct(F.array("_x", "_y"))).alias("_block"))
+    return dealt.join(two, ["_key", "_block"]).select(F.col("_two").alias("_key"), "_id").join(entries, "_id").select("_key", "_id", *entries.columns[1:])
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, words64: int = 1, carried: int = 1, triples: int = 64, list_cap: int = LIST_CAP, min_jaccard: float | None = None) -> DataFrame:
     """(doc_id, _f0.., component_id): one row an input row; component_id is the smallest id reachable over links.
 
     Two fingerprints link if they differ in at most ``max_bits`` bits. With 64 bits (words64=1) and max_bits up to 4
     no link is lost. With wider fingerprints, for looser thresholds, the index has ``triples`` sets of places and finds
-    a pair with the chance that it agrees in one of them; lists over ``list_cap`` are indexed again by one more byte.
+    a pair with the chance that it agrees in one of them; the bits counted are then those of the first ``carried`` words.
     With ``min_jaccard`` a link must also have that similarity of the two texts' sets of shingles, counted exactly.
+    Lists over ``list_cap`` members lose nothing (see _balls and _blocks).
     A null or empty text has fingerprint zero and links like any other. Ids are integers; null ids come back as null
     and sort last; repeated rows get the same component. An empty table gives an empty table.
     """
     tune(docs.sparkSession)
     columns = [f"_f{i}" for i in range(words64)]
-    longs = ", ".join(f"{c} long" for c in columns)
+    longs, short = (", ".join(f"_f{i} long" for i in range(n)) for n in (words64, carried))
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_id"), F.col(text_col).alias("_text"))
     marked = saved(slim.mapInArrow(_fingerprints(shingle, words64), f"_id long, {longs}"))
     distinct = saved(marked.groupBy(*columns).agg(F.min("_id").alias("_rep")))
     entries = distinct.select(F.col("_rep").alias("_id"), *columns)
     exact = words64 == 1 and max_bits <= 4
     places = covering_triples(8, 8 - max_bits) if exact else spread_triples(8 * words64, triples)
-    least = 8 - max_bits if exact else 3
-    posted = entries.mapInArrow(_postings(places, words64), f"_key long, _id long, {longs}")
+    least = 8 - max_bits if exact else 0  # wide: the three places of the list, which need not be among the carried
+    texts = saved(slim.groupBy("_id").agg(F.min("_text").alias("_text"))) if min_jaccard is not None else None
+
+    def compare(rows: DataFrame, cap: int) -> DataFrame:
+        return saved(rows.repartition(F.col("_key")).sortWithinPartitions("_key", "_id").mapInArrow(_compare(least, max_bits, cap), "_kind long, _a long, _b long"))
 
-    def compare(rows: DataFrame) -> DataFrame:
-        return saved(rows.repartition(F.col("_key")).sortWithinPartitions("_key", "_id").mapInArrow(_compare(words64, least, max_bits, list_cap), "_kind long, _a long, _b long"))
+    def verified(found: DataFrame) -> DataFrame:
+        links = found.filter("_kind = 0").select("_a", "_b").distinct()
+        if texts is None:
+            return links
+        # The closest links of every list are held against the texts; fewer links than listed members, so no hot group is paired out.
+        left, right = (texts.select(F.col("_id").alias(i), F.col("_text").alias(t)) for i, t in (("_a", "_ta"), ("_b", "_tb")))
+        return saved(saved(links).join(left, "_a").join(right, "_b").select("_a", "_b", "_ta", "_tb").mapInArrow(_verify(shingle, min_jaccard), "_a long, _b long"))
 
-    found = compare(posted)
-    links = found.filter("_kind = 0").select("_a", "_b")
-    crowded = found.filter("_kind = 1").select(F.col("_a").alias("_id")).distinct()
-    if found.filter("_kind = 1").limit(1).count():
-        again = entries.join(crowded, "_id", "left_semi")
+    found = compare(entries.mapInArrow(_postings(places, words64, carried), f"_key long, _id long, {short}"), list_cap)
+    links = verified(found)
+    crowded = found.filter("_kind = 1").select(F.col("_a").alias("_key"), F.col("_b").alias("_id"))
+    edges = lambda d: d.select(F.col("_a").alias("u"), F.col("_b").alias("v"))
+    if crowded.limit(1).count():
         if exact:
-            balls = again.mapInArrow(_balls(max_bits // 2), "_key long, _id long")
+            balls = entries.join(crowded, "_id", "left_semi").mapInArrow(_balls(max_bits // 2), "_key long, _id long")
             more = balls.repartition(F.col("_key")).sortWithinPartitions("_key", "_id").mapInArrow(_stars, "_a long, _b long")
         else:
-            deeper = again.mapInArrow(_postings(places, words64), f"_key long, _id long, {longs}").mapInArrow(_longer(words64, list(range(0, 8 * words64, 4))), f"_key long, _id long, {longs}")
-            second = compare(deeper)
-            # Lists that are crowded even so: members by order of fingerprint, each against its neighbours.
-            rest = entries.join(second.filter("_kind = 1").select(F.col("_a").alias("_id")).distinct(), "_id", "left_semi")
-            near = rest.mapInArrow(_postings(places, words64), f"_key long, _id long, {longs}").repartitionByRange("_key", *columns).sortWithinPartitions("_key", *columns)
-            more = second.filter("_kind = 0").select("_a", "_b").union(near.mapInArrow(_neighbours(words64, max_bits), "_a long, _b long"))
+            block = list_cap // 2
+            more = verified(compare(_blocks(crowded, components(edges(links)), entries.select("_id", *columns[:carried]), block), 4 * block))
         links = links.union(more)
-    if min_jaccard is not None:
-        # The closest links of every list are held against the texts; fewer links than listed members, so no hot group is paired out.
-        texts = slim.groupBy("_id").agg(F.min("_text").alias("_text"))
-        left, right = (texts.select(F.col("_id").alias(i), F.col("_text").alias(t)) for i, t in (("_a", "_ta"), ("_b", "_tb")))
-        links = saved(links.distinct()).join(left, "_a").join(right, "_b").select("_a", "_b", "_ta", "_tb").mapInArrow(_verify(shingle, min_jaccard), "_a long, _b long")
-    roots = components(links.select(F.col("_a").alias("u"), F.col("_b").alias("v")))
+    roots = components(edges(links))
     named = saved(distinct.join(roots, distinct["_rep"] == roots["node"], "left").select(*columns, F.coalesce("root", "_rep").alias("_component")))
     back = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
     return marked.join(named, columns).select(back("_id").alias("doc_id"), *columns, back("_component").alias("component_id"))
 
 
-def _neighbours(words64: int, max_bits: int, window: int = 64):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, fps = np.zeros(0, np.int64), np.zeros((0, words64), np.uint64)
-        for batch in batches:
-            ids = np.concatenate([ids[-window:], batch.column(1).to_numpy()])
-            fps = np.concatenate([fps[-window:], np.stack([batch.column(i + 2).to_numpy().view(np.uint64) for i in range(words64)], axis=1)])
-            pairs = [np.zeros((0, 2), np.int64)]
-            for k in range(1, min(window, len(ids) - 1) + 1):
-                near = np.flatnonzero(np.bitwise_count(fps[k:] ^ fps[:-k]).sum(axis=1) <= max_bits)
-                pairs.append(np.stack([ids[k:][near], ids[:-k][near]], axis=1))
-            rows = np.unique(np.concatenate(pairs), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(2)], names=["_a", "_b"])
-
-    return run
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, min_jaccard: float = 0.8, words64: int = 4, max_bits: int = 54, triples: int = 96) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, min_jaccard: float = 0.8, words64: int = 4, carried: int = 2, max_bits: int = 32, triples: int = 160) -> DataFrame:
     """The input's rows and columns with one document of each near-duplicate group: the one with the smallest id.
 
-    Candidates are 256-bit fingerprints of 5-word shingles that meet in the index and differ in at most 54 bits; pairs
-    with a Jaccard similarity of 0.8 differ in 39 on average (angle arccos(2J / (1 + J))), with a deviation of 6. The
-    similarity itself is then counted. Rows with a null id stay; of rows that repeat an id one stays.
+    Candidates are 256-bit fingerprints of 5-word shingles that meet in the index and differ in at most 32 of the first
+    128 bits; pairs with a Jaccard similarity of 0.8 differ in 19.5 on average (angle arccos(2J / (1 + J))), with a
+    deviation of 4. The similarity itself is then counted. Rows with a null id stay; of rows that repeat an id one stays.
     """
-    groups = near_groups(docs, id_col, text_col, shingle, max_bits, words64, triples, min_jaccard=min_jaccard)
+    groups = near_groups(docs, id_col, text_col, shingle, max_bits, words64, carried, triples, min_jaccard=min_jaccard)
     kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     known = docs.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
     return known.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").union(docs.filter(F.col(id_col).isNull()))

@@ -271,6 +271,17 @@ def test_simhash(spark, small):
     assert {r["doc_id"]: r["component_id"] for r in rows_of(near_groups(docs, list_cap=2))} == want  # every list is crowded: the exact way alone
 
 
+def test_simhash_crowded_wide_lists_lose_nothing(spark, small):
+    from assaylake.llm.simhash import near_groups
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    wide = {"shingle": 5, "words64": 4, "carried": 2, "max_bits": 40, "triples": 24}
+    want = {r["doc_id"]: r["component_id"] for r in rows_of(near_groups(docs, **wide))}
+    assert len(set(want.values())) < len(want)
+    for cap in (2, 8):
+        assert {r["doc_id"]: r["component_id"] for r in rows_of(near_groups(docs, list_cap=cap, **wide))} == want
+
+
 def test_simhash_odd_rows(odd, empty):
     from assaylake.llm.simhash import drop_near_copies, near_groups
 
