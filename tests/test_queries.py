@@ -1,3 +1,4 @@
+import assaylake.plans.marts  # noqa: F401  registers its queries
 import pytest
 from assaylake.plans.queries import QUERIES, SQL
 
