@@ -275,7 +275,7 @@ def test_simhash_crowded_wide_lists_lose_nothing(spark, small):
     from assaylake.llm.simhash import near_groups
 
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
-    wide = {"shingle": 5, "words64": 4, "carried": 2, "max_bits": 40, "triples": 24}
+    wide = {"shingle": 5, "words64": 4, "max_bits": 20, "triples": 24}
     want = {r["doc_id"]: r["component_id"] for r in rows_of(near_groups(docs, **wide))}
     assert len(set(want.values())) < len(want)
     for cap in (2, 8):
