@@ -262,32 +262,36 @@ def _verify(shingle: int, min_jaccard: float):
     return run
 
 
-def _similar(near: DataFrame, texts: DataFrame, shingle: int, min_jaccard: float, links: DataFrame | None) -> DataFrame:
-    """Links (_a, _b) that, with ``links``, connect what all of ``near`` connect that have the similarity.
+def _similar(near: DataFrame, texts: DataFrame, shingle: int, min_jaccard: float, roots: DataFrame | None) -> DataFrame:
+    """Links (_a, _b) that, with what ``roots`` joined, connect what all of ``near`` connect that have the similarity.
 
-    First each text is held against the one that it meets most often, then each group against the one that it meets
-    most often, then all that is left between different groups: a large group of copies is not compared pair by pair.
+    First each text is held against the one that it meets most often, then what is left between different groups: a
+    large group of copies is not compared pair by pair.
     """
     counted = saved(near.groupBy("_a", "_b").agg(F.count("*").alias("_n")))
-    edges = lambda d: d.select(F.col("_a").alias("u"), F.col("_b").alias("v"))
-    for step in range(3):
-        left = counted.withColumns({"_ra": F.col("_a"), "_rb": F.col("_b")})
-        if links is not None:
-            roots = components(edges(links))
-            for c in "ab":
-                left = left.drop(f"_r{c}").join(roots.select(F.col("node").alias(f"_{c}"), F.col("root").alias("_root")), f"_{c}", "left").withColumn(f"_r{c}", F.coalesce("_root", f"_{c}")).drop("_root")
-            left = saved(left.filter("_ra <> _rb"))
-        if step < 2:
-            sides = [left.select(F.col(f"_r{c}").alias("_r"), F.struct(-F.col("_n"), "_b", "_a").alias("_best")) for c in "ab"]
-            left = sides[0].union(sides[1]).groupBy("_r").agg(F.min("_best").alias("_best")).select("_best._a", "_best._b").distinct()
-        chosen = saved(left.select("_a", "_b"))
+
+    def held(chosen: DataFrame) -> DataFrame:
         used = chosen.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct()
-        held = texts.join(used, "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text"))
-        one, two = (held.select(F.col("_id").alias(f"_{c}"), F.col("_text").alias(f"_t{c}")) for c in "ab")
-        passed = saved(chosen.join(one, "_a").join(two, "_b").select("_a", "_b", "_ta", "_tb").mapInArrow(_verify(shingle, min_jaccard), "_a long, _b long"))
-        # What was held against each other once is not so again.
-        counted, links = counted.join(chosen, ["_a", "_b"], "left_anti"), passed if links is None else links.union(passed)
-    return links
+        whole = texts.join(used, "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text"))
+        one, two = (whole.select(F.col("_id").alias(f"_{c}"), F.col("_text").alias(f"_t{c}")) for c in "ab")
+        return saved(chosen.join(one, "_a").join(two, "_b").select("_a", "_b", "_ta", "_tb").mapInArrow(_verify(shingle, min_jaccard), "_a long, _b long"))
+
+    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        for c in "ab":
+            pairs = pairs.join(roots.select(F.col("node").alias(f"_{c}"), F.col("root").alias(f"_r{c}")), f"_{c}", "left")
+        return pairs.filter("coalesce(_ra, _a) <> coalesce(_rb, _b)").select("_a", "_b", "_n")
+
+    if roots is not None:
+        return held(saved(apart(counted, roots)))
+    sides = [counted.select(F.col(c).alias("_r"), F.struct(-F.col("_n"), "_b", "_a").alias("_best")) for c in ("_a", "_b")]
+    first = saved(sides[0].union(sides[1]).groupBy("_r").agg(F.min("_best").alias("_best")).select("_best._a", "_best._b").distinct())
+    links = held(first)
+    rest = apart(counted.join(first, ["_a", "_b"], "left_anti"), components(_edges(links)))
+    return links.union(held(saved(rest)))
+
+
+def _edges(links: DataFrame) -> DataFrame:
+    return links.select(F.col("_a").alias("u"), F.col("_b").alias("v"))
 
 
 def _blocks(crowded: DataFrame, joined: DataFrame, entries: DataFrame, block: int) -> DataFrame:
@@ -330,14 +334,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     exact = words64 == 1 and max_bits <= 4
     places = covering_triples(8, 8 - max_bits) if exact else spread_triples(8 * words64, triples)
     least = 8 - max_bits if exact else 0  # wide: the three places of the list, which need not be in the carried word
-    edges = lambda d: d.select(F.col("_a").alias("u"), F.col("_b").alias("v"))
 
     def compare(rows: DataFrame, cap: int) -> DataFrame:
         return saved(rows.repartition(F.col("_key")).sortWithinPartitions("_key", "_id").mapInArrow(_compare(least, max_bits, cap), "_kind long, _a long, _b long"))
 
-    def verified(found: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    def verified(found: DataFrame, roots: DataFrame | None = None) -> DataFrame:
         near = found.filter("_kind = 0")
-        return near.select("_a", "_b").distinct() if min_jaccard is None else _similar(near, slim, shingle, min_jaccard, links)
+        return near.select("_a", "_b").distinct() if min_jaccard is None else _similar(near, slim, shingle, min_jaccard, roots)
 
     found = compare(entries.mapInArrow(_postings(places, words64), "_key long, _id long, _f long"), list_cap)
     links = verified(found)
@@ -347,10 +350,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             balls = entries.join(crowded, "_id", "left_semi").mapInArrow(_balls(max_bits // 2), "_key long, _id long")
             more = balls.repartition(F.col("_key")).sortWithinPartitions("_key", "_id").mapInArrow(_stars, "_a long, _b long")
         else:
-            block = list_cap // 2
-            more = verified(compare(_blocks(crowded, components(edges(links)), entries, block), 4 * block), links)
+            block, joined = list_cap // 2, saved(components(_edges(links)))
+            more = verified(compare(_blocks(crowded, joined, entries, block), 4 * block), joined)
         links = links.union(more)
-    roots = components(edges(links))
+    roots = components(_edges(links))
     named = saved(distinct.join(roots, distinct["_rep"] == roots["node"], "left").select(*columns, F.coalesce("root", "_rep").alias("_component")))
     back = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
     return marked.join(named, columns).select(back("_id").alias("doc_id"), *columns, back("_component").alias("component_id"))
