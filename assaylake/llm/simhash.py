@@ -39,33 +39,45 @@ def _mixed(h: np.ndarray, n: int) -> np.ndarray:
     return x
 
 
-def fingerprint(text: str | None, shingle: int, words64: int = 1) -> np.ndarray:
-    """SimHash of words64 * 64 bits as uint64: bit i is 1 if it is set in over half the shingles' XXH64 (seed 42), from word 1 on in its mixed values."""
+def _hashed(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle, repeats too."""
     words = (text or "").encode().lower().split()  # on bytes: A-Z only, and exactly the ASCII white space
     if not words:
-        return np.zeros(words64, np.uint64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(shingle, len(words))
     starts, ends = starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
+    return np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends, strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int, words64: int = 1, distinct: bool = False) -> np.ndarray:
+    """SimHash of words64 * 64 bits as uint64: bit i is 1 if it is set in over half the shingles' XXH64 (seed 42), from word 1 on in its mixed values.
+
+    With ``distinct`` each shingle counts once, however often the text repeats it.
+    """
+    hashes = _hashed(text, shingle)
+    return _folded(np.unique(hashes) if distinct else hashes, words64)
+
+
+def _folded(hashes: np.ndarray, words64: int) -> np.ndarray:
     total = np.zeros(64 * words64, np.int64)
-    for at in range(0, len(starts), STRIDE):
-        hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts[at : at + STRIDE], ends[at : at + STRIDE], strict=True)], np.uint64)
-        bits = np.unpackbits(_bytes(_mixed(hashes, words64)), axis=1, bitorder="little")
+    for at in range(0, len(hashes), STRIDE):
+        bits = np.unpackbits(_bytes(_mixed(hashes[at : at + STRIDE], words64)), axis=1, bitorder="little")
         for i in range(0, len(bits), 255):
             total += bits[i : i + 255].sum(axis=0, dtype=np.uint8)
-    return np.packbits(total * 2 > len(starts), bitorder="little").view("<u8").astype(np.uint64)
+    return np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8").astype(np.uint64)
 
 
 def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.astype(np.uint64).view(np.int64))
 
 
-def _fingerprints(shingle: int, words64: int):
+def _fingerprints(shingle: int, words64: int, distinct: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle, words64) for t in batch.column(1)], np.uint64).reshape(-1, words64)
+            fps = np.array([fingerprint(t.as_py(), shingle, words64, distinct) for t in batch.column(1)], np.uint64).reshape(-1, words64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(_signed(fps[:, i]) for i in range(words64))], names=["_id", *(f"_f{i}" for i in range(words64))])
 
     return run
@@ -320,7 +332,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     no link is lost. With wider fingerprints, for looser thresholds, the index has ``triples`` sets of places and finds
     a pair with the chance that it agrees in one of them; the bits counted are then those of one word, another one from
     list to list, so that chance in one word does not decide.
-    With ``min_jaccard`` a link must also have that similarity of the two texts' sets of shingles, counted exactly.
+    With ``min_jaccard`` a link must also have that similarity of the two texts' sets of shingles, counted exactly; the
+    fingerprints are then those of the sets, so that repeats decide nothing.
     Lists over ``list_cap`` members lose nothing (see _balls and _blocks).
     A null or empty text has fingerprint zero and links like any other. Ids are integers; null ids come back as null
     and sort last; repeated rows get the same component. An empty table gives an empty table.
@@ -328,7 +341,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tune(docs.sparkSession)
     columns = [f"_f{i}" for i in range(words64)]
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_id"), F.col(text_col).alias("_text"))
-    marked = saved(slim.mapInArrow(_fingerprints(shingle, words64), f"_id long, {', '.join(f'{c} long' for c in columns)}"))
+    marked = saved(slim.mapInArrow(_fingerprints(shingle, words64, min_jaccard is not None), f"_id long, {', '.join(f'{c} long' for c in columns)}"))
     distinct = saved(marked.groupBy(*columns).agg(F.min("_id").alias("_rep")))
     entries = distinct.select(F.col("_rep").alias("_id"), *columns)
     exact = words64 == 1 and max_bits <= 4

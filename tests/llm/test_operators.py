@@ -308,6 +308,25 @@ def test_near_copies_are_caught(spark):
     assert kept == {2 * i for i in range(60)}
 
 
+def kept_of(spark, rows):
+    from assaylake.llm.simhash import drop_near_copies
+
+    return {r.doc_id for r in drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_repeats_hide_no_near_copy(spark):
+    """The rule is about sets of shingles: a run of 5 or of 104 equal tokens is one shingle in both texts."""
+    import random
+
+    rng, rows = random.Random(3), []
+    for i in range(60):
+        words = [f"w{rng.randint(0, 50_000)}" for _ in range(300)]
+        near = list(words)
+        near[rng.randrange(300)] = "changed"
+        rows += [(2 * i, " ".join(words + ["-"] * 5)), (2 * i + 1, " ".join((near if i % 2 else words) + ["-"] * 104))]
+    assert kept_of(spark, rows) == {2 * i for i in range(60)}
+
+
 def test_components_of_a_long_path(spark):
     from assaylake.llm.components import components
 
