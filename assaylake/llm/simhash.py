@@ -4,7 +4,7 @@ A fingerprint is a row of bytes. Fingerprints that differ in at most d bits shar
 places. The index lists fingerprints under the values of three byte places; the sets of places are chosen so that any
 pair with the guaranteed minimum of shared bytes meets in at least one list (a covering design). Within a list the
 shared positional bytes of each pair are tallied, pairs below the guaranteed minimum are dropped, the rest verified by
-their differing bits. Equal fingerprints are one entry, so copies cost nothing. A list that is too long to compare
+their differing bits. Equal fingerprints (equal sets of shingles, where the similarity counts) are one entry, so copies cost nothing. A list that is too long to compare
 at once goes to an exact way: narrow fingerprints to one that is linear in the members (see _balls), wide ones are
 linked to their list's first member, and blocks that these links did not join are compared block by block (_blocks).
 """
@@ -52,16 +52,8 @@ def _hashed(text: str | None, shingle: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends, strict=True)], np.uint64)
 
 
-def fingerprint(text: str | None, shingle: int, words64: int = 1, distinct: bool = False) -> np.ndarray:
-    """SimHash of words64 * 64 bits as uint64: bit i is 1 if it is set in over half the shingles' XXH64 (seed 42), from word 1 on in its mixed values.
-
-    With ``distinct`` each shingle counts once, however often the text repeats it.
-    """
-    hashes = _hashed(text, shingle)
-    return _folded(np.unique(hashes) if distinct else hashes, words64)
-
-
 def _folded(hashes: np.ndarray, words64: int) -> np.ndarray:
+    """SimHash of words64 * 64 bits as uint64: bit i is 1 if it is set in over half the hashes, from word 1 on in their mixed values."""
     total = np.zeros(64 * words64, np.int64)
     for at in range(0, len(hashes), STRIDE):
         bits = np.unpackbits(_bytes(_mixed(hashes[at : at + STRIDE], words64)), axis=1, bitorder="little")
@@ -74,11 +66,20 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.astype(np.uint64).view(np.int64))
 
 
-def _fingerprints(shingle: int, words64: int, distinct: bool):
+def _fingerprints(shingle: int, words64: int, names: list[str]):
+    """(_id, *names): the fingerprint's words and, where ``names`` has two more, a 128-bit hash of the set of shingles; the fingerprint is the set's then."""
+    sets = len(names) > words64
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle, words64, distinct) for t in batch.column(1)], np.uint64).reshape(-1, words64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(_signed(fps[:, i]) for i in range(words64))], names=["_id", *(f"_f{i}" for i in range(words64))])
+            rows = []
+            for t in batch.column(1):
+                hashes = _hashed(t.as_py(), shingle)
+                if sets:
+                    hashes = np.unique(hashes)
+                rows.append(np.concatenate([_folded(hashes, words64), np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), "<u8") if sets else np.zeros(0, np.uint64)]))
+            fps = np.array(rows, np.uint64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(_signed(fps[:, i]) for i in range(len(names)))], names=["_id", *names])
 
     return run
 
@@ -333,16 +334,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a pair with the chance that it agrees in one of them; the bits counted are then those of one word, another one from
     list to list, so that chance in one word does not decide.
     With ``min_jaccard`` a link must also have that similarity of the two texts' sets of shingles, counted exactly; the
-    fingerprints are then those of the sets, so that repeats decide nothing.
+    fingerprints are then those of the sets, so that repeats decide nothing, and only equal sets are one entry.
     Lists over ``list_cap`` members lose nothing (see _balls and _blocks).
     A null or empty text has fingerprint zero and links like any other. Ids are integers; null ids come back as null
     and sort last; repeated rows get the same component. An empty table gives an empty table.
     """
     tune(docs.sparkSession)
     columns = [f"_f{i}" for i in range(words64)]
+    names = columns if min_jaccard is None else [*columns, "_s0", "_s1"]
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_id"), F.col(text_col).alias("_text"))
-    marked = saved(slim.mapInArrow(_fingerprints(shingle, words64, min_jaccard is not None), f"_id long, {', '.join(f'{c} long' for c in columns)}"))
-    distinct = saved(marked.groupBy(*columns).agg(F.min("_id").alias("_rep")))
+    marked = saved(slim.mapInArrow(_fingerprints(shingle, words64, names), f"_id long, {', '.join(f'{c} long' for c in names)}"))
+    distinct = saved(marked.groupBy(*names).agg(F.min("_id").alias("_rep")))
     entries = distinct.select(F.col("_rep").alias("_id"), *columns)
     exact = words64 == 1 and max_bits <= 4
     places = covering_triples(8, 8 - max_bits) if exact else spread_triples(8 * words64, triples)
@@ -367,9 +369,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             more = verified(compare(_blocks(crowded, joined, entries, block), 4 * block), joined)
         links = links.union(more)
     roots = components(_edges(links))
-    named = saved(distinct.join(roots, distinct["_rep"] == roots["node"], "left").select(*columns, F.coalesce("root", "_rep").alias("_component")))
+    named = saved(distinct.join(roots, distinct["_rep"] == roots["node"], "left").select(*names, F.coalesce("root", "_rep").alias("_component")))
     back = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
-    return marked.join(named, columns).select(back("_id").alias("doc_id"), *columns, back("_component").alias("component_id"))
+    return marked.join(named, names).select(back("_id").alias("doc_id"), *columns, back("_component").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, min_jaccard: float = 0.8, words64: int = 16, max_bits: int = 17, triples: int = 224) -> DataFrame:

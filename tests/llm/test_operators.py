@@ -327,6 +327,25 @@ def test_repeats_hide_no_near_copy(spark):
     assert kept_of(spark, rows) == {2 * i for i in range(60)}
 
 
+def test_equal_fingerprints_need_the_similarity(spark):
+    """Equal fingerprints of different sets of shingles are no link by themselves; equal sets are."""
+    import random
+
+    from assaylake.llm.simhash import near_groups
+
+    rng, rows = random.Random(4), []
+    for i in range(40):  # one word of 1,000 changed: about a quarter have the same 64 bits
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(1000)]
+        near = list(words)
+        near[rng.randrange(1000)] = "changed"
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(near)), (3 * i + 2, "  ".join(words).upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_groups(docs, shingle=5, min_jaccard=1.0).collect()}
+    assert got == {i: i - 2 if i % 3 == 2 else i for i in range(120)}
+    run = [(i, " ".join([f"w{rng.randint(0, 10**6)}" for _ in range(400)] + ["-"] * 84)) for i in range(40)]
+    assert kept_of(spark, run) == set(range(40))
+
+
 def test_components_of_a_long_path(spark):
     from assaylake.llm.components import components
 
