@@ -190,8 +190,11 @@ def _forest(fps: np.ndarray, min_bytes: int, max_bits: int) -> list[tuple[int, i
     return links
 
 
-def _compare(min_bytes: int, max_bits: int, cap: int):
-    """(kind, a, b): links 0 of a list's members; of lists that are too long, 0 for members near the first one and 1, the list's key and the member, for all."""
+def _compare(min_bytes: int, max_bits: int, cap: int, hidden: bool = False):
+    """(kind, a, b): links 0 of a list's members; of lists that are too long, 0 for members near the first one and 1, the list's key and the member, for all.
+
+    With ``hidden`` also 1 for the linked members of other lists with two links or more, as these may stand for more links than are given.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
@@ -219,6 +222,9 @@ def _compare(min_bytes: int, max_bits: int, cap: int):
             elif links := _forest(fps, min_bytes, max_bits):
                 at = np.array(links)
                 link(ids[at[:, 0]], ids[at[:, 1]])
+                if hidden and len(at) > 1:
+                    linked = ids[np.unique(at)]
+                    out.append(np.stack([np.ones_like(linked), np.full_like(linked, keys[0]), linked], axis=1))
             if len(out) > 2000:
                 yield packed()
                 out.clear()
@@ -227,6 +233,30 @@ def _compare(min_bytes: int, max_bits: int, cap: int):
     return run
 
 
+def _pairs(max_bits: int, cap: int):
+    """(_a, _b): all near pairs of different components in each list of (_key, _id, _f, _c, _block); of a list of two blocks those between them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, ids, signed, named, blocks), kind in _groups(batches, cap):
+            fps, out = signed.view(np.uint64), []
+            if kind == "pairs":
+                near = (np.bitwise_count(fps[::2] ^ fps[1::2]) <= max_bits) & (named[::2] != named[1::2])
+                out.append((ids[::2][near], ids[1::2][near]))
+            else:
+                two = blocks.min() != blocks.max()
+                for i in range(len(ids) - 1):
+                    near = (np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= max_bits) & (named[i + 1 :] != named[i])
+                    if two:
+                        near &= blocks[i + 1 :] != blocks[i]
+                    other = ids[i + 1 :][near]
+                    out.append((np.full_like(other, ids[i]), other))
+            a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["_a", "_b"])
+
+    return run
+
+
 def _balls(reach: int):
     """Every fingerprint at ``reach`` differing bits or fewer from each row's, with the row's id.
 
@@ -275,32 +305,28 @@ def _verify(shingle: int, min_jaccard: float):
     return run
 
 
-def _similar(near: DataFrame, texts: DataFrame, shingle: int, min_jaccard: float, roots: DataFrame | None) -> DataFrame:
-    """Links (_a, _b) that, with what ``roots`` joined, connect what all of ``near`` connect that have the similarity.
+def _held(pairs: DataFrame, texts: DataFrame, shingle: int, min_jaccard: float) -> DataFrame:
+    """Those of the pairs (_a, _b) that have the similarity."""
+    used = pairs.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct()
+    whole = texts.join(used, "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text"))
+    one, two = (whole.select(F.col("_id").alias(f"_{c}"), F.col("_text").alias(f"_t{c}")) for c in "ab")
+    return saved(pairs.join(one, "_a").join(two, "_b").select("_a", "_b", "_ta", "_tb").mapInArrow(_verify(shingle, min_jaccard), "_a long, _b long"))
+
+
+def _similar(counted: DataFrame, texts: DataFrame, shingle: int, min_jaccard: float) -> DataFrame:
+    """Links (_a, _b) that connect what all pairs (_a, _b, _n) connect that have the similarity.
 
     First each text is held against the one that it meets most often, then what is left between different groups: a
     large group of copies is not compared pair by pair.
     """
-    counted = saved(near.groupBy("_a", "_b").agg(F.count("*").alias("_n")))
-
-    def held(chosen: DataFrame) -> DataFrame:
-        used = chosen.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct()
-        whole = texts.join(used, "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text"))
-        one, two = (whole.select(F.col("_id").alias(f"_{c}"), F.col("_text").alias(f"_t{c}")) for c in "ab")
-        return saved(chosen.join(one, "_a").join(two, "_b").select("_a", "_b", "_ta", "_tb").mapInArrow(_verify(shingle, min_jaccard), "_a long, _b long"))
-
-    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        for c in "ab":
-            pairs = pairs.join(roots.select(F.col("node").alias(f"_{c}"), F.col("root").alias(f"_r{c}")), f"_{c}", "left")
-        return pairs.filter("coalesce(_ra, _a) <> coalesce(_rb, _b)").select("_a", "_b", "_n")
-
-    if roots is not None:
-        return held(saved(apart(counted, roots)))
     sides = [counted.select(F.col(c).alias("_r"), F.struct(-F.col("_n"), "_b", "_a").alias("_best")) for c in ("_a", "_b")]
     first = saved(sides[0].union(sides[1]).groupBy("_r").agg(F.min("_best").alias("_best")).select("_best._a", "_best._b").distinct())
-    links = held(first)
-    rest = apart(counted.join(first, ["_a", "_b"], "left_anti"), components(_edges(links)))
-    return links.union(held(saved(rest)))
+    links = _held(first, texts, shingle, min_jaccard)
+    rest, roots = counted.join(first, ["_a", "_b"], "left_anti"), components(_edges(links))
+    for c in "ab":
+        rest = rest.join(roots.select(F.col("node").alias(f"_{c}"), F.col("root").alias(f"_r{c}")), f"_{c}", "left")
+    rest = rest.filter("coalesce(_ra, _a) <> coalesce(_rb, _b)").select("_a", "_b")
+    return links.union(_held(saved(rest), texts, shingle, min_jaccard))
 
 
 def _edges(links: DataFrame) -> DataFrame:
@@ -308,13 +334,15 @@ def _edges(links: DataFrame) -> DataFrame:
 
 
 def _blocks(crowded: DataFrame, joined: DataFrame, entries: DataFrame, block: int) -> DataFrame:
-    """(_key, _id, _f): each two blocks of a crowded list that ``joined`` did not bring together, under one key.
+    """(_key, _id, _f, _c, _block): each two blocks of a list that ``joined`` did not bring together, under one key, with the members' components so far.
 
     The members (_key, _id) of a list are dealt to blocks in the order of their component so far, so that a large group
     of near copies fills blocks of its own; two blocks that hold one and the same component need no comparison. The
     work is linear in a group that is already joined, and quadratic only in members that are not.
     """
     named = crowded.join(joined.select(F.col("node").alias("_id"), "root"), "_id", "left").withColumn("_c", F.coalesce("root", "_id")).drop("root")
+    named = saved(named)
+    named = named.join(named.groupBy("_key").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).filter("_lo < _hi"), "_key", "left_semi")
     at = F.row_number().over(Window.partitionBy("_key").orderBy("_c", "_id"))
     dealt = saved(named.withColumn("_block", F.floor((at - 1) / block)))
     spans = saved(dealt.groupBy("_key", "_block").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")))
@@ -323,7 +351,7 @@ def _blocks(crowded: DataFrame, joined: DataFrame, entries: DataFrame, block: in
     two = apart.select("_key", F.xxhash64("_key", "_x", "_y").alias("_two"), F.explode(F.array_distinct(F.array("_x", "_y"))).alias("_block"))
     words = entries.columns[1:]
     carried = F.element_at(F.array(*words), (F.shiftright("_list", 24) % len(words) + 1).cast("int"))  # as _postings has it
-    return dealt.join(two, ["_key", "_block"]).select("_two", F.col("_key").alias("_list"), "_id").join(entries, "_id").select(F.col("_two").alias("_key"), "_id", carried.alias("_f"))
+    return dealt.join(two, ["_key", "_block"]).select("_two", F.col("_key").alias("_list"), "_id", "_c", "_block").join(entries, "_id").select(F.col("_two").alias("_key"), "_id", carried.alias("_f"), "_c", "_block")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, words64: int = 1, triples: int = 64, list_cap: int = LIST_CAP, min_jaccard: float | None = None) -> DataFrame:
@@ -335,7 +363,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     list to list, so that chance in one word does not decide.
     With ``min_jaccard`` a link must also have that similarity of the two texts' sets of shingles, counted exactly; the
     fingerprints are then those of the sets, so that repeats decide nothing, and only equal sets are one entry.
-    Lists over ``list_cap`` members lose nothing (see _balls and _blocks).
+    Lists over ``list_cap`` members lose nothing (see _balls and _blocks). A list gives a spanning forest first; after
+    these links are verified, all its near pairs that are still apart are, so that a rejected link hides no other.
     A null or empty text has fingerprint zero and links like any other. Ids are integers; null ids come back as null
     and sort last; repeated rows get the same component. An empty table gives an empty table.
     """
@@ -350,24 +379,29 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     places = covering_triples(8, 8 - max_bits) if exact else spread_triples(8 * words64, triples)
     least = 8 - max_bits if exact else 0  # wide: the three places of the list, which need not be in the carried word
 
-    def compare(rows: DataFrame, cap: int) -> DataFrame:
-        return saved(rows.repartition(F.col("_key")).sortWithinPartitions("_key", "_id").mapInArrow(_compare(least, max_bits, cap), "_kind long, _a long, _b long"))
-
-    def verified(found: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-        near = found.filter("_kind = 0")
-        return near.select("_a", "_b").distinct() if min_jaccard is None else _similar(near, slim, shingle, min_jaccard, roots)
-
-    found = compare(entries.mapInArrow(_postings(places, words64), "_key long, _id long, _f long"), list_cap)
-    links = verified(found)
-    crowded = found.filter("_kind = 1").select(F.col("_a").alias("_key"), F.col("_b").alias("_id"))
-    if crowded.limit(1).count():
-        if exact:
-            balls = entries.join(crowded, "_id", "left_semi").mapInArrow(_balls(max_bits // 2), "_key long, _id long")
-            more = balls.repartition(F.col("_key")).sortWithinPartitions("_key", "_id").mapInArrow(_stars, "_a long, _b long")
+    def lists(rows: DataFrame, run, schema: str = "_kind long, _a long, _b long") -> DataFrame:
+        return saved(rows.repartition(F.col("_key")).sortWithinPartitions("_key", "_id").mapInArrow(run, schema))
+
+    found = lists(entries.mapInArrow(_postings(places, words64), "_key long, _id long, _f long"), _compare(least, max_bits, list_cap, hidden=min_jaccard is not None))
+    links = found.filter("_kind = 0").select("_a", "_b")
+    if min_jaccard is None:
+        links = links.distinct()
+    else:
+        counted = saved(links.groupBy("_a", "_b").agg(F.count("*").alias("_n")))
+        links = _similar(counted, slim, shingle, min_jaccard)
+    more = found.filter("_kind = 1").select(F.col("_a").alias("_key"), F.col("_b").alias("_id"))
+    if more.limit(1).count():
+        if exact and min_jaccard is None:
+            balls = entries.join(more, "_id", "left_semi").mapInArrow(_balls(max_bits // 2), "_key long, _id long")
+            links = links.union(balls.repartition(F.col("_key")).sortWithinPartitions("_key", "_id").mapInArrow(_stars, "_a long, _b long"))
         else:
-            block, joined = list_cap // 2, saved(components(_edges(links)))
-            more = verified(compare(_blocks(crowded, joined, entries, block), 4 * block), joined)
-        links = links.union(more)
+            block = max(1, list_cap // 2)
+            apart = _blocks(more, saved(components(_edges(links))), entries, block)
+            if min_jaccard is None:
+                links = links.union(lists(apart.drop("_c", "_block"), _compare(least, max_bits, 4 * block)).filter("_kind = 0").select("_a", "_b"))
+            else:  # every near pair between what the verified links left apart
+                pairs = lists(apart, _pairs(max_bits, 4 * block), "_a long, _b long").distinct()
+                links = links.union(_held(saved(pairs.join(counted, ["_a", "_b"], "left_anti")), slim, shingle, min_jaccard))
     roots = components(_edges(links))
     named = saved(distinct.join(roots, distinct["_rep"] == roots["node"], "left").select(*names, F.coalesce("root", "_rep").alias("_component")))
     back = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))

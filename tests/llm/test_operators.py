@@ -346,6 +346,41 @@ def test_equal_fingerprints_need_the_similarity(spark):
     assert kept_of(spark, run) == set(range(40))
 
 
+def kept_by_force(rows, k=5, least=0.8):
+    """Ids that stay: the least of each group that links of similarity ``least`` connect, all pairs compared."""
+    sets, root = {}, {}
+    for i, t in rows:
+        w = WORD.findall(lower(t or ""))
+        sets[i], root[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set(), i
+    find = lambda x: x if root[x] == x else find(root[x])
+    for i, x in sets.items():
+        for j, y in sets.items():
+            if j < i and len(x & y) >= least * len(x | y):
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    return {find(i) for i in sets}
+
+
+def test_a_rejected_link_hides_no_other(spark):
+    """A document similar to one member of a family of near copies only, and nearly so to all the others."""
+    import random
+
+    rng, rows = random.Random(5), []
+    for f in range(12):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(400)]
+
+        def changed(places, base=base):
+            words = list(base)
+            for p in places:
+                words[p] = f"c{rng.randint(0, 10**6)}"
+            return " ".join(words)
+
+        rows += [(100 * f, " ".join(base))]
+        rows += [(100 * f + i, changed([rng.randrange(195, 205) + 5 * i])) for i in range(1, 36)]
+        rows += [(100 * f + 50, changed([5 + 23 * i for i in range(8)]))]  # 0.816 to the base, 0.796 to the others
+    assert kept_of(spark, rows) == kept_by_force(rows) == {100 * f for f in range(12)}
+
+
 def test_components_of_a_long_path(spark):
     from assaylake.llm.components import components
 
