@@ -272,7 +272,7 @@ def pareto_front(t):
 SELECT n_nationkey, seg, coalesce(n, 0) AS n FROM s LEFT JOIN c ON c_nationkey = n_nationkey AND c_mktsegment = seg""")
 def skeleton_counts(t):
     segments = t("customer").select(F.col("c_mktsegment").alias("seg")).distinct()
-    skeleton = t("nation").select("n_nationkey", F.lit(1).alias("_one")).join(F.broadcast(segments.limit(100).withColumn("_one", F.lit(1))), "_one").drop("_one")
+    skeleton = t("nation").select("n_nationkey").crossJoin(segments)
     counts = t("customer").filter("c_acctbal < 0").groupBy(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("seg")).agg(F.count("*").alias("n"))
     return populations.on_skeleton(skeleton, counts, ["n_nationkey", "seg"])
 
