@@ -43,7 +43,8 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("line dedup", line_dedup), ("SimHash near-dedup", near_dedup), ("mixing", mixing), ("BPE", bpe)]
 
-#: SQL can express neither the learnt thresholds, nor XXH64 fingerprints, nor BPE; tests/llm holds run() against brute force.
+#: SQL can express neither the learnt thresholds, nor XXH64 fingerprints, nor BPE. tests/llm holds each stage's operator
+#: against brute force or its SQL on its own, and run()'s last stage against the tokenizers library; not run() as a whole.
 ORACLE_SQL = None
 
 
