@@ -234,4 +234,5 @@ def decode_digests(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded, as digests. The cutting and joining of long texts runs when it is called."""
     return decode_digests(encode_documents(table(spark, sf_dir, "documents")))

@@ -95,11 +95,14 @@ def format_chats(rows: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """(conv_id, turn, role, text) rows -> one row a conversation: its formatted string and the loss mask's byte spans.
 
     Turns are ordered by turn (null first), then role and text, so ties and repeated rows have a defined order and all
-    stay. A null role or text is empty; rows with a null conv_id are one conversation; an empty table gives an empty
-    table. A conversation is one training sample and is assembled in one task; other columns are not read.
+    stay. A null role or text is empty; a row with a null conv_id is a conversation of its own; an empty table gives an
+    empty table. A conversation is one training sample and is assembled in one task; other columns are not read.
     """
     tune(rows.sparkSession)
-    turns = rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")))).alias("turns"))
+    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    slim = rows.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("_turn"))
+    turns = slim.filter("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("_turn")).alias("turns"))
+    turns = turns.union(slim.filter("conv_id is null").select("conv_id", F.array("_turn")))
     return turns.mapInArrow(_format(loss_role), FORMATTED)
 
 
@@ -128,6 +131,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op7_chat(spark, sf_dir: str) -> DataFrame:
+    """All conversations and number -7, formatted and read back from the formatted strings and their loss spans."""
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)

@@ -7,19 +7,18 @@ from pyspark.sql import functions as F
 
 from ..scratch import saved, ship
 
-__all__ = ["LAST_ID", "SPACES", "WORD", "let", "saved", "table", "tune"]
+__all__ = ["SPACES", "WORD", "free_names", "let", "saved", "table", "tune"]
 
 #: ASCII white space of the word rule; a word is a maximal run of anything else.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Ids that are null sort after all others inside the operators.
-LAST_ID = 2**63 - 1
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches, so that a worker never holds many long texts at once; give the workers this package."""
+    """Bound Arrow batches by rows and bytes, so that a worker never holds many long texts at once; give the workers this package."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
     return spark
 
 
@@ -30,3 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def let(value: Column, body) -> Column:
     """Bind a costly expression to a lambda variable, so that it is evaluated once."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as no column of ``df`` has, in any case."""
+    taken, lead = [c.lower() for c in df.columns], "_"
+    while any(c.startswith(lead) for c in taken):
+        lead += "_"
+    return [lead + n for n in names]

@@ -11,16 +11,23 @@ from .common import saved
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.filter("v > u").join(saved(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = saved(down.groupBy("u").agg(F.min("v").alias("m")))
-    moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    """``edges`` have u > v, as _large_star() gives them."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _stars_only(edges: DataFrame) -> bool:
+    """Every node is either the centre of a star or has one edge, to a centre."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(edges.select("v", F.lit(0), F.lit(1)))
+    mixed = ends.groupBy("n").agg(F.sum("below").alias("below"), F.sum("above").alias("above")).filter("below > 1 or (below = 1 and above > 0)")
+    return mixed.limit(1).count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) long pairs -> (node, root), root the smallest node reachable; one row a node that has an edge to another.
 
@@ -29,10 +36,6 @@ def components(edges: DataFrame) -> DataFrame:
     with very many edges is split at run time.
     """
     edges = saved(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
-    while True:
-        after = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if tuple(after) == state or not after[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v"))).distinct()
-        state = tuple(after)
-        edges = saved(_small_star(_large_star(edges)))
+    while not _stars_only(edges):
+        edges = saved(_small_star(saved(_large_star(edges))))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v"))).distinct()

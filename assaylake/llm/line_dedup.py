@@ -1,10 +1,9 @@
 """Line dedup with two Bloom filters.
 
-Pass 1 builds, in every task, a filter of keys seen once and a filter of keys seen in two documents, and merges
-the tasks' filters chunk by chunk: once = OR, twice = OR of the twice filters and of what both once filters share.
-Pass 2 probes the merged twice filter; only lines that it suspects are shuffled. There the exact keys are grouped,
-which confirms a repeat and picks the first document. The filter has a fixed size, so what is broadcast never
-grows with the corpus; a fuller filter suspects more lines and changes no result.
+Line keys are dealt to parts by their hash, as many as keep a part's filters at a fixed size whatever the corpus. A task
+sends each part the hashes of its lines, each different one once. There a filter of once-seen and a filter of twice-seen
+hashes are built; the twice-seen one is then probed with the part's lines, and only lines that it suspects go on. These
+are grouped by a 128-bit digest of the key, which confirms a repeat and picks the first document.
 """
 
 from __future__ import annotations
@@ -15,35 +14,34 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import LAST_ID, SPACES, saved, table, tune
+from .common import SPACES, free_names, saved, table, tune
 
-CHUNKS = 64
+#: Lines a part at most, on average, and bits of a filter for each of them.
+PART_LINES, BITS_PER_LINE = 1 << 21, 16
+#: Tasks that probe one part, so that a line which is in a large share of all documents is not one task's work.
+PROBES = 4
+#: Lines that a task of the first pass holds at once.
+HELD = 1 << 20
 
 
-def _keys(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All lines' keys, and the row of each."""
-    lines = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), "\n")
-    keys = pc.ascii_lower(pc.utf8_trim(lines.flatten(), characters=SPACES))
-    return keys, np.repeat(np.arange(len(texts)), pc.list_value_length(lines).to_numpy(zero_copy_only=False))
-
+def _digests(keys: list[str]) -> np.ndarray:
+    """(n, 2): XXH3-128 of each key."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), "<u8").reshape(-1, 2)
 
-def _hashes(keys: pa.Array) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(k) for k in keys.to_pylist()], dtype=np.uint64)
 
-
-def _candidates(batch: pa.RecordBatch, min_chars: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Document, key and hash of each distinct long enough line of each document in the batch."""
-    keys, rows = _keys(batch.column(1))
+def _candidates(texts: pa.Array, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and digest of each different long enough key of each text."""
+    lines = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), "\n")
+    keys = pc.ascii_lower(pc.utf8_trim(lines.flatten(), characters=SPACES))
+    rows = np.repeat(np.arange(len(texts)), pc.list_value_length(lines).to_numpy(zero_copy_only=False))
     keep = pc.greater_equal(pc.utf8_length(keys), min_chars)
-    keys, rows = keys.filter(keep), rows[keep.to_numpy(zero_copy_only=False)]
-    ids = batch.column(0).to_numpy(zero_copy_only=False)[rows] if len(rows) else np.zeros(0, np.int64)
-    hashes = _hashes(keys)
-    _, first = np.unique(np.stack([ids.astype(np.uint64), hashes]), axis=1, return_index=True) if len(rows) else (0, np.zeros(0, int))
-    return ids[first], keys.take(pa.array(first)), hashes[first]
+    rows, digests = rows[keep.to_numpy(zero_copy_only=False)], _digests(keys.filter(keep).to_pylist())
+    first = np.unique(np.column_stack([rows.astype(np.uint64), digests]), axis=0, return_index=True)[1]
+    return rows[first], digests[first]
 
 
 class Filter:
@@ -65,106 +63,159 @@ class Filter:
         return (self.data[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8) & 1).all(axis=0)
 
 
-def _build(bits: int, min_chars: int):
+DEALT = "part int, once binary, twice binary, low binary, high binary, ids binary, nulls binary"
+
+
+def _deal(log_parts: int, min_chars: int):
+    """For each part: its hashes in this task, each once; those in two documents here; and all its lines with their documents."""
+    names = [x.split()[0] for x in DEALT.split(", ")]
+
+    def packed(low, high, ids, nulls):
+        part = (low >> np.uint64(64 - log_parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        part, low, high, ids, nulls = (x[order] for x in (part, low, high, ids, nulls))
+        bounds = np.searchsorted(part, np.arange(2**log_parts + 1))
+        out = []
+        for p in np.unique(part):
+            a, b = bounds[p], bounds[p + 1]
+            owners = np.unique(np.column_stack([low[a:b], np.where(nulls[a:b], 0, ids[a:b]).astype(np.int64).view(np.uint64), nulls[a:b].astype(np.uint64)]), axis=0)
+            once, counts = np.unique(owners[:, 0], return_counts=True)
+            out.append((int(p), *(x.tobytes() for x in (once, once[counts > 1], low[a:b], high[a:b], ids[a:b], nulls[a:b]))))
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int32() if i == 0 else pa.binary()) for i in range(len(names))], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = Filter(bits), Filter(bits)
+        held, size = [], 0
         for batch in batches:
-            _, _, hashes = _candidates(batch, min_chars)
-            values, counts = np.unique(hashes, return_counts=True)
-            twice.add(values[(counts > 1) | once.has(values)])
-            once.add(values)
-        pack = zstandard.ZstdCompressor(level=1)
-        size = 2 ** (bits - 3) // CHUNKS
-        for c in range(CHUNKS):
-            a, b = (f.data[c * size : (c + 1) * size] for f in (once, twice))
-            if a.any():
-                yield pa.RecordBatch.from_pydict({"chunk": [c], "once": [pack.compress(a.tobytes())], "twice": [pack.compress(b.tobytes())]}, schema=pa.schema([("chunk", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())]))
+            rows, digests = _candidates(batch.column(2), min_chars)
+            nulls, ids = batch.column(0).to_numpy(zero_copy_only=False)[rows].astype(np.uint8), batch.column(1).to_numpy()[rows]
+            held.append((digests[:, 0], digests[:, 1], ids, nulls))
+            size += len(rows)
+            if size >= HELD:
+                yield packed(*map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+        if size:
+            yield packed(*map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack, held = zstandard.ZstdDecompressor(), {}
-    for batch in batches:
-        for c, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            a, b = (np.frombuffer(unpack.decompress(x), np.uint8) for x in (a, b))
-            if c in held:
-                once, twice = held[c]
-                twice |= b | (once & a)
-                once |= a
-            else:
-                held[c] = a.copy(), b.copy()
-    for c, (_, twice) in held.items():
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "twice": pa.array([twice.tobytes()], pa.binary())})
+def _u8(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, "<u8")
+
+
+def _build(bits: int):
+    """(part, twice): the twice-seen filter of every part, from sorted (part, once, twice) rows."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, once, twice = None, None, None
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([twice.data.tobytes()], pa.binary())], names=["part", "twice"])
+
+        for batch in batches:
+            for p, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if p != part:
+                    if part is not None:
+                        yield made()
+                    part, once, twice = p, Filter(bits), Filter(bits)
+                hashes = _u8(a)
+                twice.add(_u8(b))
+                twice.add(hashes[once.has(hashes)])
+                once.add(hashes)
+        if part is not None:
+            yield made()
+
+    return run
+
+
+def _probe(bits: int):
+    """(_null, _id, _low, _high) of the lines that the part's filter suspects; of each part the filter comes first, then its lines."""
 
-def _probe(shared, bits: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = Filter(bits, np.frombuffer(shared.value, np.uint8))
+        twice = None
         for batch in batches:
-            ids, keys, hashes = _candidates(batch, min_chars)
-            hit = twice.has(hashes)
-            yield pa.RecordBatch.from_pydict({"_id": pa.array(ids[hit], pa.int64()), "_key": keys.filter(pa.array(hit)).cast(pa.string())})
+            for row in batch.select(["twice", "low", "high", "ids", "nulls"]).to_pylist():
+                if row["twice"] is not None:
+                    twice = Filter(bits, np.frombuffer(row["twice"], np.uint8))
+                    continue
+                low = _u8(row["low"])
+                hit = twice.has(low)
+                columns = np.frombuffer(row["nulls"], np.uint8).astype(bool), np.frombuffer(row["ids"], "<i8"), low.view(np.int64), _u8(row["high"]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c[hit]) for c in columns], names=["_null", "_id", "_low", "_high"])
 
     return run
 
 
-def _rewrite(text_at: int, drops_at: int):
+def _rewrite(text_at: int):
     spaces = SPACES.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pc.fill_null(batch.column(text_at), "")
-            drops = batch.column(drops_at)
+            texts, drops = pc.fill_null(batch.column(text_at), ""), batch.column(batch.num_columns - 1)
             n_lines = pc.add(pc.count_substring(texts, "\n"), 1).cast(pa.int64())
             n_dropped = np.zeros(len(texts), np.int64)
             changed = pc.is_valid(drops).to_numpy(zero_copy_only=False)
             if changed.any():
                 out = texts.to_pylist()
                 for i in np.flatnonzero(changed):
-                    gone = {k.encode() for k in drops[i].as_py()}
+                    gone = {(d["_low"] & (2**64 - 1), d["_high"] & (2**64 - 1)) for d in drops[i].as_py()}
                     lines = out[i].encode().split(b"\n")
-                    kept = [x for x in lines if x.strip(spaces).lower() not in gone]
+                    digests = map(tuple, _digests([x.strip(spaces).lower() for x in lines]).tolist())
+                    kept = [x for x, d in zip(lines, digests, strict=True) if d not in gone]
                     n_dropped[i] = len(lines) - len(kept)
                     out[i] = b"\n".join(kept).decode()
                 texts = pa.array(out, pa.string())
-            columns = [texts if i == text_at else batch.column(i) for i in range(batch.num_columns - 2)]
-            yield pa.RecordBatch.from_arrays([*columns, n_lines, pa.array(n_dropped)], names=[*batch.schema.names[:-2], "n_lines", "n_dropped"])
+            columns = [texts if i == text_at else batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*columns, n_lines, pa.array(n_dropped)], names=[*batch.schema.names[:-1], "n_lines", "n_dropped"])
 
     return run
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, filter_bits: int = 26) -> DataFrame:
+def suspects(slim: DataFrame, min_chars: int = 10, part_lines: int = PART_LINES, bits: int | None = None) -> DataFrame:
+    """(_null, _id, _text) -> (_null, _id, _low, _high): the lines whose key may be in two documents; every line of a key that is, is there.
+
+    The filters are sized by the number of lines; ``bits`` sets their size (2**bits bits a part) instead.
+    """
+    lines = slim.agg(F.sum(F.length("_text") - F.length(F.translate("_text", "\n", "")) + 1)).first()[0] or 0
+    log_parts = max(2, (-(-lines // part_lines) - 1).bit_length())
+    bits = bits or max(10, (BITS_PER_LINE * lines >> log_parts).bit_length())
+    dealt = saved(slim.mapInArrow(_deal(log_parts, min_chars), DEALT))
+    filters = saved(dealt.select("part", "once", "twice").repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(_build(bits), "part int, twice binary"))
+    every = filters.select("part", F.explode(F.sequence(F.lit(0), F.lit(PROBES - 1))).alias("probe"), "twice", *[F.lit(None).cast("binary").alias(c) for c in ("low", "high", "ids", "nulls")])
+    asked = dealt.select("part", F.pmod(F.xxhash64("low"), F.lit(PROBES)).cast("int").alias("probe"), F.lit(None).cast("binary").alias("twice"), "low", "high", "ids", "nulls")
+    return saved(every.union(asked).repartition("part", "probe").sortWithinPartitions("part", "probe", F.col("twice").isNull()).mapInArrow(_probe(bits), "_null boolean, _id long, _low long, _high long"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, part_lines: int = PART_LINES, bits: int | None = None) -> DataFrame:
     """Keep each repeated line only in the first document that holds it.
 
-    The key of a line is the line without ASCII white space at its ends and with A-Z in lower case. A key of at least
-    ``min_chars`` code points in at least two documents loses all its lines except in the document with the smallest id.
+    The key of a line is the line without ASCII white space at its ends and with A-Z in lower case; keys are told apart
+    by 128-bit digests. A key of at least ``min_chars`` code points in at least two documents loses all its lines except
+    in the document with the smallest id.
 
     Returns the input's columns with the new text, plus n_lines (before dropping) and n_dropped; columns of the input
-    with these two names are replaced. A null text counts as one empty line and becomes ''. Ids are integers; rows
-    with the same id are one document for the choice and are all rewritten; null ids are one document that sorts last.
-    An empty table gives an empty table. ``filter_bits``: each filter has 2**filter_bits bits (8 MB at 26).
+    with these two names, in any case, are replaced. A null text counts as one empty line and becomes ''. Ids are
+    integers; rows with the same id are one document for the choice and are all rewritten; all rows with a null id are
+    one document that sorts last. An empty table gives an empty table.
     """
-    spark = tune(docs.sparkSession)
-    docs = docs.drop(*[c for c in ("n_lines", "n_dropped") if c in docs.columns])
-    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_id"), F.col(text_col).alias("_text"))
-    parts = slim.mapInArrow(_build(filter_bits, min_chars), "chunk int, once binary, twice binary")
-    merged = parts.repartition(F.col("chunk")).mapInArrow(_merge, "chunk int, twice binary")
-    size = 2 ** (filter_bits - 3) // CHUNKS
-    twice = bytearray(size * CHUNKS)
-    for row in merged.toLocalIterator():  # CHUNKS rows at most
-        twice[row.chunk * size : (row.chunk + 1) * size] = row.twice
-    shared = spark.sparkContext.broadcast(bytes(twice))
-    suspects = saved(slim.mapInArrow(_probe(shared, filter_bits, min_chars), "_id long, _key string"))
-    firsts = saved(suspects.groupBy("_key").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).filter("_first < _last").select("_key", "_first"))
-    drops = suspects.join(firsts, "_key").filter(F.col("_id") != F.col("_first")).groupBy("_id").agg(F.collect_set("_key").alias("_drops"))
-    named = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)))
-    joined = named.join(drops, "_id", "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_drops"), F.lit(0).alias("_pad"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(_rewrite(docs.columns.index(text_col), len(docs.columns)), f"{schema}, n_lines long, n_dropped long")
+    tune(docs.sparkSession)
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")])
+    null, ident, drops = free_names(docs, "null", "id", "drops")
+    text = F.col(text_col).cast("string")
+    # Rows without an id are joined by their text, so that they do not meet in one place.
+    key = [F.col(id_col).isNull(), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text))]
+    found = suspects(docs.select(key[0].alias("_null"), key[1].alias("_id"), F.coalesce(text, F.lit("")).alias("_text")), min_chars, part_lines, bits)
+    owner = F.struct("_null", F.when(~F.col("_null"), F.col("_id")).alias("_id"))
+    firsts = saved(found.groupBy("_low", "_high").agg(F.min(owner).alias("_first"), F.max(owner).alias("_last")).filter("not _first <=> _last").select("_low", "_high", "_first"))
+    gone = found.join(firsts, ["_low", "_high"]).filter(~owner.eqNullSafe(F.col("_first"))).groupBy("_null", "_id").agg(F.collect_set(F.struct("_low", "_high")).alias("_drops"))
+    gone = gone.select(F.col("_null").alias(null), F.col("_id").alias(ident), F.col("_drops").alias(drops))
+    joined = docs.withColumns({text_col: text, null: key[0], ident: key[1]}).join(gone, [null, ident], "left").select(*[F.col(f"`{c}`") for c in docs.columns], drops)
+    fields = [T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema.fields]
+    return joined.mapInArrow(_rewrite(docs.columns.index(text_col)), T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]))
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """dedup_lines() of all documents, as digests. The passes over the lines run when it is called, the rewriting with the returned frame."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 

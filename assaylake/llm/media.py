@@ -43,6 +43,14 @@ def crc16(data: bytes) -> int:
     return crc
 
 
+def crc_bits(head: bytes, bits: str) -> int:
+    """The checksum over the header's last two bytes and a run of bits, which need not end at a byte."""
+    crc = 0xFFFF
+    for bit in "".join(f"{b:08b}" for b in head[2:4]) + bits:
+        crc = (crc << 1 ^ (CRC_POLY if crc >> 15 ^ (bit == "1") else 0)) & 0xFFFF
+    return crc
+
+
 @dataclass(frozen=True)
 class Header:
     generation: int
@@ -53,6 +61,31 @@ class Header:
     mono: bool
     size: int
     samples: int
+    bound: int = 32
+
+    def protected_bits(self, body: bytes) -> str:
+        """The bits after a layer I or II frame's checksum that it covers: the allocations, and in layer II the scale factor selections."""
+        bits = "".join(f"{b:08b}" for b in body[:160])
+        channels = 1 if self.mono else 2
+        if self.layer == 1:
+            return bits[: 4 * (channels * self.bound + 32 - self.bound)]
+        runs = self._allocation_bits()
+        at, used = 0, 0
+        for band, n in enumerate(runs):
+            shared = band >= self.bound or channels == 1
+            for _ in range(1 if shared else 2):
+                used += ("1" in bits[at : at + n]) * (channels if shared else 1)
+                at += n
+        return bits[: at + 2 * used]
+
+    def _allocation_bits(self) -> list[int]:
+        """Bits of each subband's allocation in layer II; fixed by the format."""
+        if self.generation == 2:
+            return [4] * 4 + [3] * 7 + [2] * 19
+        each = self.bitrate // (1 if self.mono else 2)
+        if each <= 48:
+            return [4] * 2 + [3] * (10 if self.rate == 32000 else 6)
+        return [4] * 11 + [3] * 12 + [2] * (4 if self.rate == 48000 or each <= 80 else 7)
 
     @property
     def side(self) -> int:
@@ -72,7 +105,8 @@ def header(four: bytes) -> Header | None:
     generation = 1 if version == 3 else 2
     kbit, hz, padding, samples = BITRATES[generation, layer][bits - 1], RATES[version][rate], four[2] >> 1 & 1, SAMPLES[generation, layer]
     size = (12000 * kbit // hz + padding) * 4 if layer == 1 else samples // 8 * 1000 * kbit // hz + padding
-    return Header(generation, layer, not four[1] & 1, kbit, hz, four[3] >> 6 == 3, size, samples)
+    bound = 4 * ((four[3] >> 4 & 3) + 1) if four[3] >> 6 == 1 else 32
+    return Header(generation, layer, not four[1] & 1, kbit, hz, four[3] >> 6 == 3, size, samples, bound)
 
 
 @dataclass
@@ -107,20 +141,24 @@ def _unsafe(b: bytes) -> int:
 
 
 def _tags(data: bytes) -> tuple[dict, int]:
-    """ID3v2 text frames at the start, and where they end."""
+    """ID3v2 text frames (versions 2.2 to 2.4, extended headers skipped) at the start, and where they end."""
     if data[:3] != b"ID3" or len(data) < 10:
         return {}, 0
-    end, at, out = 10 + _unsafe(data[6:10]), 10, {}
-    while at + 10 <= min(end, len(data)) and data[at]:
-        size = _unsafe(data[at + 4 : at + 8]) if data[3] == 4 else int.from_bytes(data[at + 4 : at + 8], "big")
-        name, body = data[at : at + 4].decode("latin-1"), data[at + 11 : at + 10 + size]
-        text = body.decode(("latin-1", "utf-16", "utf-16-be", "utf-8")[data[at + 10] & 3], "replace") if size and name[0] == "T" else ""
-        if name == "TXXX":
+    version, flags, end, at, out = data[3], data[5], 10 + _unsafe(data[6:10]), 10, {}
+    if flags & 64 and version > 2:
+        at += _unsafe(data[at : at + 4]) if version == 4 else 4 + int.from_bytes(data[at : at + 4], "big")
+    letters, lead = (3, 6) if version == 2 else (4, 10)
+    while at + lead <= min(end, len(data)) and data[at]:
+        length = data[at + letters : at + (6 if version == 2 else 8)]
+        size = _unsafe(length) if version == 4 else int.from_bytes(length, "big")
+        name, body = data[at : at + letters].decode("latin-1"), data[at + lead + 1 : at + lead + size]
+        text = body.decode(("latin-1", "utf-16", "utf-16-be", "utf-8")[data[at + lead] & 3], "replace") if size and name[0] == "T" and at + lead < len(data) else ""
+        if name in ("TXXX", "TXX"):
             key, _, text = text.partition("\0")
             name += ":" + key
         out[name] = text.rstrip("\0")
-        at += 10 + size
-    return out, end + (10 if data[5] & 16 else 0)
+        at += lead + size
+    return out, end + (10 if flags & 16 else 0)
 
 
 def _vbr_table(frame: bytes, h: Header) -> dict | None:
@@ -167,9 +205,9 @@ def read_stream(data: bytes) -> Stream:
             body = 4
             if h.protected:
                 body = 6
-                if h.layer == 3:
-                    good = crc16(frame[2:4] + frame[6 : 6 + h.side]) == int.from_bytes(frame[4:6], "big")
-                    out.crc_ok, out.crc_bad = out.crc_ok + good, out.crc_bad + (not good)
+                found = crc16(frame[2:4] + frame[6 : 6 + h.side]) if h.layer == 3 else crc_bits(frame[:4], h.protected_bits(frame[6:]))
+                good = found == int.from_bytes(frame[4:6], "big")
+                out.crc_ok, out.crc_bad = out.crc_ok + good, out.crc_bad + (not good)
             parts.append(frame[body + h.side :] if h.layer == 3 else frame[body:])
         at += h.size
     out.payload = b"".join(parts)
@@ -248,4 +286,5 @@ def read_media(media: DataFrame) -> DataFrame:
 
 
 def op8_media(spark, sf_dir: str) -> DataFrame:
+    """Every document's padded bytes written as an MPEG stream and read back from it."""
     return read_media(write_media(table(spark, sf_dir, "documents")))

@@ -2,7 +2,8 @@
 
 Each source's documents are shuffled by a hash of their id. A document's virtual finish time is the source's words up
 to and with it, divided by the source's weight; a source may be read up to three times, its words counted on. All
-(document, reading) items are ordered by that time and taken until the total budget is spent.
+(document, reading) items are range-sorted by that time; sums of the ranges show the one in which the total budget ends,
+and prefix sums in it show the last item taken.
 """
 
 from __future__ import annotations
@@ -14,17 +15,19 @@ from pyspark.sql import functions as F
 
 from .common import WORD, saved, table
 
-HISTOGRAM = 2048
-KEY = ("_vt", "_rank", "_shuffle", "_id", "_tie", "_epoch")
+#: Items of one range of the sorted items, about.
+RANGE_ITEMS = 500_000
 
 
 @dataclass
 class Mix:
-    """rows: one a document with _rank, _cum (words of its source up to it), source figures; cut: the last item taken, or None for all."""
+    """rows: one a document with _rank, _cum (words of its source up to it) and source figures; cut: (time, rank) of the last item taken, or None for all.
+
+    Items with equal time and rank but the first of them have no words, so that pair orders the items wholly.
+    """
 
     rows: DataFrame
     cut: tuple | None
-    weights: tuple
     epochs: int
 
     def finish(self, epoch: Column) -> Column:
@@ -33,28 +36,26 @@ class Mix:
     def takes(self, epoch: Column) -> Column:
         if self.cut is None:
             return F.lit(True)
-        item = F.struct(self.finish(epoch).alias("_vt"), F.col("_rank"), F.col("_shuffle"), F.col("_id"), F.col("_tie"), epoch.cast("int").alias("_epoch"))
-        vt, rank, shuffle, ident, tie, at = self.cut
-        return item <= F.struct(F.lit(vt).cast("double").alias("_vt"), F.lit(rank).cast("int").alias("_rank"), F.lit(shuffle).alias("_shuffle"), F.lit(ident).cast("long").alias("_id"), F.lit(tie).alias("_tie"), F.lit(at).cast("int").alias("_epoch"))
+        time, rank = self.finish(epoch), F.col("_rank")
+        return (time < F.lit(self.cut[0])) | ((time == F.lit(self.cut[0])) & (rank <= F.lit(self.cut[1])))
+
+
+def queue_key(id_col: str, text_col: str, source_col: str, seed: str) -> list[Column]:
+    """_id, _source, _shuffle and _tie of a row; a null id is shuffled by its text, so that such rows do not meet."""
+    tie = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    drawn = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), tie))).cast("binary"))
+    return [F.col(id_col).cast("long").alias("_id"), F.col(source_col).cast("string").alias("_source"), drawn.alias("_shuffle"), tie.alias("_tie")]
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (5, 2, 1), epochs: int = 3, seed: str = "mix", rows_per_bucket: int = 20_000) -> Mix:
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (5, 2, 1), epochs: int = 3, seed: str = "mix", rows_per_bucket: int = 20_000, range_items: int = RANGE_ITEMS) -> Mix:
     """Weigh the sources, find every document's place in its source's queue, and the last item within the budget.
 
     Size: words in the text. Sources by code point, null last, get ``weights`` in turn; the budget is the sum of all
     sizes. A source's target is its share by weight, at most ``epochs`` times its size, the excess given to the others
     by weight (water level: the smallest level at which the capped targets add up to the budget).
     """
-    shuffle = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
-    base = saved(
-        docs.select(
-            F.col(id_col).cast("long").alias("_id"),
-            F.col(source_col).cast("string").alias("_source"),
-            F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-            shuffle.alias("_shuffle"),
-            F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("_tie"),
-        )
-    )
+    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
+    base = saved(docs.select(*queue_key(id_col, text_col, source_col, seed), size.alias("size")))
     # One row a source; the source names are few, unlike the documents.
     grouped = base.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
     ranked = grouped.withColumn("_rank", F.row_number().over(Window.orderBy(F.col("_source").asc_nulls_last())))
@@ -68,36 +69,37 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         .withColumn("_level", (F.col("_budget") - F.col("_capped")) / F.col("_free"))
         .withColumn("_level", F.min(F.when(F.col("_level") <= F.col("source_size") * epochs / F.col("_weight"), F.struct(F.col("source_size") / F.col("_weight"), F.col("_rank"), F.col("_level").alias("level")))).over(every)["level"])
     )
-    sources = saved(leveled.select("_source", "source_size", "_n", "_rank", "_weight", "_budget", F.coalesce("_level", F.lit(0.0)).alias("_level"), F.least(F.col("_weight") * F.coalesce("_level", F.lit(0.0)), (F.col("source_size") * epochs).cast("double")).alias("target")))
-    rows, budget, level = sources.agg(F.sum("_n"), F.max("_budget"), F.max("_level")).first()
+    sources = saved(leveled.select("_source", "source_size", "_n", "_rank", "_weight", "_budget", F.least(F.col("_weight") * F.coalesce("_level", F.lit(0.0)), (F.col("source_size") * epochs).cast("double")).alias("target")))
+    rows, budget = sources.agg(F.sum("_n"), F.max("_budget")).first()
     # Prefix sums in two steps: inside buckets of a source's queue, and over the buckets' sums.
     digits = 2
     while 16**digits * rows_per_bucket < (rows or 0):
         digits += 1
     keyed = (
-        base.join(sources.drop("_n", "_budget", "_level"), base["_source"].eqNullSafe(sources["_source"]))
+        base.join(sources.drop("_n", "_budget"), base["_source"].eqNullSafe(sources["_source"]))
         .drop(sources["_source"])
         .withColumn("_bucket", F.substring("_shuffle", 1, digits))
     )
     sums = keyed.groupBy("_rank", "_bucket").agg(F.sum("size").alias("_sum"))
     before = sums.select("_rank", "_bucket", F.coalesce(F.sum("_sum").over(Window.partitionBy("_rank").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.sum("size").over(Window.partitionBy("_rank", "_bucket").orderBy("_shuffle", "_id", "_tie").rowsBetween(Window.unboundedPreceding, 0))
-    placed = saved(keyed.withColumn("_inside", inside).join(before, ["_rank", "_bucket"]).withColumn("_cum", F.col("_before") + F.col("_inside")).drop("_inside", "_before", "_bucket"))
-    mix = Mix(placed, None, weights, epochs)
+    copy = F.row_number().over(Window.partitionBy("_rank", "_bucket", "_shuffle", "_id", "_tie").orderBy("size"))
+    placed = saved(keyed.withColumn("_inside", inside).withColumn("_copy", copy).join(before, ["_rank", "_bucket"]).withColumn("_cum", F.col("_before") + F.col("_inside")).drop("_inside", "_before", "_bucket"))
+    mix = Mix(placed, None, epochs)
     if not budget:
         return mix
-    items = placed.select("*", F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("_epoch")).withColumn("_vt", mix.finish(F.col("_epoch"))).withColumn("_bin", F.least(F.floor(F.col("_vt") / F.lit(level) * HISTOGRAM), F.lit(4 * HISTOGRAM)).cast("int"))
-    bins = items.groupBy("_bin").agg(F.sum("size").alias("_sum"))  # at most 4 * HISTOGRAM + 1 rows at any input size
-    running = bins.withColumn("_upto", F.sum("_sum").over(Window.orderBy("_bin")))
-    edge = running.filter(F.col("_upto") > budget).agg(F.min(F.struct("_bin", F.col("_upto") - F.col("_sum")))).first()[0]
-    if edge is None:
+    items = placed.filter("size > 0").select("size", "_rank", "source_size", "_cum", "_weight", F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("_epoch")).select(mix.finish(F.col("_epoch")).alias("_vt"), "_rank", "size")
+    ranges = -(-rows * epochs // range_items)
+    ordered = saved(items.repartitionByRange(ranges, "_vt", "_rank").sortWithinPartitions("_vt", "_rank").withColumn("_range", F.spark_partition_id()))
+    running = ordered.groupBy("_range").agg(F.sum("size").alias("_sum")).withColumn("_upto", F.sum("_sum").over(Window.orderBy("_range")))  # a row a range
+    at, spent = running.filter(F.col("_upto") > budget).agg(F.min(F.struct("_range", (F.col("_upto") - F.col("_sum")).alias("_spent"))).alias("_at")).select("_at.*").first()
+    if at is None:
         return mix
-    at, spent = edge
-    tail = items.filter(F.col("_bin") == at).withColumn("_upto", F.lit(spent) + F.sum("size").over(Window.orderBy(*KEY).rowsBetween(Window.unboundedPreceding, 0)))
-    last = tail.filter(F.col("_upto") <= budget).agg(F.max(F.struct(*KEY))).first()[0]
-    if last is None:  # the first item of that bin is already too much: everything before the bin is taken
-        last = items.filter(F.col("_bin") < at).agg(F.max(F.struct(*KEY))).first()[0] or (-1.0, 0, "", None, "", 0)
-    mix.cut = tuple(last)
+    edge = ordered.filter(F.col("_range") == at).withColumn("_upto", F.lit(spent) + F.sum("size").over(Window.partitionBy("_range").orderBy("_vt", "_rank").rowsBetween(Window.unboundedPreceding, 0)))
+    last = edge.filter(F.col("_upto") <= budget).agg(F.max(F.struct("_vt", "_rank")).alias("_last")).select("_last.*").first()
+    if last[0] is None:  # the range's first item is already too much: everything before the range is taken
+        last = ordered.filter(F.col("_range") < at).agg(F.max(F.struct("_vt", "_rank")).alias("_last")).select("_last.*").first()
+    mix.cut = tuple(last) if last[0] is not None else (-1.0, 0)
     return mix
 
 
@@ -112,42 +114,42 @@ def mix_counts(docs: DataFrame, **options) -> DataFrame:
     return mix.rows.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * times).alias("taken"))
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **options) -> DataFrame:
     """The mix itself: the input's columns, one row for each time that a document is taken, in the order of virtual finish times.
 
-    Rows that repeat an id and a text are each given once for every reading that any of them is taken in.
+    It takes exactly what mix_counts() counts. Rows that agree in id, text and source are places of the queue one after
+    the other; which of them has which place follows from a hash of all their columns. The columns may have any names.
     """
-    mix = plan_mix(docs, id_col=id_col, **options)
-    text_col = options.get("text_col", "text")
-    taken = (
-        mix.rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(mix.epochs))).alias("_epoch"))
-        .filter(mix.takes(F.col("_epoch")))
-        .select("_id", "_tie", "_rank", "_shuffle", mix.finish(F.col("_epoch")).alias("_vt"), "_epoch")
-        .distinct()
-    )
-    named = docs.withColumns({"_mix_id": F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "_mix_tie": F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))})
-    items = taken.groupBy(F.coalesce(F.col("_id").cast("string"), F.lit("null")).alias("_mix_id"), F.col("_tie").alias("_mix_tie")).agg(F.collect_set("_epoch").alias("_epochs"), F.min(F.struct("_vt", "_rank", "_shuffle")).alias("_at"))
-    joined = named.join(items, ["_mix_id", "_mix_tie"]).withColumn("_epoch", F.explode("_epochs"))
-    figures = mix.rows.select("_rank", (F.col("source_size") / F.col("_weight")).alias("_lap")).distinct()
-    lap = F.coalesce(F.col("_lap"), F.lit(0.0))
-    return (
-        joined.withColumn("_rank", F.col("_at._rank"))
-        .join(F.broadcast(figures.filter(F.col("_rank").isNotNull())), "_rank", "left")
-        .withColumn("_order", F.col("_at._vt") + (F.col("_epoch") - F.array_min("_epochs")) * lap)
-        .repartitionByRange(F.col("_order"), F.col("_rank"), F.col("_at._shuffle"), F.col("_epoch"))
-        .sortWithinPartitions("_order", "_rank", F.col("_at._shuffle"), "_epoch")
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    mix = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
+    order = [F.col("_vt"), F.col("_rank"), F.col("_shuffle"), F.col("_copy"), F.col("_epoch")]
+    key = ["_none", "_id", "_tie", "_nowhere", "_source"]
+
+    def whole(df: DataFrame) -> DataFrame:
+        return df.withColumns({"_none": F.col("_id").isNull(), "_id": F.coalesce("_id", F.lit(0)), "_nowhere": F.col("_source").isNull(), "_source": F.coalesce("_source", F.lit(""))})
+
+    taken = whole(mix.rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(mix.epochs))).alias("_epoch")).filter(mix.takes(F.col("_epoch"))).withColumn("_vt", mix.finish(F.col("_epoch"))))
+    taken = taken.select(*key, "_copy", "_vt", "_rank", "_shuffle", "_epoch")
+    rows = whole(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *queue_key(id_col, text_col, source_col, seed)).drop("_shuffle"))
+    copied = mix.rows.filter("_copy = 2").select("_id", "_tie", "_source").distinct()
+    if copied.limit(1).count():
+        several = whole(copied)
+        numbered = rows.join(several, key, "left_semi").withColumn("_copy", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("_row"))))
+        rows = rows.join(several, key, "left_anti").withColumn("_copy", F.lit(1)).unionByName(numbered)
+        joined = rows.join(taken, [*key, "_copy"])
+    else:
+        joined = rows.join(taken, key)
+    return joined.repartitionByRange(*order).sortWithinPartitions(*order).select("_row.*")
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
+    """mix_counts() of all documents. The queues and the cut are found when it is called; the returned frame reads their saved rows."""
     return mix_counts(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
 OP4_SQL = r"""
 WITH base AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS shuf, md5(coalesce(text, '')) AS tie FROM documents
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))) AS shuf, md5(coalesce(text, '')) AS tie FROM documents
 ), src AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rnk FROM base GROUP BY source
 ), weighed AS (

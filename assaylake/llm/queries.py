@@ -5,11 +5,11 @@ from .chat import OP7_SQL, op7_chat
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .media import op8_media
 from .mixing import OP4_SQL, op4_mixing
-from .quality import op10_quality
+from .quality import OP10_SQL, op10_quality
 from .sharding import op2_sharding
 from .simhash import op9_simhash
 from .token_counts import op5_token_counts
-from .warc import op3_warc
+from .warc import OP3_SQL, op3_warc
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_warc, op4_mixing, op5_token_counts, op6_bpe, op7_chat, op8_media, op9_simhash, op10_quality)}
-SQL = {"op1_line_dedup": OP1_SQL, "op4_mixing": OP4_SQL, "op7_chat": OP7_SQL}
+SQL = {"op1_line_dedup": OP1_SQL, "op3_warc": OP3_SQL, "op4_mixing": OP4_SQL, "op7_chat": OP7_SQL, "op10_quality": OP10_SQL}

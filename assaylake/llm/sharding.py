@@ -21,17 +21,17 @@ def least_loaded(sizes: list[int], shards: int) -> list[int]:
     return out
 
 
-def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, bundles: int = 4096, rows_per_slot_group: int = 250_000) -> DataFrame:
+def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, singles: int = 8192, bundles: int = 4096, rows_per_slot_group: int = 250_000) -> DataFrame:
     """Put every row into one of ``shards`` shards of near-equal bytes; rows with equal texts stay together.
 
-    A row's size is the UTF-8 bytes of its text plus 1. Groups above 1 / (64 * shards) of all bytes (so at most
-    64 * shards of them) are scheduled one by one; the rest, joined by the hash of their text into ``bundles``
-    bundles, are scheduled as bundles. So the driver's heap sees a fixed number of items at any input size, and the
-    loads differ by about one bundle unless one group is by itself larger than a fair share: as a group must stay
-    together, its shard then holds it and nothing more.
+    A row's size is the UTF-8 bytes of its text plus 1. The ``singles`` largest groups are scheduled one by one; the
+    rest, joined by the hash of their text into ``bundles`` bundles, are scheduled as bundles. So the driver's heap sees
+    a fixed number of items at any input size, the schedule is that of single groups wherever there are no more than
+    ``singles``, and the loads differ by about one bundle unless one group is by itself larger than a fair share: as a
+    group must stay together, its shard then holds it and nothing more.
 
     Returns the id, size, text_crc32, law ('bytes'), shard, slot (gapless from 0 in each shard, in the order of a hash
-    bucket of the id, then id) and grown_shard (null: only the law 'key' has one). A null text has size 1, CRC 0 and
+    bucket of id, size and CRC, then of these) and grown_shard (null: only the law 'key' has one). A null text has size 1, CRC 0 and
     forms a group with the other null texts, apart from ''. Repeated rows each get a slot. Other columns are not read.
     """
     text = F.col(text_col)
@@ -43,28 +43,27 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.coalesce(F.unhex(F.sha2(text.cast("binary"), 256)), F.unhex(F.lit("00"))).alias("_group"),
         )
     )
-    total, rows = base.agg(F.sum("size"), F.count("*")).first()
-    limit = max(1, (total or 0) // (64 * shards))
+    rows = base.count()
     bundle = F.pmod(F.xxhash64("_group"), F.lit(bundles)).cast("int")
-    groups = base.groupBy("_group").agg(F.sum("size").alias("_bytes"))
-    large = F.when(F.col("_bytes") > limit, F.col("_group"))
-    items = groups.groupBy(large.alias("_large"), F.when(large.isNull(), bundle).alias("_bundle")).agg(F.sum("_bytes").alias("_bytes")).orderBy("_large", "_bundle").collect()  # at most bundles + 64 * shards rows
-    place = least_loaded([x._bytes for x in items], shards)
-    by_bundle, by_group = [0] * bundles, []
-    for x, shard in zip(items, place, strict=True):
-        if x._large is None:
-            by_bundle[x._bundle] = shard
-        else:
-            by_group.append((bytes(x._large), shard))
+    groups = saved(base.groupBy("_group").agg(F.sum("size").alias("_bytes")))
+    single = groups.orderBy(F.desc("_bytes"), "_group").limit(singles)
+    alone = [(bytes(x._group), x._bytes) for x in single.collect()]  # at most ``singles`` rows
     spark = docs.sparkSession
-    own = spark.createDataFrame(by_group, "_group binary, _own int")  # at most 64 * shards rows
+    names = spark.createDataFrame([(g,) for g, _ in alone], "_group binary")
+    joined = groups.join(F.broadcast(names), "_group", "left_anti").groupBy(bundle.alias("_bundle")).agg(F.sum("_bytes").alias("_bytes")).orderBy("_bundle").collect()  # at most ``bundles`` rows
+    place = least_loaded([n for _, n in alone] + [x._bytes for x in joined], shards)
+    by_group = [(g, shard) for (g, _), shard in zip(alone, place, strict=False)]
+    by_bundle = [0] * bundles
+    for x, shard in zip(joined, place[len(alone) :], strict=True):
+        by_bundle[x._bundle] = shard
+    own = spark.createDataFrame(by_group, "_group binary, _own int")  # at most ``singles`` rows
     common = spark.createDataFrame(list(enumerate(by_bundle)), "_bundle int, _common int")  # bundles rows
     parts = max(1, -(-rows // rows_per_slot_group)) * 16
     placed = (
         base.withColumn("_bundle", bundle)
         .join(F.broadcast(own), "_group", "left")
         .join(F.broadcast(common), "_bundle", "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("_own", "_common").alias("shard"), F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(parts)).alias("_part"))
+        .select("doc_id", "size", "text_crc32", F.coalesce("_own", "_common").alias("shard"), F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(parts)).alias("_part"))
     )
     # A slot is the rank in a part of a shard plus the rows of that shard's earlier parts: no task sorts a whole shard.
     counts = placed.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
@@ -78,4 +77,5 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:
+    """shard_documents() of all documents, 16 shards. The schedule is made when it is called; the returned frame reads saved rows."""
     return shard_documents(table(spark, sf_dir, "documents"))

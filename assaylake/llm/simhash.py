@@ -4,9 +4,9 @@ A fingerprint is a row of bytes. Fingerprints that differ in at most d bits shar
 places. The index lists fingerprints under the values of three byte places; the sets of places are chosen so that any
 pair with the guaranteed minimum of shared bytes meets in at least one list (a covering design). Within a list the
 shared positional bytes of each pair are tallied, pairs below the guaranteed minimum are dropped, the rest verified by
-their differing bits. Equal fingerprints (equal sets of shingles, where the similarity counts) are one entry, so copies cost nothing. A list that is too long to compare
-at once goes to an exact way: narrow fingerprints to one that is linear in the members (see _balls), wide ones are
-linked to their list's first member, and blocks that these links did not join are compared block by block (_blocks).
+their differing bits. Equal fingerprints are one entry, so copies cost nothing. A list that is too long to compare at
+once goes to an exact way that is linear in its members (see _balls). Near copies by the similarity of their texts are
+in near_text.py.
 """
 
 from __future__ import annotations
@@ -17,18 +17,14 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, saved, table, tune
+from .common import saved, table, tune
 from .components import components
 
 #: Members of one list that are compared pair by pair, by one task at a time.
 LIST_CAP = 1024
-#: Bytes of 128 at their places that a pair must share before its texts are compared; pairs at 0.8 share 34 on average, with a deviation of 5.
-SHARED = 14
-#: Bits of the fingerprint that a posting of the wide form carries beside its list, in one number.
-CARRIED = 30
 #: Shingles whose bits are counted at once, in steps of 255, so that a byte holds each count.
 STRIDE = 16 * 255
 
@@ -70,24 +66,6 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.astype(np.uint64).view(np.int64))
 
 
-def _fingerprints(shingle: int, words64: int, names: list[str]):
-    """(_id, *names): the fingerprint's words and, where ``names`` has two more, a 128-bit hash of the set of shingles; the fingerprint is the set's then."""
-    sets = len(names) > words64
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for t in batch.column(1):
-                hashes = _hashed(t.as_py(), shingle)
-                if sets:
-                    hashes = np.unique(hashes)
-                rows.append(np.concatenate([_folded(hashes, words64), np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), "<u8") if sets else np.zeros(0, np.uint64)]))
-            fps = np.array(rows, np.uint64).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(_signed(fps[:, i]) for i in range(len(names)))], names=["_id", *names])
-
-    return run
-
-
 def covering_triples(places: int, shared: int) -> list[tuple[int, int, int]]:
     """Sets of three of ``places`` such that any ``shared`` places contain one of them; greedy, the same at every call."""
     left = set(combinations(range(places), shared))
@@ -100,67 +78,29 @@ def covering_triples(places: int, shared: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def spread_triples(places: int, n: int, seed: int = 1) -> list[tuple[int, int, int]]:
-    """n different sets of three places in which every place is used about equally often."""
-    rng, out = np.random.default_rng(seed), []
-    while len(out) < n:
-        order = rng.permutation(places)
-        out += [t for t in (tuple(sorted(order[i : i + 3].tolist())) for i in range(0, places - 2, 3)) if t not in out]
-    return out[:n]
-
-
 def _bytes(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(fps.astype("<u8")).view(np.uint8).reshape(len(fps), -1)
 
 
-def _postings(triples: list, words64: int):
-    """(_key, _id, _f): for each set of places its list and the fingerprint."""
-
+def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                fps = np.stack([batch.column(i + 1).to_numpy().view(np.uint64) for i in range(words64)], axis=1)
-                b = _bytes(fps).astype(np.int64)
-                keys = np.concatenate([(np.int64(j) << 24) | (b[:, x] << 16) | (b[:, y] << 8) | b[:, z] for j, (x, y, z) in enumerate(triples)])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(batch.column(0).to_numpy(), len(triples))), _signed(np.tile(fps[:, 0], len(triples)))], names=["_key", "_id", "_f"])
+        for batch in batches:
+            fps = [_folded(_hashed(t.as_py(), shingle), 1)[0] for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _signed(np.array(fps, np.uint64))], names=["_id", "_f"])
 
     return run
 
 
-def _packed_postings(triples: list, words64: int):
-    """(_key, _id): the list, and below it CARRIED bits of one word, another word from list to list."""
+def _postings(triples: list):
+    """(_key, _f): for each set of places its list and the fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                fps = np.stack([batch.column(i + 1).to_numpy().view(np.uint64) for i in range(words64)], axis=1)
-                b, low = _bytes(fps).astype(np.int64), np.uint64(2**CARRIED - 1)
-                keys = [(((np.int64(j) << 24) | (b[:, x] << 16) | (b[:, y] << 8) | b[:, z]) << CARRIED) | ((fps[:, j % words64] >> np.uint64(CARRIED * (j // words64 % 2))) & low).astype(np.int64) for j, (x, y, z) in enumerate(triples)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(batch.column(0).to_numpy(), len(triples)))], names=["_key", "_id"])
-
-    return run
-
-
-def _unpacked(run):
-    """``run`` over (_key, _id, _f) on packed postings."""
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(keys >> CARRIED), batch.column(1), pa.array(keys & (2**CARRIED - 1))], names=["_key", "_id", "_f"])
-
-    return lambda batches: run(opened(batches))
-
-
-def _tally(words64: int, least: int):
-    """(_a, _b, _n): the pairs whose fingerprints share ``least`` bytes at their places or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [batch.column(3 + i).to_numpy() for i in range(2 * words64)]
-            bits = np.stack([words[i] ^ words[words64 + i] for i in range(words64)], axis=1)
-            yield batch.filter(pa.array((bits.view(np.uint8).reshape(len(bits), -1) == 0).sum(axis=1) >= least)).select(["_a", "_b", "_n"])
+                f = whole.column(0).slice(at, 4096).to_numpy()
+                b = _bytes(f.view(np.uint64)).astype(np.int64)
+                keys = [(np.int64(j) << 24) | (b[:, x] << 16) | (b[:, y] << 8) | b[:, z] for j, (x, y, z) in enumerate(triples)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(f, len(triples)))], names=["_key", "_f"])
 
     return run
 
@@ -230,41 +170,30 @@ def _forest(fps: np.ndarray, min_bytes: int, max_bits: int) -> list[tuple[int, i
     return links
 
 
-def _compare(min_bytes: int, max_bits: int, cap: int, hidden: bool = False):
-    """(kind, a, b): links 0 of a list's members; of lists that are too long, 0 for members near the first one and 1, the list's key and the member, for all.
-
-    With ``hidden`` also 1 for the linked members of other lists with two links or more, as these may stand for more links than are given.
-    """
+def _compare(min_bytes: int, max_bits: int, cap: int):
+    """(_kind, _a, _b): links 0 between a list's members; 1 for each member (twice) of a list that is too long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
-        pivot_key, pivot_id, pivot = None, 0, np.uint64(0)
 
         def packed():
             rows = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(3)], names=["_kind", "_a", "_b"])
 
-        def link(a: np.ndarray, b: np.ndarray):
-            out.append(np.stack([np.zeros(len(a), np.int64), np.maximum(a, b), np.minimum(a, b)], axis=1))
+        def add(kind: int, a: np.ndarray, b: np.ndarray):
+            out.append(np.stack([np.full(len(a), kind, np.int64), a, b], axis=1))
 
-        for (keys, ids, signed), kind in _groups(batches, cap):
+        for (_, signed), kind in _groups(batches, cap):
             fps = signed.view(np.uint64)
             if kind == "pairs":
                 near = _distances(fps[::2], fps[1::2], min_bytes) <= max_bits
                 if near.any():
-                    link(ids[::2][near], ids[1::2][near])
+                    add(0, signed[::2][near], signed[1::2][near])
             elif kind == "piece":
-                if keys[0] != pivot_key:
-                    pivot_key, pivot_id, pivot = keys[0], ids[0], fps[0]
-                near = ids[(np.bitwise_count(fps ^ pivot) <= max_bits) & (ids != pivot_id)]
-                link(near, np.full_like(near, pivot_id))
-                out.append(np.stack([np.ones_like(ids), keys, ids], axis=1))
+                add(1, signed, signed)
             elif links := _forest(fps, min_bytes, max_bits):
                 at = np.array(links)
-                link(ids[at[:, 0]], ids[at[:, 1]])
-                if hidden and len(at) > 1:
-                    linked = ids[np.unique(at)]
-                    out.append(np.stack([np.ones_like(linked), np.full_like(linked, keys[0]), linked], axis=1))
+                add(0, signed[at[:, 0]], signed[at[:, 1]])
             if len(out) > 2000:
                 yield packed()
                 out.clear()
@@ -273,36 +202,12 @@ def _compare(min_bytes: int, max_bits: int, cap: int, hidden: bool = False):
     return run
 
 
-def _pairs(max_bits: int, cap: int):
-    """(_a, _b): all near pairs of different components in each list of (_key, _id, _f, _c, _block); of a list of two blocks those between them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, ids, signed, named, blocks), kind in _groups(batches, cap):
-            fps, out = signed.view(np.uint64), []
-            if kind == "pairs":
-                near = (np.bitwise_count(fps[::2] ^ fps[1::2]) <= max_bits) & (named[::2] != named[1::2])
-                out.append((ids[::2][near], ids[1::2][near]))
-            else:
-                two = blocks.min() != blocks.max()
-                for i in range(len(ids) - 1):
-                    near = (np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= max_bits) & (named[i + 1 :] != named[i])
-                    if two:
-                        near &= blocks[i + 1 :] != blocks[i]
-                    other = ids[i + 1 :][near]
-                    out.append((np.full_like(other, ids[i]), other))
-            a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["_a", "_b"])
-
-    return run
-
-
 def _balls(reach: int):
-    """Every fingerprint at ``reach`` differing bits or fewer from each row's, with the row's id.
+    """Every value at ``reach`` differing bits or fewer from each fingerprint, with the fingerprint.
 
     Two fingerprints differ in at most 2 * reach bits exactly if some value is within reach of both; and all fingerprints
-    within reach of one value are linked to each other. So the ids under one value, at most as many as a ball has
-    values, form one star: an exact and linear way for crowded lists.
+    within reach of one value are linked to each other. So the fingerprints under one value, at most as many as a ball
+    has values, form one star: an exact and linear way for crowded lists.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,174 +215,51 @@ def _balls(reach: int):
         masks = np.array(masks, np.uint64)
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
-                fps = batch.column(1).to_numpy().view(np.uint64)
-                yield pa.RecordBatch.from_arrays([_signed((fps[:, None] ^ masks[None]).ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), len(masks)))], names=["_key", "_id"])
+                f = whole.column(0).slice(at, 64).to_numpy()
+                yield pa.RecordBatch.from_arrays([_signed((f.view(np.uint64)[:, None] ^ masks[None]).ravel()), pa.array(np.repeat(f, len(masks)))], names=["_key", "_f"])
 
     return run
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for (_, ids), kind in _groups(batches, 1 << 20):
+    for (_, f), kind in _groups(batches, 1 << 20):
         if kind == "pairs":
-            rest, least = ids.reshape(-1, 2).max(axis=1), ids.reshape(-1, 2).min(axis=1)
+            rest, least = f.reshape(-1, 2).max(axis=1), f.reshape(-1, 2).min(axis=1)
         else:
-            rest = ids[ids != ids.min()]
-            least = np.full(len(rest), ids.min())
+            rest = f[f != f.min()]
+            least = np.full(len(rest), f.min())
         yield pa.RecordBatch.from_arrays([pa.array(rest), pa.array(least)], names=["_a", "_b"])
 
 
-def _shingles(text: str | None, k: int) -> set[tuple[bytes, ...]]:
-    words = (text or "").encode().lower().split()
-    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
-
-
-def _verify(shingle: int, min_jaccard: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = _shingles(a, shingle), _shingles(b, shingle)
-                both = len(x & y)
-                keep.append(both >= min_jaccard * (len(x) + len(y) - both))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["_a", "_b"])
-
-    return run
-
-
-def _held(pairs: DataFrame, texts: DataFrame, shingle: int, min_jaccard: float) -> DataFrame:
-    """Those of the pairs (_a, _b) that have the similarity."""
-    used = pairs.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct()
-    whole = texts.join(used, "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text"))
-    one, two = (whole.select(F.col("_id").alias(f"_{c}"), F.col("_text").alias(f"_t{c}")) for c in "ab")
-    return saved(pairs.join(one, "_a").join(two, "_b").select("_a", "_b", "_ta", "_tb").mapInArrow(_verify(shingle, min_jaccard), "_a long, _b long"))
-
-
-def _similar(counted: DataFrame, texts: DataFrame, shingle: int, min_jaccard: float) -> DataFrame:
-    """Links (_a, _b) that connect what all pairs (_a, _b, _n) connect that have the similarity.
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, list_cap: int = LIST_CAP) -> DataFrame:
+    """(doc_id, fingerprint, component_id): one row an input row; component_id is the smallest id reachable over links.
 
-    First each text is held against the one that it meets most often, then what is left between different groups: a
-    large group of copies is not compared pair by pair.
+    Two 64-bit fingerprints link if they differ in at most ``max_bits`` bits (0, 2 or 4); no link is lost. Lists over
+    ``list_cap`` members take another exact way (see _balls). A null or empty text has fingerprint zero and links like
+    any other. Ids are integers; a null id is never the smallest, and a component of null ids alone has a null
+    component_id; repeated rows get the same component. Other columns are not read. An empty table gives an empty one.
     """
-    sides = [counted.select(F.col(c).alias("_r"), F.struct(-F.col("_n"), "_b", "_a").alias("_best")) for c in ("_a", "_b")]
-    first = saved(sides[0].union(sides[1]).groupBy("_r").agg(F.min("_best").alias("_best")).select("_best._a", "_best._b").distinct())
-    links = _held(first, texts, shingle, min_jaccard)
-    rest, roots = counted.join(first, ["_a", "_b"], "left_anti"), components(_edges(links))
-    for c in "ab":
-        rest = rest.join(roots.select(F.col("node").alias(f"_{c}"), F.col("root").alias(f"_r{c}")), f"_{c}", "left")
-    rest = rest.filter("coalesce(_ra, _a) <> coalesce(_rb, _b)").select("_a", "_b")
-    return links.union(_held(saved(rest), texts, shingle, min_jaccard))
-
-
-def _edges(links: DataFrame) -> DataFrame:
-    return links.select(F.col("_a").alias("u"), F.col("_b").alias("v"))
-
+    if max_bits not in (0, 2, 4):
+        raise ValueError("max_bits must be 0, 2 or 4, for which every way is exact")
+    tune(docs.sparkSession)
+    marked = saved(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(_fingerprints(shingle), "_id long, _f long"))
+    entries = saved(marked.groupBy("_f").agg(F.min("_id").alias("_least")))
+    least = 8 - max_bits
 
-def _blocks(crowded: DataFrame, joined: DataFrame, entries: DataFrame, block: int, packed: bool) -> DataFrame:
-    """(_key, _id, _f, _c, _block): each two blocks of a list that ``joined`` did not bring together, under one key, with the members' components so far.
+    def lists(rows: DataFrame, run, schema: str) -> DataFrame:
+        return saved(rows.repartition(F.col("_key")).sortWithinPartitions("_key", "_f").mapInArrow(run, schema))
 
-    The members (_key, _id) of a list are dealt to blocks in the order of their component so far, so that a large group
-    of near copies fills blocks of its own; two blocks that hold one and the same component need no comparison. The
-    work is linear in a group that is already joined, and quadratic only in members that are not.
-    """
-    named = crowded.join(joined.select(F.col("node").alias("_id"), "root"), "_id", "left").withColumn("_c", F.coalesce("root", "_id")).drop("root")
-    named = saved(named)
-    named = named.join(named.groupBy("_key").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).filter("_lo < _hi"), "_key", "left_semi")
-    at = F.row_number().over(Window.partitionBy("_key").orderBy("_c", "_id"))
-    dealt = saved(named.withColumn("_block", F.floor((at - 1) / block)))
-    spans = saved(dealt.groupBy("_key", "_block").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")))
-    left, right = (spans.select("_key", F.col("_block").alias(f"_{s}"), F.col("_lo").alias(f"_lo{s}"), F.col("_hi").alias(f"_hi{s}")) for s in "xy")
-    apart = left.join(right, "_key").filter("_x <= _y and not (_lox = _hix and _loy = _hiy and _lox = _loy)")
-    two = apart.select("_key", F.xxhash64("_key", "_x", "_y").alias("_two"), F.explode(F.array_distinct(F.array("_x", "_y"))).alias("_block"))
-    words = entries.columns[1:]
-    carried = F.element_at(F.array(*words), (F.shiftright("_list", 24) % len(words) + 1).cast("int"))
-    if packed:  # as _packed_postings has it
-        second = F.floor(F.shiftright("_list", 24) / len(words)) % 2 == 1
-        carried = F.when(second, F.shiftrightunsigned(carried, CARRIED)).otherwise(carried).bitwiseAND(F.lit(2**CARRIED - 1))
-    return dealt.join(two, ["_key", "_block"]).select("_two", F.col("_key").alias("_list"), "_id", "_c", "_block").join(entries, "_id").select(F.col("_two").alias("_key"), "_id", carried.alias("_f"), "_c", "_block")
-
-
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, words64: int = 1, triples: int = 64, list_cap: int = LIST_CAP, min_jaccard: float | None = None) -> DataFrame:
-    """(doc_id, _f0.., component_id): one row an input row; component_id is the smallest id reachable over links.
-
-    Two fingerprints link if they differ in at most ``max_bits`` bits. With 64 bits (words64=1) and max_bits up to 4
-    no link is lost. With wider fingerprints, for looser thresholds, the index has ``triples`` sets of places and finds
-    a pair with the chance that it agrees in one of them; the bits counted are then CARRIED bits of one word, another
-    one from list to list, so that chance in one word does not decide, and ``max_bits`` of 64 stands for its share of them.
-    With ``min_jaccard`` a link must also have that similarity of the two texts' sets of shingles, counted exactly; the
-    fingerprints are then those of the sets, so that repeats decide nothing, and only equal sets are one entry.
-    Lists over ``list_cap`` members lose nothing (see _balls and _blocks). A list gives a spanning forest first; after
-    these links are verified, all its near pairs that are still apart are, so that a rejected link hides no other.
-    A null or empty text has fingerprint zero and links like any other. Ids are integers; null ids come back as null
-    and sort last; repeated rows get the same component. An empty table gives an empty table.
-    """
-    tune(docs.sparkSession)
-    columns = [f"_f{i}" for i in range(words64)]
-    names = columns if min_jaccard is None else [*columns, "_s0", "_s1"]
-    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_id"), F.col(text_col).alias("_text"))
-    marked = saved(slim.mapInArrow(_fingerprints(shingle, words64, names), f"_id long, {', '.join(f'{c} long' for c in names)}"))
-    distinct = saved(marked.groupBy(*names).agg(F.min("_id").alias("_rep")))
-    entries = distinct.select(F.col("_rep").alias("_id"), *columns)
-    exact = words64 == 1 and max_bits <= 4
-    places = covering_triples(8, 8 - max_bits) if exact else spread_triples(8 * words64, triples)
-    least = 8 - max_bits if exact else 0  # wide: the three places of the list, which need not be in the carried word
-
-    near = max_bits if exact else round(max_bits * CARRIED / 64)
-
-    def lists(rows: DataFrame, run, schema: str = "_kind long, _a long, _b long", key=F.col("_key")) -> DataFrame:
-        return saved(rows.repartition(key).sortWithinPartitions("_key", "_id").mapInArrow(run, schema))
-
-    def tallied(pairs: DataFrame) -> DataFrame:
-        for c in "ab":
-            pairs = pairs.join(entries.select(F.col("_id").alias(f"_{c}"), *(F.col(f).alias(f"_{c}{f}") for f in columns)), f"_{c}")
-        words = [f"_{c}{f}" for c in "ab" for f in columns]
-        return saved(pairs.select("_a", "_b", "_n", *words).mapInArrow(_tally(words64, SHARED * words64 // 16), "_a long, _b long, _n long"))
-
-    compare = _compare(least, near, list_cap, hidden=min_jaccard is not None)
-    if exact:
-        found = lists(entries.mapInArrow(_postings(places, words64), "_key long, _id long, _f long"), compare)
-    else:
-        found = lists(entries.mapInArrow(_packed_postings(places, words64), "_key long, _id long"), _unpacked(compare), key=F.shiftright("_key", CARRIED))
-    links = found.filter("_kind = 0").select("_a", "_b")
-    if min_jaccard is None:
-        links = links.distinct()
-    else:
-        counted = tallied(links.groupBy("_a", "_b").agg(F.count("*").alias("_n")))
-        links = _similar(counted, slim, shingle, min_jaccard)
-    more = found.filter("_kind = 1").select(F.col("_a").alias("_key"), F.col("_b").alias("_id"))
-    if more.limit(1).count():
-        if exact and min_jaccard is None:
-            balls = entries.join(more, "_id", "left_semi").mapInArrow(_balls(max_bits // 2), "_key long, _id long")
-            links = links.union(balls.repartition(F.col("_key")).sortWithinPartitions("_key", "_id").mapInArrow(_stars, "_a long, _b long"))
-        else:
-            block = max(1, list_cap // 2)
-            apart = _blocks(more, saved(components(_edges(links))), entries, block, not exact)
-            if min_jaccard is None:
-                links = links.union(lists(apart.drop("_c", "_block"), _compare(least, near, 4 * block)).filter("_kind = 0").select("_a", "_b"))
-            else:  # every near pair between what the verified links left apart
-                pairs = tallied(lists(apart, _pairs(near, 4 * block), "_a long, _b long").distinct().withColumn("_n", F.lit(1).cast("long")))
-                links = links.union(_held(saved(pairs.join(counted, ["_a", "_b"], "left_anti")), slim, shingle, min_jaccard))
-    roots = components(_edges(links))
-    named = saved(distinct.join(roots, distinct["_rep"] == roots["node"], "left").select(*names, F.coalesce("root", "_rep").alias("_component")))
-    back = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
-    return marked.join(named, names).select(back("_id").alias("doc_id"), *columns, back("_component").alias("component_id"))
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, min_jaccard: float = 0.8, words64: int = 16, max_bits: int = 17, triples: int = 512) -> DataFrame:
-    """The input's rows and columns with one document of each near-duplicate group: the one with the smallest id.
-
-    Candidates are 1,024-bit fingerprints of the sets of 5-word shingles that meet in the index and there differ in at most
-    8 of 30 bits; pairs with a Jaccard similarity of 0.8 differ in 4.5 on average (angle arccos(2J / (1 + J))), with a
-    deviation of 2. Such a pair shares 34 of the 128 bytes on average; candidates must share SHARED.
-    (A wide fingerprint is needed for that: the number of shared bytes must vary little.) The similarity itself is then
-    counted. Rows with a null id stay; of rows that repeat an id one stays.
-    """
-    groups = near_groups(docs, id_col, text_col, shingle, max_bits, words64, triples, min_jaccard=min_jaccard)
-    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    known = docs.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return known.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").union(docs.filter(F.col(id_col).isNull()))
+    found = lists(entries.select("_f").mapInArrow(_postings(covering_triples(8, least)), "_key long, _f long"), _compare(least, max_bits, list_cap), "_kind long, _a long, _b long")
+    links = found.filter("_kind = 0").select("_a", "_b").distinct()
+    crowded = found.filter("_kind = 1").select(F.col("_a").alias("_f")).distinct()
+    if crowded.limit(1).count():
+        links = links.union(lists(crowded.mapInArrow(_balls(max_bits // 2), "_key long, _f long"), _stars, "_a long, _b long"))
+    roots = components(links.select(F.col("_a").alias("u"), F.col("_b").alias("v")))
+    placed = saved(entries.join(roots, entries["_f"] == roots["node"], "left").select("_f", "_least", F.coalesce("root", "_f").alias("_root")))
+    named = saved(placed.join(placed.groupBy("_root").agg(F.min("_least").alias("_component")), "_root").select("_f", "_component"))
+    return marked.join(named, "_f").select(F.col("_id").alias("doc_id"), F.lower(F.lpad(F.hex("_f"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
-    groups = near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return groups.select("doc_id", F.lower(F.lpad(F.hex("_f0"), 16, "0")).alias("fingerprint"), "component_id")
+    """near_groups() of all documents. Its jobs run when it is called; the returned frame reads their saved results."""
+    return near_groups(table(spark, sf_dir, "documents"))

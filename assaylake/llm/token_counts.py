@@ -1,7 +1,7 @@
 """Token counts of documents in flat token files that have no index, by a separator scan.
 
-A token file is a run of little-endian unsigned 16-bit ids in which every document ends with the end-of-document id.
-It is read as blocks that know nothing of documents. Each block's separators are found at once by a vectorised
+A token file is a run of little-endian unsigned ids of 2 bytes (4 for larger vocabularies) in which every document ends
+with the end-of-document id. It is read as blocks that know nothing of documents. Each block's separators are found at once by a vectorised
 search; a prefix scan over the blocks' summaries then gives every block the number of documents before it and the
 tokens carried into it, which stitches the documents that cross block borders.
 """
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec, default_ranks
@@ -24,16 +24,21 @@ BLOCK_TOKENS = 1 << 18
 BLOCK = "file long, block long, tokens binary, doc_ids array<long>, first long"
 
 
+def id_bytes(largest: int) -> int:
+    """Bytes of an id in a token file whose largest id is this."""
+    return 2 if largest < 2**16 else 4
+
+
 def _write(path: str, block_tokens: int):
     schema = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("tokens", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("first", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = codec(path)[0]
         end, file = encoder.max_token_value, TaskContext.get().partitionId()
-        held, size, block, ids, first = [], 0, 0, [], 0
+        held, size, block, ids, first, kind = [], 0, 0, [], 0, f"<u{id_bytes(end)}"
 
         def row(tokens):
-            return pa.RecordBatch.from_pydict({"file": [file], "block": [block], "tokens": [tokens.astype("<u2").tobytes()], "doc_ids": [ids], "first": [first]}, schema=schema)
+            return pa.RecordBatch.from_pydict({"file": [file], "block": [block], "tokens": [tokens.astype(kind).tobytes()], "doc_ids": [ids], "first": [first]}, schema=schema)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "").to_pylist(), strict=True):
@@ -53,7 +58,10 @@ def _write(path: str, block_tokens: int):
 
 
 def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """Blocks (file, block, tokens) of one flat token file a partition, and the order of documents (file, ordinal, doc_id) in each."""
+    """Blocks (file, block, tokens) of one flat token file a partition, and the order of documents (file, ordinal, doc_id) in each.
+
+    A null text is an empty document; null and repeated ids keep their rows; an empty table gives no block.
+    """
     tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     written = saved(rows.mapInArrow(_write(ranks or default_ranks(), block_tokens), BLOCK))
@@ -61,24 +69,38 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return written.select("file", "block", "tokens"), order
 
 
-def _scan(separator: int):
+def read_token_files(spark: SparkSession, path, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(file, path, block, tokens) of raw token files, which hold nothing but ids of ``width`` bytes.
+
+    Files are numbered by a hash of their path and cut into blocks by byte ranges. One file is at most 2 GB (the bound of
+    Spark's binary reader); bytes after the last whole id are an error.
+    """
+    size = block_tokens * width
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    whole = F.when(F.col("length") % width != 0, F.raise_error(F.concat(F.lit("no whole number of ids in "), F.col("path"))).cast("long")).otherwise(F.col("length"))
+    last = F.floor(F.greatest(whole - 1, F.lit(0)) / size).cast("int")
+    cut = files.select("path", "content", F.explode(F.sequence(F.lit(0), last)).alias("block"))
+    return cut.select(F.xxhash64("path").alias("file"), "path", F.col("block").cast("long").alias("block"), F.expr(f"substring(content, block * {size} + 1, {size})").alias("tokens"))
+
+
+def _scan(separator: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [np.frombuffer(x, "<u2") for x in batch.column(2).to_pylist()]
+            tokens = [np.frombuffer(x, f"<u{width}") for x in batch.column(2).to_pylist()]
             ends = [np.flatnonzero(t == separator) for t in tokens]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t) for t in tokens], pa.int64()), pa.array(ends, pa.list_(pa.int64()))], names=["file", "block", "n", "ends"])
 
     return run
 
 
-def count_tokens(blocks: DataFrame, separator: int = 50256) -> DataFrame:
+def count_tokens(blocks: DataFrame, separator: int = 50256, width: int = 2) -> DataFrame:
     """(file, ordinal, n_tokens, terminated): every document of every file, in order; its tokens without the separator.
 
     Tokens after a file's last separator are one more document with terminated = false; an empty document counts 0.
     Blocks may cut documents anywhere and a document may span many blocks; their order is that of ``block``; null or
     empty blocks hold no token. A file without tokens has no document.
     """
-    found = saved(blocks.withColumn("tokens", F.coalesce("tokens", F.lit("").cast("binary"))).mapInArrow(_scan(separator), "file long, block long, n long, ends array<long>"))
+    found = saved(blocks.select("file", "block", "tokens").withColumn("tokens", F.coalesce("tokens", F.lit("").cast("binary"))).mapInArrow(_scan(separator, width), "file long, block long, n long, ends array<long>"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     summed = found.select("file", "block", "n", F.size("ends").cast("long").alias("docs"), F.element_at(F.when(F.size("ends") > 0, F.col("ends")), -1).alias("last"))
     start = F.coalesce(F.sum("n").over(before), F.lit(0))
@@ -96,5 +118,6 @@ def count_tokens(blocks: DataFrame, separator: int = 50256) -> DataFrame:
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
+    """All documents written to flat token files, whose documents are then found and counted by their separators alone."""
     blocks, order = write_token_files(table(spark, sf_dir, "documents"))
     return order.join(count_tokens(blocks), ["file", "ordinal"]).select("doc_id", "n_tokens")

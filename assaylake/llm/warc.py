@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 
 from .common import saved, table, tune
 
+#: Decompressed bytes of one record at most; a larger one is reported and skipped.
+MOST = 1 << 30
+#: Digest algorithms that are compared; others are left alone.
+ALGORITHMS = {"sha1": hashlib.sha1, "sha256": hashlib.sha256, "sha512": hashlib.sha512, "md5": hashlib.md5}
 #: Fixed by the formats: the skippable frame that holds a dictionary, the magic numbers of dictionaries and frames.
 DICT_FRAME, DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, b"\x37\xa4\x30\xec", b"\x28\xb5\x2f\xfd"
 REQUIRED = ("WARC-Record-ID", "WARC-Type", "WARC-Date", "Content-Length")
 DATE = "2026-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
-RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, error string"
+RECORD = "record_id string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, error string"
 
 
 def digest(payload: bytes) -> str:
@@ -64,8 +68,8 @@ def _decompressor(dictionary: bytes):
     return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdDecompressor()
 
 
-def frames(archive: bytes) -> Iterator[tuple[bytes, str | None]]:
-    """(content, error) of every frame after the dictionary. A damaged frame gives its error and ends the archive, as the next one's start is not known."""
+def frames(archive: bytes, most: int = MOST) -> Iterator[tuple[bytes, str | None]]:
+    """(content, error) of every frame after the dictionary; a frame of over ``most`` bytes gives an error only. A damaged frame gives its error and ends the archive, as the next one's start is not known."""
     at, dictionary, view = 0, b"", memoryview(archive)
     while at < len(archive):
         if len(archive) - at >= 8 and struct.unpack_from("<I", archive, at)[0] & 0xFFFFFFF0 == 0x184D2A50:
@@ -81,12 +85,15 @@ def frames(archive: bytes) -> Iterator[tuple[bytes, str | None]]:
                     return
             at += 8 + n
             continue
-        reader, parts, size = _decompressor(dictionary).decompressobj(), [], 1 << 12
+        reader, parts, size, total = _decompressor(dictionary).decompressobj(), [], 1 << 12, 0
         try:
             while not reader.eof and at < len(archive):
                 fed = view[at : at + size]
                 parts.append(reader.decompress(fed))
                 at += len(fed)
+                total += len(parts[-1])
+                if total > most:
+                    parts.clear()
         except zstandard.ZstdError as e:
             yield b"", f"bad frame: {e}"
             return
@@ -94,39 +101,69 @@ def frames(archive: bytes) -> Iterator[tuple[bytes, str | None]]:
             yield b"", "cut frame"
             return
         at -= len(reader.unused_data)
-        yield b"".join(parts), None
+        yield (b"".join(parts), None) if total <= most else (b"", f"record of {total} bytes")
 
 
 def _page(uri: str | None) -> int | None:
     return int(uri[10:-1]) if uri and uri.startswith("<urn:page:") and uri[10:-1].lstrip("-").isdigit() else None
 
 
+def _fields(lines: list[bytes]) -> dict[str, str] | None:
+    """Named fields by lower-case name, folded lines joined; None where a line is no field. Of a repeated field the first counts."""
+    joined: list[bytes] = []
+    for line in lines:
+        if line[:1] in (b" ", b"\t") and joined:
+            joined[-1] += b" " + line.strip()
+        else:
+            joined.append(line)
+    out: dict[str, str] = {}
+    for line in joined:
+        name, colon, value = line.partition(b":")
+        if not colon or not name.strip():
+            return None
+        out.setdefault(name.decode("latin-1").strip().lower(), value.decode("utf-8", "replace").strip())
+    return out
+
+
+def _agrees(stated: str | None, data: bytes) -> bool:
+    """Whether a labelled digest in base 32 or 16 is that of the data; one of an unknown algorithm is not compared."""
+    kind, _, value = (stated or "").partition(":")
+    if kind.lower() not in ALGORITHMS or not value:
+        return True
+    made = ALGORITHMS[kind.lower()](data)
+    return value.upper().rstrip("=") == base64.b32encode(made.digest()).decode().rstrip("=") or value.lower() == made.hexdigest()
+
+
 def parse(content: bytes) -> dict:
-    """One frame's record, validated: version, header lines, required fields, lengths, ending, payload digest."""
-    out = dict.fromkeys(("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "error"))
+    """One frame's record, validated: version, header lines, required fields, lengths, ending, digests.
+
+    The payload is the HTTP body of records whose block is an HTTP message, and the whole block of all others. A revisit
+    without the length of what it refers to has null payload_bytes.
+    """
+    out = dict.fromkeys(("record_id", "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "error"))
     head, split, rest = content.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
-    fields = {}
-    for line in lines[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon or not name.strip():
-            return out | {"error": "bad header line"}
-        fields[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
-    out |= {"page_id": _page(fields.get("warc-record-id")), "url": fields.get("warc-target-uri"), "record_type": fields.get("warc-type"), "refers_to": _page(fields.get("warc-refers-to"))}
+    fields = _fields(lines[1:])
+    if fields is None:
+        return out | {"error": "bad header line"}
+    out |= {"record_id": fields.get("warc-record-id"), "page_id": _page(fields.get("warc-record-id")), "url": fields.get("warc-target-uri"), "record_type": fields.get("warc-type"), "refers_to": _page(fields.get("warc-refers-to"))}
     if not split or lines[0] not in (b"WARC/1.0", b"WARC/1.1"):
         return out | {"error": "bad version or no end of headers"}
     if missing := [n for n in REQUIRED if n.lower() not in fields]:
         return out | {"error": f"missing {missing[0]}"}
     if not fields["content-length"].isdigit() or len(rest) != int(fields["content-length"]) + 4 or rest[-4:] != b"\r\n\r\n":
         return out | {"error": "wrong Content-Length or ending"}
-    http, _, payload = rest[:-4].partition(b"\r\n\r\n")
-    stated = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+    block = rest[:-4]
+    if not _agrees(fields.get("warc-block-digest"), block):
+        return out | {"error": "wrong block digest"}
+    http = fields.get("content-type", "").lower().replace(" ", "").startswith("application/http") and out["record_type"] in ("response", "request", "revisit")
+    payload = block.partition(b"\r\n\r\n")[2] if http else block
+    stated = fields.get("warc-payload-digest")
     if out["record_type"] == "revisit":
         length = fields.get("payload-length", "")
-        if payload or not length.isdigit() or out["refers_to"] is None:
-            return out | {"error": "bad revisit"}
-        return out | {"payload_bytes": int(length), "payload_digest": stated, "payload": b""}
-    if stated and digest(payload) != stated:
+        kind, _, value = (stated or "").partition(":")
+        return out | {"payload_bytes": int(length) if length.isdigit() else None, "payload_digest": value if kind.lower() == "sha1" else None, "payload": b""}
+    if not _agrees(stated, payload):
         return out | {"error": "wrong payload digest"}
     return out | {"payload_bytes": len(payload), "payload_digest": digest(payload), "payload": payload}
 
@@ -165,7 +202,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = 1
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("error", pa.string())])
+    schema = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("error", pa.string())])
     for batch in batches:
         for content in batch.column(0).to_pylist():
             held, size = [], 0
@@ -182,11 +219,22 @@ def read_archives(archives: DataFrame) -> DataFrame:
     """Records of archives given as rows with a ``content`` binary: write_archives()' output, or .warc.zst files by spark.read.format("binaryFile").
 
     Every record is validated; one that fails has its reason in ``error`` (null otherwise) and whatever fields could be
-    read. A null or empty content has no record.
+    read. A page_id is read from record ids of the form that write_archives() gives; any other id is in record_id only.
+    A null or empty content has no record.
     """
     return tune(archives.sparkSession) and archives.select("content").mapInArrow(_read, RECORD)
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
+    """All pages written to archives, which are saved when it is called, and read back from them."""
     archives = saved(write_archives(table(spark, sf_dir, "pages")), "none")
     return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP3_SQL = r"""
+WITH payloads AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS h FROM pages),
+firsts AS (SELECT h, min(page_id) AS first FROM payloads GROUP BY 1)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1) FOR i IN range(0, 32)], '') AS payload_digest
+FROM payloads JOIN firsts USING (h)
+"""
