@@ -13,9 +13,11 @@ _shipped: set[str] = set()
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir, which all executors share; only where that is unset, a temporary one."""
+    """A new folder name below spark.checkpoint.dir, which all executors share; where that is unset, a temporary one in local mode and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="assaylake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/assaylake-{uuid.uuid4().hex}"

@@ -1,8 +1,18 @@
 """Comparison of result frames."""
 
+import numpy as np
+import pandas as pd
+
+
+def text(v):
+    if isinstance(v, (list, tuple, np.ndarray)):
+        return str([text(x) for x in v])
+    if pd.isna(v):
+        return "null"
+    return repr(round(float(v), 6)) if isinstance(v, (float, np.floating)) else str(v)
+
 
 def canonical(frame):
-    """Rows of a pandas frame, columns by name, as comparable texts."""
+    """Rows of a pandas frame, columns by name, as comparable texts; whole numbers in a column of doubles stay doubles."""
     frame = frame[sorted(frame.columns)]
-    text = lambda v: "null" if v is None or v != v else repr(round(v, 6)) if isinstance(v, float) else str(v)
     return list(frame.columns), sorted(tuple(text(v) for v in row) for row in frame.itertuples(index=False))
