@@ -101,3 +101,111 @@ def ordered_rules(rules: list[tuple[Column, str]], otherwise: str | None = None)
     for condition, label in rules:
         out = out.when(condition, label)
     return out.otherwise(otherwise) if otherwise is not None else out
+
+
+#: The stages of a run in their order, from 0.
+STAGES = (
+    "CLEANUP_PROJECT", "DOWNLOAD_PROJECT", "SETUP_PROJECT", "ADD_DEPENDENCIES", "BUILD_PROJECT_ORIGINAL", "GENERATE_EVOSUITE_TESTS", "POSTPROCESS_EVOSUITE_TESTS", "BUILD_SPOON_MODEL",
+    "EXECUTE_TESTS_ORIGINAL", "COLLECT_JUNIT_REPORTS_ORIGINAL", "FILTER_TESTS_ORIGINAL", "ANALYZE_TESTS", "FILTER_TESTS", "FILTER_ASSERTIONS", "ADD_JPF_INSTRUMENTATION", "BUILD_PROJECT_INSTRUMENTED",
+    "EXECUTE_JPF", "ANALYZE_JPF", "CLEANUP_JPF_INSTRUMENTATION", "BUILD_PROJECT_INITIAL", "EXECUTE_TESTS_INITIAL", "COLLECT_JUNIT_REPORTS_INITIAL", "CLEANUP_GENERALIZATION", "GENERALIZE_TESTS",
+    "BUILD_PROJECT_GENERALIZED", "EXECUTE_TESTS_GENERALIZED", "COLLECT_JUNIT_REPORTS_GENERALIZED", "FILTER_GENERALIZATIONS", "RESTORE_ORIGINAL_BUILD", "COLLECT_JACOCO_DATA_ORIGINAL",
+    "COLLECT_PIT_DATA_ORIGINAL", "COLLECT_JACOCO_DATA_INITIAL", "COLLECT_PIT_DATA_INITIAL", "RESTORE_GENERALIZED_BUILD", "COLLECT_JACOCO_DATA_GENERALIZED", "COLLECT_PIT_DATA_GENERALIZED",
+)
+#: Fixed value: variants that reports compare.
+VARIANT_PATTERN = r"^(BASELINE|NAIVE_\d+_TRIES|IMPROVED_\d+_TRIES)$"
+
+
+def _ordered(c: Column, names: tuple | list, null: int) -> Column:
+    place = F.try_element_at(F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)]), c)
+    return F.when(c.isNull(), null).otherwise(F.coalesce(place, F.raise_error(F.concat(F.lit("no order for "), c)).cast("int")))
+
+
+def stage_order(stage: Column) -> Column:
+    """A stage's place from 0; null is -1, an unknown stage is an error."""
+    return _ordered(stage, STAGES, -1)
+
+
+def level_order(level: Column) -> Column:
+    """Tests, assertions, generalizations; null is -1, an unknown level is an error."""
+    return _ordered(level, ("test", "assertion", "generalization"), -1)
+
+
+def compared_variant(variant: Column) -> Column:
+    return F.coalesce(variant.rlike(VARIANT_PATTERN), F.lit(False))
+
+
+def part_of(c: Column, separator: str, n: int) -> Column:
+    """The n-th part between separators, from the end where n is negative; '' beyond the parts."""
+    return F.split_part(c, F.lit(separator), F.lit(n))
+
+
+def declaring_type(path: Column) -> Column:
+    """The type name of a model path such as #subPackage[name=a]#containedType[name=B]#method…; null without a method part."""
+    head = matched(path, r"^(.*)#method")
+    dotted = F.regexp_replace(F.regexp_replace(head, r"#subPackage\[name=([^\]]+)\]", "$1."), r"#containedType\[name=([^\]]+)\]", "$1.")
+    return F.rtrim(dotted, F.lit("."))
+
+
+def json_kind(c: Column) -> Column:
+    """array, object, string, number, boolean or null of a JSON text; SQL null where it is no JSON."""
+    parsed = F.try_parse_json(c)
+    schema = F.schema_of_variant(parsed)
+    return (
+        F.when(schema.startswith("ARRAY"), "array").when(schema.startswith("OBJECT"), "object").when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean").when(schema == "VOID", "null")
+        .when(schema.isNotNull(), "number")
+    )
+
+
+def short_filter(name: Column, aliases: dict[str, str]) -> Column:
+    """A filter's simple name, or its alias."""
+    simple = simple_name(name)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv]), simple), simple) if aliases else simple
+
+
+def short_combo(combo: Column, aliases: dict[str, str], separator: str = "+") -> Column:
+    """The same for every name of a combination."""
+    return F.array_join(F.transform(F.split(combo, f"\\{separator}"), lambda n: short_filter(n, aliases)), separator)
+
+
+def display_project(name: Column, names: dict[str, str]) -> Column:
+    """The display name of a project: its last path segment if it is a path, then the mapping, else itself."""
+    plain = F.trim(name)
+    last = F.when(plain.startswith("/"), F.substring_index(plain, "/", -1)).otherwise(plain)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), last), last) if names else last
+
+
+def prefix_and_budget(name: Column) -> tuple[Column, Column]:
+    """(prefix, budget) of <prefix>-es-default-<n>s; both null elsewhere."""
+    pattern = r"^(.+)-es-default-(\d+s)$"
+    return matched(name, pattern, 1), matched(name, pattern, 2)
+
+
+def base_name(name: Column) -> Column:
+    """What stands before -es-; the whole name where that is absent."""
+    return F.substring_index(name, "-es-", 1)
+
+
+def normalized_text(c: Column) -> Column:
+    """Lines without white space at their ends."""
+    return F.regexp_replace(c, r"(?m)[^\S\n]+$", "")
+
+
+def has_specification(size: Column, output: Column, none: str = "NULL_CONCRETE") -> Column:
+    """A rendered size above 0 in the statistics' JSON, and an output class other than ``none``."""
+    return F.coalesce(F.get_json_object(size, "$.size").cast("int") > 0, F.lit(False)) & output.isNotNull() & (output != none)
+
+
+def in_list(c: Column, values: list) -> Column:
+    """Membership; null is in no list."""
+    return F.coalesce(c.isin(values), F.lit(False)) if values else F.lit(False)
+
+
+def matches_like(c: Column, pattern: str) -> Column:
+    """LIKE with its wildcards: % for any text and _ for any one character."""
+    return F.coalesce(c.like(pattern), F.lit(False))
+
+
+def last_exception(text: Column) -> Column:
+    """The last qualified exception or error name in a diagnostic text; null where there is none."""
+    found = F.regexp_extract_all(text, F.lit(r"((?:[A-Za-z_$][\w$]*\.)+[A-Z][\w$]*(?:Exception|Error))"), F.lit(1))
+    return F.try_element_at(found, F.lit(-1))

@@ -44,3 +44,57 @@ def on_skeleton(skeleton: DataFrame, counts: DataFrame, keys: list[str], n: str
 def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
     """Counts of the given column values per row value, and the total over all values."""
     return df.groupBy(row).agg(*[F.count_if(F.col(column) == v).alias(v) for v in values], F.count("*").alias("total"))
+
+
+def eligible(projects: DataFrame, flag: Column, excluded: list, failures: DataFrame, key: str = "project_id") -> DataFrame:
+    """(key): flagged entities that are on no exclusion list and have no row among the failures."""
+    kept = projects.filter(F.coalesce(flag, F.lit(False)))
+    kept = kept.filter(~F.col(key).isin(excluded)) if excluded else kept
+    return kept.select(key).join(failures.select(key).distinct(), key, "left_anti")
+
+
+def excluded_projects(failures: DataFrame, coverage: DataFrame, patterns: list[str], stage: str, stage_pattern: str) -> DataFrame:
+    """(project_id): a failure text matches a family, or matches ``stage_pattern`` in one stage, or coverage rows exist and none covers anything.
+
+    failures: (project_id, stage, info); coverage: (project_id, instruction_covered, branch_covered, line_covered).
+    """
+    text = F.col("info").rlike("|".join(f"(?:{p})" for p in patterns)) | ((F.col("stage") == stage) & F.col("info").rlike(stage_pattern))
+    by_text = failures.filter(text).select("project_id")
+    covered = F.coalesce(F.greatest("instruction_covered", "branch_covered", "line_covered") > 0, F.lit(False))
+    by_coverage = coverage.groupBy("project_id").agg(F.bool_or(covered).alias("_any")).filter("not _any").select("project_id")
+    return by_text.union(by_coverage).distinct()
+
+
+def included(children: DataFrame, *parents: tuple[DataFrame, str]) -> DataFrame:
+    """Included rows whose every parent is included too; parents: (frame with its key and is_included, key)."""
+    out = children.filter("is_included")
+    for frame, key in parents:
+        out = out.join(frame.filter("is_included").select(key).distinct(), key, "left_semi")
+    return out
+
+
+def equivalence_members(rows: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """(member, representative, class_size): each row with the smallest member of its class; classes stay rows and are never one value."""
+    classes = rows.groupBy(*keys).agg(F.min(member).alias("representative"), F.count("*").alias("class_size"))
+    same = [rows[k].eqNullSafe(classes[k]) for k in keys]
+    return rows.join(classes, same).select(rows[member], "representative", "class_size")
+
+
+def first_seen_order(rows: DataFrame, group: str, ordinal: str) -> DataFrame:
+    """(group, first_seen): groups by the smallest ordinal of their rows."""
+    return rows.groupBy(group).agg(F.min(ordinal).alias("first_seen"))
+
+
+def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with right's columns; a repeated key on the right, and a key that the right lacks, are errors."""
+    rest = [c for c in right.columns if c not in keys]
+    single = right.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct(*rest)).alias("_r"))
+    joined = left.join(single, keys, "left")
+    named = F.concat_ws(",", *[F.col(k).cast("string") for k in keys])
+    checked = F.when(F.col("_n").isNull(), F.raise_error(F.concat(F.lit("no row for "), named)).cast("long")).when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("repeated "), named)).cast("long")).otherwise(F.lit(0))
+    return joined.withColumn("_n", checked).filter("_n = 0").select(*left.columns, "_r.*")
+
+
+def suffix_join(paths: DataFrame, names: DataFrame, path: str, name: str) -> DataFrame:
+    """Rows whose path ends in the name: by the last segment, as an equi-join."""
+    return paths.withColumn("_last", F.substring_index(F.rtrim(F.col(path), F.lit("/")), "/", -1)).join(names.withColumn("_last", F.substring_index(F.col(name), "/", -1)), "_last").filter(F.rtrim(F.col(path), F.lit("/")).endswith(F.col(name))).drop("_last")

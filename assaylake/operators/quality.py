@@ -49,3 +49,65 @@ def set_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
     """(keys, side) of keys on one side only."""
     a, b = left.select(*keys).distinct(), right.select(*keys).distinct()
     return a.join(b, keys, "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, keys, "left_anti").withColumn("side", F.lit("right")))
+
+
+def require_closed(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
+    """The rows; a value outside the list, or null, is an error when it is read."""
+    known = F.when(F.col(column).isin(allowed), F.col(column)).otherwise(F.raise_error(F.concat(F.lit(f"unknown {column} "), F.coalesce(F.col(column), F.lit("null")))).cast("string"))
+    return df.withColumn(column, known)
+
+
+def tolerant(df: DataFrame, columns: list[str], build, note_schema: str = "note string") -> DataFrame:
+    """build(df) where all columns are there, else one row that names the missing ones."""
+    missing = sorted(set(columns) - set(df.columns))
+    if not missing:
+        return build(df)
+    return df.sparkSession.range(1).select(F.lit(f"skipped, missing: {', '.join(missing)}").alias(note_schema.split()[0]))
+
+
+def issues(found: list[tuple[str, DataFrame]], evidence: list[str]) -> DataFrame:
+    """(issue, evidence): one row for each offending row of each class of issues, with the named columns as JSON where a frame has them."""
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(name).alias("issue"), F.to_json(F.struct(*[c for c in evidence if c in rows.columns])).alias("evidence")) for name, rows in found])
+
+
+def share_budget(counts: DataFrame, keys: list[str], bucket: str, n: str, generic: list[str], most_pct: float) -> DataFrame:
+    """(*keys, generic_pct, holds): the share of generic buckets is at most a percentage."""
+    sums = counts.groupBy(*keys).agg(F.sum(F.when(F.col(bucket).isin(generic), F.col(n)).otherwise(0)).alias("_g"), F.sum(n).alias("_n"))
+    return sums.select(*keys, F.round(F.try_divide(F.col("_g") * 100.0, F.col("_n")), 2).alias("generic_pct")).withColumn("holds", F.coalesce(F.col("generic_pct") <= most_pct, F.lit(True)))
+
+
+def run_comparability(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(kind, name, left, right, severity) of differences of two runs' facts (kind, name, value): tool versions and table shapes block, other kinds warn."""
+    a, b = (x.select("kind", "name", F.col("value").alias(s)) for x, s in ((left, "left"), (right, "right")))
+    joined = a.join(b, ["kind", "name"], "full").filter(~F.col("left").eqNullSafe(F.col("right")))
+    return joined.withColumn("severity", F.when(F.col("kind").isin("tool_version", "table_shape"), "block").otherwise("warn"))
+
+
+def completeness(sources: dict[str, DataFrame], key: str) -> DataFrame:
+    """(key, problem): keys that some sources have and others lack, and keys that a source has twice."""
+    first = next(iter(sources.values())).select(key).limit(0)
+    every = reduce(DataFrame.union, [first, *(f.select(key) for f in sources.values())]).distinct()
+    out = []
+    for name, frame in sources.items():
+        counted = frame.groupBy(key).agg(F.count("*").alias("_n"))
+        out.append(every.join(counted, key, "left_anti").select(key, F.lit(f"missing in {name}").alias("problem")))
+        out.append(counted.filter("_n > 1").select(key, F.lit(f"repeated in {name}").alias("problem")))
+    return reduce(DataFrame.union, out)
+
+
+def expected_count(df: DataFrame, key: str, expected: int) -> DataFrame:
+    """One row (actual, expected, holds) of distinct keys."""
+    return df.agg(F.countDistinct(key).alias("actual")).select("actual", F.lit(expected).cast("long").alias("expected"), (F.col("actual") == expected).alias("holds"))
+
+
+def rerun_idempotent(before: DataFrame, after: DataFrame, keys: list[str], resumed: Column) -> DataFrame:
+    """(*keys, rows_before, rows_after, holds): counts by keys such as project and stage stay, but for the resumed ones, which may grow."""
+    a, b = (x.groupBy(*keys).agg(F.count("*").alias(n)) for x, n in ((before, "rows_before"), (after, "rows_after")))
+    joined = a.join(b, keys, "full").fillna(0, ["rows_before", "rows_after"])
+    return joined.withColumn("holds", F.when(resumed, F.col("rows_after") >= F.col("rows_before")).otherwise(F.col("rows_after") == F.col("rows_before")))
+
+
+def registry_findings(present: DataFrame, registered: DataFrame, name: str) -> DataFrame:
+    """(name, finding): unregistered where only present, missing where only registered; names on both sides give no row."""
+    p, r = present.select(name).distinct().withColumn("_p", F.lit(True)), registered.select(name).distinct().withColumn("_r", F.lit(True))
+    return p.join(r, name, "full").filter("_p is null or _r is null").select(name, F.when(F.col("_r").isNull(), "unregistered").otherwise("missing").alias("finding"))

@@ -370,7 +370,9 @@ def rollup_totals(t):
     return t("lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT url AS project, min(page_id) AS representative, string_agg(page_id::VARCHAR, ',' ORDER BY page_id) AS equivalent FROM (SELECT page_id, split_part(split_part(url, '//', 2), '/', 1) AS url FROM pages) GROUP BY 1""")
+@query("""WITH h AS (SELECT page_id, md5(coalesce(html, '')) AS content, split_part(split_part(url, '//', 2), '/', 1) AS method FROM pages)
+SELECT page_id, min(page_id) OVER (PARTITION BY content, method) AS representative, count(*) OVER (PARTITION BY content, method) AS class_size FROM h""")
 def equivalence_classes(t):
-    host = F.split_part(F.split_part("url", F.lit("//"), F.lit(2)), F.lit("/"), F.lit(1))
-    return t("pages").groupBy(host.alias("project")).agg(F.min("page_id").alias("representative"), F.array_join(F.transform(F.array_sort(F.collect_list("page_id")), lambda x: x.cast("string")), ",").alias("equivalent"))
+    method = F.split_part(F.split_part("url", F.lit("//"), F.lit(2)), F.lit("/"), F.lit(1))
+    rows = t("pages").select("page_id", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("content"), method.alias("method"))
+    return populations.equivalence_members(rows, ["content", "method"], "page_id")

@@ -9,10 +9,12 @@ def text(v):
         return str([text(x) for x in v])
     if pd.isna(v):
         return "null"
-    return repr(round(float(v), 6)) if isinstance(v, (float, np.floating)) else str(v)
+    if isinstance(v, (float, np.floating)):
+        return str(int(v)) if float(v).is_integer() else repr(round(float(v), 6))  # pandas makes doubles of whole numbers beside nulls
+    return str(v)
 
 
 def canonical(frame):
-    """Rows of a pandas frame, columns by name, as comparable texts; whole numbers in a column of doubles stay doubles."""
+    """Rows of a pandas frame, columns by name, as comparable texts."""
     frame = frame[sorted(frame.columns)]
     return list(frame.columns), sorted(tuple(text(v) for v in row) for row in frame.itertuples(index=False))
