@@ -61,7 +61,7 @@ def population_digest(df: DataFrame, identity: list[str]) -> DataFrame:
 def stratified_sample(population: DataFrame, strata: list[str], identity: str, allocation: DataFrame, seed: str) -> DataFrame:
     """Rows drawn without replacement by the order of SHA-256(seed, identity), as many a stratum as ``allocation`` (strata, wanted) says.
 
-    A stratum with fewer rows than wanted, and a repeated identity, are errors. A stratum's candidates are first cut in each
+    A stratum with fewer rows than wanted, and a repeated identity, are errors at the call. A stratum's candidates are first cut in each
     of 256 slices of the hash, so that a large stratum is not sorted by one task.
     """
     drawn = F.sha2(F.concat(F.lit(seed + ":"), F.col(identity).cast("string")), 256)
@@ -69,7 +69,7 @@ def stratified_sample(population: DataFrame, strata: list[str], identity: str, a
     sizes = population.groupBy(*strata).agg(F.count("*").alias("_size"), F.countDistinct(identity).alias("_ids"))
     rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("_h", identity))
     few = keyed.withColumn("_r", rank(*strata, "_slice")).filter("_r <= wanted").withColumn("_r", rank(*strata)).filter("_r <= wanted")
-    every = allocation.join(sizes, strata, "left").join(few.drop("wanted"), strata, "left")
-    label = F.concat_ws(",", *[F.coalesce(F.col(s).cast("string"), F.lit("null")) for s in strata])
-    stop = F.when(F.coalesce("_size", F.lit(0)) < F.col("wanted"), F.raise_error(F.concat(F.lit("stratum too small: "), label)).cast("long")).when(F.col("_ids") < F.col("_size"), F.raise_error(F.concat(F.lit("repeated identity in "), label)).cast("long"))
-    return every.withColumn("_size", F.coalesce(stop, F.col("_size"))).filter("_size >= 0 and _r is not null").select(*population.columns)
+    wrong = (F.coalesce("_size", F.lit(0)) < F.col("wanted")) | (F.coalesce("_ids", F.lit(0)) < F.coalesce("_size", F.lit(0)))
+    if bad := allocation.join(sizes, strata, "left").filter(wrong).select(*strata).first():
+        raise ValueError(f"too few rows or a repeated identity in stratum {tuple(bad)}")
+    return few.select(*population.columns)

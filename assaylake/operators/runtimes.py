@@ -105,8 +105,11 @@ def pareto_points(points: DataFrame, group: list[str], x: str, y: str, x_toleran
     cell = lambda c, t: F.floor(F.col(c) / t)
     near = front.select(*group, F.col(x).alias("_fx"), F.col(y).alias("_fy"), F.explode(steps).alias("_dx"), cell(x, x_tolerance).alias("_cx"), cell(y, y_tolerance).alias("_cy"))
     near = near.withColumn("_cx", F.col("_cx") + F.col("_dx")).withColumn("_cy", F.explode(F.transform(steps, lambda d: F.col("_cy") + d))).drop("_dx")
-    placed = points.withColumns({"_cx": cell(x, x_tolerance), "_cy": cell(y, y_tolerance), "_row": F.struct(*points.columns)})
+    placed = points.withColumns({"_cx": cell(x, x_tolerance), "_cy": cell(y, y_tolerance)})
     close = (F.abs(F.col(x) - F.col("_fx")) <= x_tolerance) & (F.abs(F.col(y) - F.col("_fy")) <= y_tolerance)
-    hit = placed.join(near, [*group, "_cx", "_cy"]).filter(close).select(*group, F.col(x).alias("_hx"), F.col(y).alias("_hy")).distinct()
+    names = [f"_g{i}" for i in range(len(group))]
+    near = near.select(*[F.col(g).alias(n) for g, n in zip(group, names, strict=True)], "_fx", "_fy", *[F.col(c).alias(f"_n{c}") for c in ("_cx", "_cy")])
+    meets = [F.col(g).eqNullSafe(F.col(n)) for g, n in zip(group, names, strict=True)] + [F.col("_cx") == F.col("_n_cx"), F.col("_cy") == F.col("_n_cy")]
+    hit = placed.join(near, meets).filter(close).select(*group, F.col(x).alias("_hx"), F.col(y).alias("_hy")).distinct()
     on = [F.col(f"p.{g}").eqNullSafe(F.col(f"h.{g}")) for g in group] + [F.col(f"p.{x}") == F.col("h._hx"), F.col(f"p.{y}") == F.col("h._hy")]
     return points.alias("p").join(hit.alias("h"), on, "left").select("p.*", F.col("h._hx").isNotNull().alias("is_pareto_optimal"))

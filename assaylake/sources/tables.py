@@ -42,7 +42,7 @@ VALUES = ["table_row", "mut_class", "mut_method", "parameter", "value"]
 
 def write_values(values: DataFrame, path: str) -> None:
     """Distinct captured values as tab-separated texts with a header, sorted; rows are ranged over files, so that no task holds all."""
-    values.select(*[F.col(c).cast("string") for c in VALUES]).distinct().orderBy(*VALUES).write.mode("overwrite").option("header", True).option("sep", "\t").option("escape", '"').option("quoteAll", True).csv(path)
+    values.select(*[F.col(c).cast("string") for c in VALUES]).distinct().orderBy(*VALUES).write.mode("overwrite").option("header", True).option("sep", "\t").option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read_values(spark: SparkSession, path) -> DataFrame:

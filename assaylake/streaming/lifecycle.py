@@ -1,9 +1,39 @@
-"""Lifecycle fold: ordered stage events to one state per key."""
+"""Lifecycle fold: ordered stage events to one state per key, in batch and as a stream."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+RESULT = "reached int, final_usable boolean, failure_stage string, failure_code string"
+
+
+def fan_out(events: DataFrame, members: DataFrame, key: str, scope: list[str]) -> DataFrame:
+    """Events with every one that has no key of its own repeated for each member of its scope, such as (project, variant)."""
+    own = events.filter(F.col(key).isNotNull())
+    wide = events.filter(F.col(key).isNull()).drop(key).join(members.select(key, *scope).distinct(), scope)
+    return own.unionByName(wide.select(*own.columns))
+
+
+def _step(state: Column, e: Column) -> Column:
+    """One event on (reached, failed, code): it counts only when all earlier stages are reached."""
+    at = e["_p"]
+    counts = at <= state["reached"] + 1
+    success, failure = counts & e["ok"], counts & ~e["ok"]
+    own = state["failed"] == at
+    reached = F.when(success, F.greatest(state["reached"], at)).when(failure, F.least(state["reached"], at - 1)).otherwise(state["reached"])
+    code = F.when(failure, F.coalesce(e["code"], F.when(own, state["code"]))).when(success & own, F.lit(None).cast("string")).otherwise(state["code"])
+    failed = F.when(failure, at).when(success & own, F.lit(0)).otherwise(state["failed"])
+    return F.struct(reached.alias("reached"), code.alias("code"), failed.alias("failed"))
+
+
+def _state(reached: int | Column, code: Column, failed: int | Column) -> Column:
+    wrap = lambda x: F.lit(x) if isinstance(x, int) else x
+    return F.struct(wrap(reached).alias("reached"), code.alias("code"), wrap(failed).alias("failed"))
 
 
 def fold_events(events: DataFrame, key: str, order: list[str], stages: list[str]) -> DataFrame:
@@ -12,21 +42,59 @@ def fold_events(events: DataFrame, key: str, order: list[str], stages: list[str]
     Events have columns stage, ok and code. A stage's flag is set by a successful event and cleared by a failed one,
     but an event counts only when all earlier stages' flags are set; a stored failure code survives a later failure of
     the same stage that has none. The final stage is the first without its flag. The fold is a built-in aggregate over
-    a key's sorted events.
+    a key's sorted events; events of unknown stages are left out.
     """
     position = F.array_position(F.array(*[F.lit(s) for s in stages]), F.col("stage")).cast("int")
     known = events.withColumn("_p", position).filter("_p > 0")
     listed = known.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, "_p", "ok", "code"))).alias("_events"))
-    start = F.struct(F.lit(0).alias("reached"), F.lit(None).cast("string").alias("code"), F.lit(0).alias("failed"))
+    start = _state(0, F.lit(None).cast("string"), 0)
+    return _read(listed.withColumn("_s", F.aggregate("_events", start, _step)), key, stages)
 
-    def step(state, e):
-        counts = e["_p"] <= state["reached"] + 1
-        success = counts & e["ok"]
-        failure = counts & ~e["ok"]
-        reached = F.when(success, F.greatest(state["reached"], e["_p"])).when(failure, F.least(state["reached"], e["_p"] - 1)).otherwise(state["reached"])
-        code = F.when(failure, F.coalesce(e["code"], F.when(state["failed"] == e["_p"], state["code"]))).when(success & (state["failed"] == e["_p"]), F.lit(None).cast("string")).otherwise(state["code"])
-        failed = F.when(failure, e["_p"]).when(success & (state["failed"] == e["_p"]), F.lit(0)).otherwise(state["failed"])
-        return F.struct(reached.alias("reached"), code.alias("code"), failed.alias("failed"))
 
+def _read(folded: DataFrame, key: str, stages: list[str]) -> DataFrame:
     names = F.array(*[F.lit(s) for s in stages])
-    return listed.withColumn("_s", F.aggregate("_events", start, step)).select(key, F.col("_s.reached").alias("reached"), (F.col("_s.reached") == len(stages)).alias("final_usable"), F.get(names, F.col("_s.reached")).alias("failure_stage"), F.col("_s.code").alias("failure_code"))
+    return folded.select(key, F.col("_s.reached").alias("reached"), (F.col("_s.reached") == len(stages)).alias("final_usable"), F.get(names, F.col("_s.reached")).alias("failure_stage"), F.col("_s.code").alias("failure_code"))
+
+
+class _Fold(StatefulProcessor):
+    """Keeps a key's (reached, failed, code, last order); an event that is not later than the last one is dropped and counted."""
+
+    def __init__(self, key: str, order: str, stages: list[str]):
+        self.key, self.order, self.stages = key, order, {s: i + 1 for i, s in enumerate(stages)}
+        self.names = stages
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "reached int, failed int, code string, last long, late long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        reached, failed, code, last, late = self.state.get() if self.state.exists() else (0, 0, None, None, 0)
+        events = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        for at, stage, ok, said in zip(events[self.order], events["stage"], events["ok"], events["code"], strict=True):
+            if last is not None and at <= last:
+                late += 1
+                continue
+            last, place = int(at), self.stages.get(stage)
+            if place is None or place > reached + 1:
+                continue
+            own = failed == place
+            if ok:
+                reached, code, failed = max(reached, place), None if own else code, 0 if own else failed
+            else:
+                said = None if pd.isna(said) else said
+                reached, code, failed = min(reached, place - 1), said if said is not None else (code if own else None), place
+        self.state.update((reached, failed, code, last, late))
+        stage = self.names[reached] if reached < len(self.names) else None
+        yield pd.DataFrame({self.key: [key[0]], "reached": [reached], "final_usable": [reached == len(self.names)], "failure_stage": [stage], "failure_code": [code], "late": [late]})
+
+    def close(self) -> None:
+        pass
+
+
+def fold_stream(events: DataFrame, key: str, order: str, stages: list[str]) -> DataFrame:
+    """The same fold over a stream, with the state of each key kept between batches; one row for each key that a batch touches.
+
+    ``order`` is a whole number that grows with a key's events; one that is not above the key's last is late: it is
+    dropped and counted in ``late``. Run it in update mode over the RocksDB state store.
+    """
+    kind = dict(events.dtypes)[key]
+    return events.groupBy(key).transformWithStateInPandas(_Fold(key, order, stages), f"`{key}` {kind}, {RESULT}, late long", "Update", "None")

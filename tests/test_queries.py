@@ -1,4 +1,6 @@
-import assaylake.plans.marts  # noqa: F401  registers its queries
+import assaylake.plans.experiment
+import assaylake.plans.marts
+import assaylake.plans.reports  # noqa: F401  they register their queries
 import pytest
 from assaylake.plans.queries import QUERIES, SQL
 

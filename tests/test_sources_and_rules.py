@@ -23,7 +23,7 @@ def test_mutations(spark, tmp_path):
 def test_coverage_and_tests(spark, tmp_path):
     from assaylake.sources.reports import best_reports, read_line_coverage, read_tests
 
-    path = write(tmp_path, "3-COVER.lines.xml", "<coverage><block classname='p.A' method='m(I)V' number='2'><tests><test name='p.ATest.t()'/><test name='odd'/></tests></block><block classname='p.A' method='n()V' number='1'><tests/></block></coverage>")
+    path = write(tmp_path, "3-COVER.lines.xml", "<coverage><block classname='p.A' method='m(I)V' number='2'><tests><test name='p.ATest.[engine:e]/[class:p.ATest]/[method:t()]'/><test name='odd'/></tests></block><block classname='p.A' method='n()V' number='1'><tests/></block></coverage>")
     got = sorted(((r.covered_class, r.covered_method, r.covered_description, r.covered_block, r.test_class, r.test_method) for r in read_line_coverage(spark, path).collect()), key=str)
     assert got == [("A", "m", "(I)V", 2, "p.ATest", "t"), ("A", "m", "(I)V", 2, None, None)]
     path = write(tmp_path, "4-RUN.tests.xml", "<testsuite><testcase classname='p.T' name='a(1)' time='0.5'/><testcase classname='p.T' name='b' time='0.1'><failure message='m' type='E'>x</failure></testcase><testcase classname='p.T' name='a(2)' time='1'><error message='z' type='F'>x</error></testcase></testsuite>")
