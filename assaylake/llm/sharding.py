@@ -24,8 +24,8 @@ def least_loaded(sizes: list[int], shards: int) -> list[int]:
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, singles: int = 8192, bundles: int = 4096, rows_per_slot_group: int = 250_000) -> DataFrame:
     """Put every row into one of ``shards`` shards of near-equal bytes; rows with equal texts stay together.
 
-    A row's size is the UTF-8 bytes of its text plus 1. The ``singles`` largest groups are scheduled one by one; the
-    rest, joined by the hash of their text into ``bundles`` bundles, are scheduled as bundles. So the driver's heap sees
+    A row's size is the UTF-8 bytes of its text plus 1. The largest groups, down to the least power of two bytes that no
+    more than ``singles`` groups reach, are scheduled one by one; the rest, joined by the hash of their text into ``bundles`` bundles, are scheduled as bundles. So the driver's heap sees
     a fixed number of items at any input size, the schedule is that of single groups wherever there are no more than
     ``singles``, and the loads differ by about one bundle unless one group is by itself larger than a fair share: as a
     group must stay together, its shard then holds it and nothing more.
@@ -46,7 +46,14 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = base.count()
     bundle = F.pmod(F.xxhash64("_group"), F.lit(bundles)).cast("int")
     groups = saved(base.groupBy("_group").agg(F.sum("size").alias("_bytes")))
-    single = groups.orderBy(F.desc("_bytes"), "_group").limit(singles)
+    sizes = groups.groupBy(F.floor(F.log2("_bytes")).cast("int").alias("_bits")).count().collect()  # a row for each power of two
+    least, known = 63, 0
+    for bits, n in sorted(sizes, reverse=True):
+        known += n
+        if known > singles:
+            break
+        least = bits
+    single = groups.filter(F.col("_bytes") >= 2**least).orderBy(F.desc("_bytes"), "_group")
     alone = [(bytes(x._group), x._bytes) for x in single.collect()]  # at most ``singles`` rows
     spark = docs.sparkSession
     names = spark.createDataFrame([(g,) for g, _ in alone], "_group binary")
