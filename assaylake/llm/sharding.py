@@ -47,7 +47,7 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bundle = F.pmod(F.xxhash64("_group"), F.lit(bundles)).cast("int")
     groups = saved(base.groupBy("_group").agg(F.sum("size").alias("_bytes")))
     sizes = groups.groupBy(F.floor(F.log2("_bytes")).cast("int").alias("_bits")).count().collect()  # a row for each power of two
-    least, known = 63, 0
+    least, known = 62, 0
     for bits, n in sorted(sizes, reverse=True):
         known += n
         if known > singles:

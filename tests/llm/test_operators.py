@@ -126,7 +126,7 @@ def test_sharding(spark, small, odd, empty):
     order = sorted(groups, key=lambda t: (-groups[t], b"\0" if t is None else hashlib.sha256(t.encode()).digest()))
     plain = dict(zip(order, least_loaded([groups[t] for t in order], 16), strict=True))
     assert all(plain[known[r["doc_id"]]] == r["shard"] for r in got)
-    bundled = rows_of(shard_documents(docs, singles=5, bundles=64))
+    bundled = rows_of(shard_documents(docs, singles=60, bundles=256))
     load = collections.Counter()
     for r in bundled:
         load[r["shard"]] += r["size"]
