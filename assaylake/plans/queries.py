@@ -307,11 +307,16 @@ def population_digest(t):
     return ranking.population_digest(t("orders"), ["o_orderkey", "o_custkey"])
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, list_position(['signup', 'view', 'click', 'purchase'], event_type) AS p, value >= 0 AND event_id % 5 <> 0 AS ok, CASE WHEN event_id % 3 = 0 THEN event_type || event_id END AS code FROM events WHERE event_type <> 'error'),
+f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, 0 AS reached, 0 AS failed, CAST(NULL AS VARCHAR) AS code FROM e UNION ALL SELECT user_id, e.n,
+  CASE WHEN p > reached + 1 THEN reached WHEN ok THEN greatest(reached, p) ELSE least(reached, p - 1) END, CASE WHEN p > reached + 1 THEN failed WHEN NOT ok THEN p WHEN failed = p THEN 0 ELSE failed END,
+  CASE WHEN p > reached + 1 THEN f.code WHEN NOT ok THEN coalesce(e.code, CASE WHEN failed = p THEN f.code END) WHEN failed = p THEN NULL ELSE f.code END FROM f JOIN e USING (user_id) WHERE e.n = f.n + 1)
+SELECT user_id, reached, reached = 4 AS final_usable, ['signup', 'view', 'click', 'purchase'][reached + 1] AS failure_stage, code AS failure_code FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1""")
 def lifecycle_fold(t):
     order = ["signup", "view", "click", "purchase"]
-    events = t("events").select("user_id", F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("stage"), (F.col("value") >= 0).alias("ok"), F.lit(None).cast("string").alias("code"))
-    return fold_events(events, "user_id", ["ts", "seq"], order)
+    ok, code = (F.col("value") >= 0) & (F.col("event_id") % 5 != 0), F.when(F.col("event_id") % 3 == 0, F.concat("event_type", "event_id"))
+    events = t("events").select("user_id", F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("stage"), ok.alias("ok"), code.alias("code"))
+    return fold_events(events, "user_id", ["ts", "seq"], order, F.date_trunc("day", "ts"))
 
 
 @query("""SELECT 'positive_quantity' AS name, count(*) FILTER (WHERE NOT l_quantity > 0) AS violations, count(*) FILTER (WHERE NOT l_quantity > 0) = 0 AS holds FROM lineitem

@@ -28,27 +28,47 @@ def _step(state: Column, e: Column) -> Column:
     reached = F.when(success, F.greatest(state["reached"], at)).when(failure, F.least(state["reached"], at - 1)).otherwise(state["reached"])
     code = F.when(failure, F.coalesce(e["code"], F.when(own, state["code"]))).when(success & own, F.lit(None).cast("string")).otherwise(state["code"])
     failed = F.when(failure, at).when(success & own, F.lit(0)).otherwise(state["failed"])
-    return F.struct(reached.alias("reached"), code.alias("code"), failed.alias("failed"))
+    kept = F.when(failure, own & e["code"].isNull() & state["kept"]).when(success & own, F.lit(False)).otherwise(state["kept"])
+    return _state(reached, code, failed, kept)
 
 
-def _state(reached: int | Column, code: Column, failed: int | Column) -> Column:
-    wrap = lambda x: F.lit(x) if isinstance(x, int) else x
-    return F.struct(wrap(reached).alias("reached"), code.alias("code"), wrap(failed).alias("failed"))
+def _state(reached: Column, code: Column, failed: Column, kept: Column) -> Column:
+    """kept: the code is still the one from before the events, which is not known yet."""
+    return F.struct(reached.alias("reached"), code.alias("code"), failed.alias("failed"), kept.alias("kept"))
 
 
-def fold_events(events: DataFrame, key: str, order: list[str], stages: list[str]) -> DataFrame:
+def _start(reached: int, failed: int) -> Column:
+    return _state(F.lit(reached), F.lit(None).cast("string"), F.lit(failed), F.lit(failed > 0))
+
+
+def _resume(state: Column, part: Column) -> Column:
+    """The state after a slice: its result for the state before it, with that state's code where it is kept."""
+    end = F.get(part["ends"], state["reached"] * 2 + (state["failed"] > 0).cast("int"))
+    return _state(end["reached"], F.coalesce(end["code"], F.when(end["kept"], state["code"])), end["failed"], F.lit(False))
+
+
+def fold_events(events: DataFrame, key: str, order: list[str], stages: list[str], slices: Column | None = None) -> DataFrame:
     """(key, reached, final_usable, failure_stage, failure_code).
 
     Events have columns stage, ok and code. A stage's flag is set by a successful event and cleared by a failed one,
     but an event counts only when all earlier stages' flags are set; a stored failure code survives a later failure of
     the same stage that has none. The final stage is the first without its flag. The fold is a built-in aggregate over
     a key's sorted events; events of unknown stages are left out.
+
+    ``slices``, a column that never falls along ``order`` (such as the day of its first column), bounds what one task
+    gathers for a hot key: each (key, slice) is folded from every possible state, of which there are 2 * stages + 1, as a
+    failed stage is always the first one not reached; a key's slices are then taken in order. The result is the same.
     """
     position = F.array_position(F.array(*[F.lit(s) for s in stages]), F.col("stage")).cast("int")
     known = events.withColumn("_p", position).filter("_p > 0")
-    listed = known.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, "_p", "ok", "code"))).alias("_events"))
-    start = _state(0, F.lit(None).cast("string"), 0)
-    return _read(listed.withColumn("_s", F.aggregate("_events", start, _step)), key, stages)
+    listed = F.sort_array(F.collect_list(F.struct(*order, "_p", "ok", "code"))).alias("_events")
+    if slices is None:
+        folded = known.groupBy(key).agg(listed).withColumn("_s", F.aggregate("_events", _start(0, 0), _step))
+        return _read(folded, key, stages)
+    starts = F.array(*[_start(r, f * (r + 1)) for r in range(len(stages) + 1) for f in (0, 1) if r + f <= len(stages)])
+    parts = known.withColumn("_slice", slices).groupBy(key, "_slice").agg(listed).withColumn("ends", F.transform(starts, lambda s: F.aggregate("_events", s, _step)))
+    joined = parts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_slice", "ends"))).alias("_parts"))
+    return _read(joined.withColumn("_s", F.aggregate("_parts", _start(0, 0), _resume)), key, stages)
 
 
 def _read(folded: DataFrame, key: str, stages: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 import assaylake.plans.experiment
 import assaylake.plans.marts
-import assaylake.plans.reports  # noqa: F401  they register their queries
+import assaylake.plans.reports
+import assaylake.plans.topology  # noqa: F401  they register their queries
 import pytest
 from assaylake.plans.queries import QUERIES, SQL
 
