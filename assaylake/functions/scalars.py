@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The offsets of the variant families in their order.
-VARIANT_BASE = {"ORIGINAL": 10_000_000, "INITIAL": 20_000_000, "BASELINE": 30_000_000, "NAIVE": 40_000_000, "IMPROVED": 50_000_000}
+VARIANT_BASE = {"ORIGINAL": 10_000_000, "INITIAL": 20_000_000, "BASELINE": 30_000_000, "NAIVE": 40_000_000, "IMPROVED": 60_000_000}
 #: Type names by domain.
 TYPE_DOMAINS = {
     "INTEGER": ("byte", "short", "int", "long", "Byte", "Short", "Integer", "Long"),
@@ -39,8 +39,8 @@ def variant_name(stage: Column, variant: Column) -> Column:
 
 
 def variant_order(variant: Column) -> Column:
-    """Null is 0; a family's base plus its number of tries; an unknown variant is an error."""
-    family, tries = F.substring_index(variant, "_", 1), F.coalesce(matched(variant, r"_(\d+)_TRIES$").cast("int"), F.lit(0))
+    """Null is 0; a family's base plus its number of tries; anything else but _<number>_TRIES behind the family's name, and an unknown one, is an error."""
+    family, tries = F.regexp_replace(variant, r"_\d+_TRIES$", ""), F.coalesce(matched(variant, r"_(\d+)_TRIES$").cast("int"), F.lit(0))
     base = F.element_at(F.create_map(*[F.lit(x) for kv in VARIANT_BASE.items() for x in kv]), family)
     return F.when(variant.isNull(), 0).when(F.try_element_at(F.create_map(*[F.lit(x) for kv in VARIANT_BASE.items() for x in kv]), family).isNull(), F.raise_error(F.concat(F.lit("unknown variant "), variant)).cast("int")).otherwise(base + tries)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bitmaps
 from .ids import global_dense_id
 
 #: Where code is, without its block.
@@ -66,20 +67,61 @@ def covering_children(covering_tests: DataFrame, children: DataFrame, child: str
     return covering_tests.select("mutation_id", "test_id").join(children.select("test_id", child, *keep), "test_id").select("mutation_id", child, *keep).distinct()
 
 
-def covering_counts(rows: DataFrame, entity: str, included: DataFrame, name: str, sums: list[str]) -> DataFrame:
-    """(mutation_id, covering_<name>, included_<name>, excluded_<name>, <sum>_sum ...) from covering rows and (entity, is_included)."""
-    flagged = rows.join(included, entity)
-    return flagged.groupBy("mutation_id").agg(
-        F.count("*").alias(f"covering_{name}"), F.count_if(F.col("is_included")).alias(f"included_{name}"), F.count_if(~F.col("is_included")).alias(f"excluded_{name}"), *[F.sum(c).alias(f"{c}_sum") for c in sums]
-    )
+def covered_sums(mutations: DataFrame, coverage: DataFrame, entity: str, index: DataFrame) -> DataFrame:
+    """(id, the flags' counts and the weights' sums of ``index``) over the entities that cover each mutation report, 0 where none does.
+
+    ``index`` is bitmaps.bit_index() of the entities. Each location has its entities as masks; those of a report's blocks are
+    united. Reports of one run with the same place and blocks are one site, so that neither mutants nor entities
+    are paired. Reports and coverage have project_id, run and the location columns.
+    """
+    site = ["project_id", "run", *PLACE, "blocks"]
+    at = bitmaps.masks(coverage, ["project_id", "run", *LOCATION], entity)
+    sites = mutations.groupBy(*site).agg(F.min("id").alias("_site"))
+    words = blocks_of(sites).join(at, ["project_id", "run", *LOCATION]).select("_site", "word", "mask")
+    sums = bitmaps.union_sums(words, ["_site"], index)
+    of_report = mutations.select("id", *[F.col(c).alias(f"_{c}") for c in site]).join(sites.join(sums, "_site").select(*site, *sums.columns[1:]), [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in site], "left")
+    return of_report.select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in sums.columns[1:]])
 
 
-def report_extension(mutations: DataFrame, *counts: DataFrame) -> DataFrame:
-    """(id, every count and sum, 0 where nothing covers the mutant); counts are aggregated before they are joined."""
-    out = mutations.select("id")
-    for c in counts:
-        values = [x for x in c.columns if x != "mutation_id"]
-        out = out.join(c.withColumnRenamed("mutation_id", "id"), "id", "left").fillna(0, values)
+def report_extension(mutations: DataFrame, coverage: DataFrame, tests: DataFrame, assertions: DataFrame, generalizations: DataFrame, test_runs: DataFrame, generalization_runs: DataFrame) -> DataFrame:
+    """(id, covering_, included_ and excluded_ tests, assertions and generalizations, and the sums of their runtimes and model sizes) of each mutation report.
+
+    Tests and generalizations count where they have runs (test_id or generalization_id, runtime; the least counts), assertions
+    (test_id, is_included, model_size) where their test does.
+    """
+    own = assertions.groupBy("test_id").agg(F.count("*").alias("_a"), F.count_if("is_included").alias("_ia"), F.count_if(~F.col("is_included")).alias("_ea"), F.sum("model_size").alias("_ms"))
+    ran = test_runs.groupBy("test_id").agg(F.min("runtime").alias("_rt")).join(tests.select(F.col("id").alias("test_id"), "is_included", F.lit(True).alias("_known")), "test_id", "left").join(own, "test_id", "left")
+    c, known = F.col, F.col("_known")
+    flags = lambda name: {f"covering_{name}": known, f"included_{name}": known & c("is_included"), f"excluded_{name}": known & ~c("is_included")}
+    of_tests = bitmaps.bit_index(ran, "test_id", flags("tests"), {"runtime_sum": F.when(known, c("_rt")), "covering_assertions": c("_a"), "included_assertions": c("_ia"), "excluded_assertions": c("_ea"), "model_size_sum": c("_ms")})
+    gen = generalization_runs.groupBy("generalization_id").agg(F.min("runtime").alias("_rt")).join(generalizations.select(F.col("id").alias("generalization_id"), "is_included", F.lit(True).alias("_known")), "generalization_id")
+    of_generalizations = bitmaps.bit_index(gen, "generalization_id", flags("generalizations"), {"generalization_runtime_sum": c("_rt")})
+    return covered_sums(mutations, coverage, "test_id", of_tests).join(covered_sums(mutations, coverage, "generalization_id", of_generalizations), "id")
+
+
+def detection_comparison(mutations: DataFrame, group: list[str], relations: list[tuple[DataFrame, list[str]]]) -> DataFrame:
+    """(*group, count, avg_<v> and median_<v> of each value) over the product of several left joins, without making it.
+
+    ``mutations`` have id and the group columns; each relation is (rows with mutation_id, its value columns). In the product
+    a row of one relation stands as often as the mutant has rows in the others (once, if none), so that this number is its
+    weight in means and exact medians. Mutants without rows count in ``count`` alone.
+    """
+    numbered = [(rows.groupBy("mutation_id").agg(F.count("*").alias(f"_n{i}")), rows, values) for i, (rows, values) in enumerate(relations)]
+    sized = mutations.select("id", *group)
+    for i, (counts, _, _) in enumerate(numbered):
+        sized = sized.join(counts.withColumnRenamed("mutation_id", "id"), "id", "left").withColumn(f"_n{i}", F.coalesce(f"_n{i}", F.lit(1)))
+    out = sized.groupBy(*group).agg(F.countDistinct("id").alias("count"))
+    for i, (_, rows, values) in enumerate(numbered):
+        others = [F.col(f"_n{j}") for j in range(len(numbered)) if j != i]
+        weight = others[0]
+        for other in others[1:]:
+            weight = weight * other
+        weighed = sized.select(F.col("id").alias("mutation_id"), *group, weight.alias("_w")).join(rows, "mutation_id")
+        for v in values:
+            # One row for each different value, so that a group's median reads values, not rows.
+            spread = weighed.filter(F.col(v).isNotNull()).groupBy(*group, v).agg(F.sum("_w").alias("_w"))
+            stats = spread.groupBy(*group).agg((F.sum(F.col(v) * F.col("_w")) / F.sum("_w")).alias(f"avg_{v}"), F.expr(f"percentile(`{v}`, 0.5, _w)").alias(f"median_{v}"))
+            out = out.join(stats, group, "left")
     return out
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Columns that a pivot may have.
+MOST_COLUMNS = 1000
+
 
 def variant_dimension(projects: DataFrame, config: str = "configuration") -> DataFrame:
     """(project_id, variant, tries): a JSON object of variants exploded, each with the fewest tries that it names."""
@@ -29,8 +32,11 @@ def with_shared(runtimes: DataFrame, keys: list[str], value: str = "runtime", va
 
 
 def phase_columns(phases: DataFrame, phase: str, step: str) -> list[str]:
-    """Phase names by their largest step, then name: the columns of the pivot. One small row a phase reaches the driver."""
-    return [r[0] for r in phases.groupBy(phase).agg(F.max(step).alias("_s")).orderBy("_s", phase).limit(1000).collect()]
+    """Phase names by their largest step, then name: the columns of the pivot. More than MOST_COLUMNS are an error; a long form has no such end."""
+    rows = phases.groupBy(phase).agg(F.max(step).alias("_s")).orderBy("_s", phase).limit(MOST_COLUMNS + 1).collect()
+    if len(rows) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} phases: name the columns")
+    return [r[0] for r in rows]
 
 
 def phase_pivot(phases: DataFrame, keys: list[str], phase: str, step: str, runtime: str, columns: list[str] | None = None) -> DataFrame:

@@ -6,15 +6,21 @@ generalization, line items are coverage, and places that line items cover hold m
 
 from __future__ import annotations
 
-from functools import cached_property
+import re
+from functools import cached_property, wraps
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import bitmaps, funnels, quality, runtimes
 from ..operators import coverage as C
-from ..operators import funnels, quality, runtimes
+from ..scratch import bucketed, saved
+from ..sources.snapshot import Snapshot
 from .queries import QUERIES, SQL
 
+#: The given tables that an experiment is derived from.
+TABLES = ["orders", "lineitem", "events", "nation", "documents"]
+
 VARIANTS = ["NAIVE_10_TRIES", "IMPROVED_10_TRIES", "IMPROVED_200_TRIES"]
 RUNS = ["ORIGINAL", "INITIAL", *VARIANTS]
 
@@ -32,7 +38,7 @@ def _stage_sql(what: str) -> str:
 CHAIN = f"""WITH projects AS (SELECT CAST(n_nationkey AS BIGINT) AS id, '/data/' || n_name AS root_path, n_regionkey <> 0 AS use_test_generalization FROM nation),
 tests AS (SELECT o_orderkey AS id, o_custkey % 25 AS project_id, 'C' || (o_custkey % 40) AS class_name, 't' || o_orderkey AS method_name, o_orderkey % 30 + 3 AS line_count, o_orderstatus <> 'P' AS is_included FROM orders),
 assertions AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS test_id, o_custkey % 25 AS project_id, min(l_returnflag) <> 'R' AS is_included, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS model_size,
-  min(l_partkey // 40) AS cls, min(l_suppkey % 2) AS m, min(l_linenumber % 2) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 3 GROUP BY l_orderkey, l_linenumber, o_custkey),
+  min(l_partkey // 40) AS cls, min(l_suppkey % 2) AS m, min(l_linenumber % 2) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey, l_linenumber, o_custkey),
 generalizations AS (SELECT a.id * 10 + v AS id, a.project_id, a.test_id, a.id AS assertion_id, (['{"','".join(VARIANTS)}'])[v] AS variant, (a.id * 10 + v) % 7 + 2 AS line_count, (a.id * 10 + v) % 4 <> 0 AS is_included, (a.id * 10 + v) % 5 AS total_constraint_count, cls, m, b
   FROM assertions a, (SELECT unnest([1, 2, 3]) AS v) WHERE a.is_included AND (a.id + v) % 3 <> 0),
 junit AS (SELECT id AS test_id, CAST(NULL AS BIGINT) AS generalization_id, CAST(NULL AS VARCHAR) AS variant, 'ORIGINAL' AS variant_name, CASE WHEN is_included THEN 'PASSED' ELSE 'FAILED' END AS result, id % 97 + 1 AS runtime FROM tests
@@ -100,29 +106,75 @@ effects AS (SELECT project_id, a_variant, b_variant, killed_mutations, {", ".joi
 """
 
 
+CTES = {m[0]: m[1] for m in re.findall(r"(?ms)^(?:WITH )?(\w+) AS (\(.*?\)),?$(?=\n\w+ AS \(|\n?\Z)", CHAIN)}
+
+
+def chained(select: str) -> str:
+    """The query behind those parts of the chain that it needs, each made once."""
+    needed, seen = [], set()
+
+    def add(text: str) -> None:
+        for name in dict.fromkeys(re.findall(r"\w+", text)):
+            if name in CTES and name not in seen:
+                seen.add(name)
+                add(CTES[name])
+                needed.append(name)
+
+    add(select)
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED {CTES[n]}" for n in needed) + "\n" + select if needed else select
+
+
+def stored(*keys: str):
+    """A mart that is written before its first use, once for all readers: in buckets of the keys, or as it is without keys."""
+
+    def wrap(build):
+        @property
+        @wraps(build)
+        def read(self):
+            if build.__name__ not in self.written:
+                self.written[build.__name__] = bucketed(build(self), *keys) if keys else saved(build(self))
+            return self.written[build.__name__]
+
+        return read
+
+    return wrap
+
+
 class Experiment:
-    """The derived tables and marts, each built once a session of use; heavy ones are written by their consumers as they need."""
+    """The derived tables and marts over one snapshot of the given tables.
 
-    def __init__(self, t):
-        self.t = t
+    Marts that others read are written once, in the order in which they are first asked for; those joined by a key are
+    written in its buckets, so that later joins by it have no exchange. So a plan reads each given table at most once.
+    """
 
-    @cached_property
+    opened: dict[tuple, "Experiment"] = {}
+
+    def __init__(self, snapshot: Snapshot):
+        self.snapshot, self.t, self.written = snapshot, snapshot.table, {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> "Experiment":
+        """The application's experiment over the tables as they are now: the one made before, if no file has changed since."""
+        snapshot = Snapshot(spark, sf_dir, TABLES)
+        return cls.opened.setdefault((spark.sparkContext.applicationId, snapshot.id, sf_dir), cls(snapshot))
+
+    @stored("id")
     def tests(self) -> DataFrame:
         key = F.col("o_orderkey")
         return self.t("orders").select(key.alias("id"), (F.col("o_custkey") % 25).alias("project_id"), F.concat(F.lit("C"), F.col("o_custkey") % 40).alias("class_name"), F.concat(F.lit("t"), key).alias("method_name"), (key % 30 + 3).alias("line_count"), (F.col("o_orderstatus") != "P").alias("is_included"))
 
-    @cached_property
-    def _lines(self) -> DataFrame:
+    @stored("l_orderkey")
+    def lines(self) -> DataFrame:
         orders = self.t("orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 25).alias("project_id"))
         lines = self.t("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_quantity").cast("long").alias("q"), F.floor(F.col("l_partkey") / 40).alias("cls"), (F.col("l_suppkey") % 2).alias("m"), (F.col("l_linenumber") % 2).cast("long").alias("b"))
         return lines.join(orders, "l_orderkey")
 
-    @cached_property
+    @stored("test_id")
     def assertions(self) -> DataFrame:
-        a = self._lines.filter("l_linenumber <= 3").groupBy("l_orderkey", "l_linenumber", "project_id").agg((F.min("l_returnflag") != "R").alias("is_included"), F.sum("q").alias("model_size"), *[F.min(c).alias(c) for c in ("cls", "m", "b")])
+        a = self.lines.groupBy("l_orderkey", "l_linenumber", "project_id").agg((F.min("l_returnflag") != "R").alias("is_included"), F.sum("q").alias("model_size"), *[F.min(c).alias(c) for c in ("cls", "m", "b")])
         return a.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("test_id"), "project_id", "is_included", "model_size", "cls", "m", "b")
 
-    @cached_property
+    @stored("id")
     def generalizations(self) -> DataFrame:
         rows = self.assertions.filter("is_included").withColumn("v", F.explode(F.array(*map(F.lit, (1, 2, 3))))).filter((F.col("id") + F.col("v")) % 3 != 0)
         ident = F.col("id") * 10 + F.col("v")
@@ -142,11 +194,11 @@ class Experiment:
     def _place(project="project_id") -> list:
         return [F.concat(F.lit("p"), project).alias("package_name"), F.concat(F.lit("K"), "cls").alias("class_name"), F.concat(F.lit("m"), "m").alias("method_name"), F.lit("()V").alias("method_description")]
 
-    @cached_property
+    @stored()
     def covered(self) -> DataFrame:
-        return self._lines.select("project_id", "l_orderkey", "cls", "m", "b").distinct()
+        return self.lines.select("project_id", "l_orderkey", "cls", "m", "b").distinct()
 
-    @cached_property
+    @stored("project_id", "run", *C.LOCATION)
     def coverage(self) -> DataFrame:
         none, text = F.lit(None).cast("long"), F.lit(None).cast("string")
         by_test = self.covered.withColumn("r", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -156,7 +208,7 @@ class Experiment:
         two = self.generalizations.select((-at(F.col("id"))).alias("id"), "project_id", "variant", F.col("variant").alias("run"), *self._place(), F.col("b").cast("int").alias("block"), none.alias("test_id"), F.col("id").alias("generalization_id"))
         return one.unionByName(two)
 
-    @cached_property
+    @stored("mutation_id")
     def mutations(self) -> DataFrame:
         """Mutation reports with mutation_id."""
         places = self.covered.select("project_id", "cls", "m", "b").distinct()
@@ -173,21 +225,21 @@ class Experiment:
         rows = rows.withColumn("is_detected", F.col("status").isin("KILLED", "TIMED_OUT"))
         return C.mutation_ids(rows, ["project_id", *C.PLACE, "mutator", "blocks"])
 
-    @cached_property
+    @stored(*C.LOCATION)
     def locations(self) -> DataFrame:
         return C.locations(self.coverage, self.mutations)
 
-    @cached_property
+    @stored("mutation_id")
     def pairs(self) -> DataFrame:
         """Runs without a variant are told apart by their name here."""
         named = lambda df, c: df.withColumn("variant", F.col(c))
         return C.mutation_coverage(named(self.mutations, "variant_name"), named(self.coverage, "run"))
 
-    @cached_property
+    @stored("test_id")
     def test_ext(self) -> DataFrame:
         return self.junit.filter("test_id is not null").groupBy("test_id", F.col("variant_name").alias("variant")).agg(F.count("*").alias("reports"), F.sum("runtime").alias("runtime"))
 
-    @cached_property
+    @stored("generalization_id")
     def gen_ext(self) -> DataFrame:
         return self.junit.filter("generalization_id is not null").groupBy("generalization_id").agg(F.count("*").alias("reports"), F.sum("runtime").alias("runtime"))
 
@@ -205,17 +257,13 @@ class Experiment:
 
     @cached_property
     def extension(self) -> DataFrame:
-        flags = lambda df, name: df.select(F.col("id").alias(name), "is_included")
-        tests = C.covering_counts(self.covering_tests, "test_id", flags(self.tests, "test_id"), "tests", ["runtime"])
-        assertions = C.covering_counts(self.covering_assertions, "assertion_id", flags(self.assertions, "assertion_id"), "assertions", ["model_size"])
-        own = C.covering_counts(self.covering_generalizations.withColumnRenamed("runtime", "generalization_runtime"), "generalization_id", flags(self.generalizations, "generalization_id"), "generalizations", ["generalization_runtime"])
-        return C.report_extension(self.mutations, tests, assertions, own)
+        return C.report_extension(self.mutations.withColumn("run", F.col("variant_name")), self.coverage, self.tests, self.assertions, self.generalizations, self.test_ext, self.gen_ext)
 
-    @cached_property
+    @stored()
     def changes(self) -> DataFrame:
         return C.killing_entities(C.status_changes(self.mutations, ["ORIGINAL", "INITIAL"], "ORIGINAL"), self.tests, self.generalizations, self.junit)
 
-    @cached_property
+    @stored()
     def tasks(self) -> DataFrame:
         stage = F.create_map(*[F.lit(x) for k, (name, _) in STAGE_OF.items() for x in (k, name)])
         step = F.create_map(*[F.lit(x) for k, (_, n) in STAGE_OF.items() for x in (k, n)])
@@ -257,12 +305,12 @@ class Experiment:
         config = "{" + ",".join(f'"{v}":{{"tries":{v.split("_")[1]}}}' for v in VARIANTS) + "}"
         return runtimes.variant_dimension(self.projects.withColumn("configuration", F.lit(config)))
 
-    @cached_property
+    @stored()
     def gen_runs(self) -> DataFrame:
         own = self.gen_ext.join(self.generalizations.select(F.col("id").alias("generalization_id"), "project_id", "test_id", "variant"), "generalization_id")
         return runtimes.runtime_comparison(self.test_ext.filter("variant = 'ORIGINAL'").select("test_id", "runtime"), own, self.variants)
 
-    @cached_property
+    @stored()
     def signals(self) -> DataFrame:
         reports = self.junit.join(self.tests.select(F.col("id").alias("test_id"), "project_id"), "test_id")
         return funnels.project_signals(self.projects, self.tasks, self.tests, self.assertions, self.generalizations, self.decisions, reports, self.mutations, REACHED)
@@ -276,8 +324,8 @@ def mart(select: str):
     """Register a function of an Experiment with the SELECT that says the same over the chain."""
 
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Experiment(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")))
-        SQL[f.__name__] = CHAIN + select
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Experiment.of(spark, sf_dir))
+        SQL[f.__name__] = chained(select)
         return f
 
     return add
@@ -324,6 +372,28 @@ def mutation_report_extension(e):
     return e.extension
 
 
+@mart("""SELECT r.project_id, r.variant_name, r.is_detected, count(DISTINCT r.id) AS count, avg(t.runtime) AS avg_runtime, quantile_cont(t.runtime, 0.5) AS median_runtime, avg(a.model_size) AS avg_model_size, quantile_cont(a.model_size, 0.5) AS median_model_size,
+avg(g.generalization_runtime) AS avg_generalization_runtime, quantile_cont(g.generalization_runtime, 0.5) AS median_generalization_runtime, avg(g.total_constraint_count) AS avg_total_constraint_count, quantile_cont(g.total_constraint_count, 0.5) AS median_total_constraint_count,
+avg(g.used_constraint_count) AS avg_used_constraint_count, quantile_cont(g.used_constraint_count, 0.5) AS median_used_constraint_count, 100 * avg(g.whole_share) AS avg_used_constraint_pct, 100 * quantile_cont(g.share, 0.5) AS median_used_constraint_pct
+FROM reports r LEFT JOIN (SELECT i.id, c.* FROM reports i JOIN reports o USING (mutation_id) JOIN (SELECT mutation_id AS report, test_id, runtime FROM cov_tests) c ON c.report = o.id WHERE o.variant_name = 'INITIAL') t ON t.id = r.id
+LEFT JOIN (SELECT i.id, c.* FROM reports i JOIN reports o USING (mutation_id) JOIN (SELECT mutation_id AS report, assertion_id, model_size FROM cov_asserts) c ON c.report = o.id WHERE o.variant_name = 'INITIAL') a ON a.id = r.id
+LEFT JOIN (SELECT c.mutation_id AS id, c.runtime AS generalization_runtime, total_constraint_count, least(total_constraint_count, g.id % 3) AS used_constraint_count, CASE WHEN total_constraint_count = 0 THEN 1 ELSE least(total_constraint_count, g.id % 3) // total_constraint_count END AS whole_share,
+  CASE WHEN total_constraint_count = 0 THEN 1 ELSE least(total_constraint_count, g.id % 3)::DOUBLE / total_constraint_count END AS share FROM cov_gens c JOIN generalizations g ON g.id = c.generalization_id) g ON g.id = r.id
+WHERE r.status <> 'NO_COVERAGE' AND r.variant_name = 'IMPROVED_200_TRIES' GROUP BY ALL""")
+def mutation_detection_comparison(e):
+    """The mutants of one variant, detected or not, by the tests and assertions that cover them at first and by the variant's generalizations."""
+    at_first = e.mutations.filter("variant_name = 'INITIAL'").select("mutation_id", F.col("id").alias("_first"))
+    chosen = e.mutations.filter("status <> 'NO_COVERAGE' and variant_name = 'IMPROVED_200_TRIES'").select("id", "mutation_id", "project_id", "variant_name", "is_detected")
+    of = lambda rows: rows.withColumnRenamed("mutation_id", "_first").join(at_first.join(chosen.select("id", "mutation_id"), "mutation_id").drop("mutation_id"), "_first").drop("_first").withColumnRenamed("id", "mutation_id")
+    total = F.col("total_constraint_count")
+    used = F.least(total, F.col("id") % 3)
+    share = lambda x: F.when(total == 0, 1).otherwise(x)
+    g = e.generalizations.select(F.col("id").alias("generalization_id"), "total_constraint_count", used.alias("used_constraint_count"), share(F.floor(used / total)).alias("whole_share"), share(used / total).alias("share"))
+    own = e.covering_generalizations.join(g, "generalization_id").withColumnRenamed("runtime", "generalization_runtime")
+    found = C.detection_comparison(chosen, ["project_id", "variant_name", "is_detected"], [(of(e.covering_tests), ["runtime"]), (of(e.covering_assertions), ["model_size"]), (own, ["generalization_runtime", "total_constraint_count", "used_constraint_count", "whole_share", "share"])])
+    return found.withColumns({"avg_used_constraint_pct": 100 * F.col("avg_whole_share"), "median_used_constraint_pct": 100 * F.col("median_share")}).drop("avg_whole_share", "median_whole_share", "avg_share", "median_share")
+
+
 @mart("SELECT * FROM changes")
 def mutation_status_changes(e):
     return e.changes

@@ -4,24 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import simple_name
 from ..operators import coverage, filter_reports, funnels, populations, quality, ranking, rates, runtimes, values
 from ..sources.tables import content_digest
 from .experiment import PAIRED, REACHED, SIGNAL_COUNTS, VARIANTS, mart
 
-OUTCOMES = {"killed": ["KILLED"], "survived": ["SURVIVED"], "uncovered": ["NO_COVERAGE"], "timed_out": ["TIMED_OUT"]}
-
-
 def _rates(keys: list[str]) -> str:
+    """Counts, percentages of all and of covered mutants, and differences to the baseline."""
     k = "".join(f"{x}, " for x in keys)
-    count = ", ".join(f"count(*) FILTER (WHERE status = '{v[0]}') AS {n}" for n, v in OUTCOMES.items())
-    pct = ", ".join(f"round({n} * 100.0::DOUBLE / total, 2) AS {n}_pct" for n in OUTCOMES)
-    on = f"USING ({', '.join(keys)})" if keys else "ON true"
-    return f"""SELECT {k}r.variant_name, total, {", ".join(OUTCOMES)}, {", ".join(f"{n}_pct" for n in OUTCOMES)}, {", ".join(f"round({n}_pct - base_{n}, 2) AS {n}_diff" for n in OUTCOMES)}
-FROM (SELECT *, {pct} FROM (SELECT {k}variant_name, count(*) AS total, {count} FROM reports GROUP BY ALL)) r JOIN (SELECT {k}{", ".join(f"round(count(*) FILTER (WHERE status = '{v[0]}') * 100.0::DOUBLE / count(*), 2) AS base_{n}" for n, v in OUTCOMES.items())} FROM reports WHERE variant_name = 'INITIAL' GROUP BY ALL) b {on}"""
+    of_status = ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {n}" for n, s in rates.MUTATION_STATUSES.items())
+    shares = {f"{n}_pct": f"round({n} * 100.0::DOUBLE / total, 2)" for n in rates.MUTATION_FIGURES} | {f"{n}_of_covered_pct": f"round({n} * 100.0::DOUBLE / nullif(covered, 0), 2)" for n in rates.OF_COVERED}
+    counted = f"SELECT {k}variant_name, count(*) AS total, count(*) - count(*) FILTER (WHERE status = 'NO_COVERAGE') AS covered, count(*) FILTER (WHERE status = 'NO_COVERAGE') AS uncovered, count(*) FILTER (WHERE is_detected) AS detected, {of_status} FROM (SELECT * REPLACE (regexp_extract(mutator, '[^.]+$') AS mutator) FROM reports) GROUP BY ALL"
+    rated = f"SELECT *, {', '.join(f'{c} AS {n}' for n, c in shares.items())} FROM ({counted})"
+    differences = [*[f"s.{n} - b.{n} AS {n}_diff" for n in rates.MUTATION_FIGURES], *[f"round(s.{n} - b.{n}, 2) AS {n}_diff" for n in shares]]
+    on = " AND ".join(f"s.{x} = b.{x}" for x in keys) or "true"
+    return f"SELECT {''.join(f's.{x}, ' for x in keys)}s.variant_name, s.total, {', '.join(f's.{n}' for n in [*rates.MUTATION_FIGURES, *shares])}, {', '.join(differences)} FROM ({rated}) s JOIN ({rated}) b ON b.variant_name = 'INITIAL' AND {on}"
 
 
 def _mutation_rates(e, keys):
-    return rates.outcome_rates(e.mutations, "variant_name", keys, "status", OUTCOMES, "INITIAL")
+    return rates.mutation_rates(e.mutations.withColumn("mutator", simple_name(F.col("mutator"))), keys)
 
 
 @mart(_rates([]))
@@ -139,9 +140,11 @@ def pareto_efficiency(e):
     return runtimes.pareto_points(points, ["project_id"], "with_validation", "detected")
 
 
-@mart("SELECT project_id FROM tasks WHERE test_id IS NULL AND stage <> 'COLLECT_PIT_DATA_GENERALIZED' GROUP BY 1 HAVING bool_and(status = 'SUCCEEDED') AND bool_or(stage = 'GENERALIZE_TESTS')")
+@mart("SELECT project_id FROM (SELECT DISTINCT ON (project_id, stage) * FROM tasks WHERE test_id IS NULL ORDER BY project_id, stage, id DESC) WHERE stage <> 'COLLECT_PIT_DATA_GENERALIZED' GROUP BY 1 HAVING bool_and(status = 'SUCCEEDED') AND bool_or(stage = 'GENERALIZE_TESTS')")
 def finished_projects(e):
-    return funnels.finished_projects(e.tasks, ["GENERALIZE_TESTS"], ["COLLECT_PIT_DATA_GENERALIZED"])
+    """By each stage's last attempt."""
+    last = ranking.first_per_key(funnels.project_level(e.tasks), ["project_id", "stage"], ["id"], latest=True)
+    return funnels.finished_projects(last, ["GENERALIZE_TESTS"], ["COLLECT_PIT_DATA_GENERALIZED"])
 
 
 FAILURES = "SELECT DISTINCT ON (project_id) project_id, step, stage, variant, id FROM tasks WHERE test_id IS NULL AND status = 'FAILED' ORDER BY project_id, step, id"
@@ -412,10 +415,12 @@ def rerun_idempotent(e):
     return quality.rerun_idempotent(before, e.tasks, ["project_id", "stage"], F.col("stage") == "GENERALIZE_TESTS")
 
 
-@mart("SELECT id AS project_id, root_path FROM projects WHERE use_test_generalization AND id <> 3 AND id NOT IN (SELECT project_id FROM tasks WHERE test_id IS NULL AND status = 'FAILED' AND stage = 'BUILD_PROJECT_ORIGINAL' AND id % 50 = 0)")
+@mart("SELECT id AS project_id, root_path FROM projects WHERE use_test_generalization AND id <> 3 AND id NOT IN (SELECT project_id FROM tasks WHERE test_id IS NULL AND stage = 'BUILD_PROJECT_ORIGINAL' GROUP BY 1 HAVING arg_max(status, id) = 'FAILED')")
 def eligible_projects(e):
+    """Projects to be generalized, without one by its id and those whose last build failed."""
     projects = e.projects.withColumnRenamed("id", "project_id")
-    failures = funnels.project_level(e.tasks).filter("status = 'FAILED' and stage = 'BUILD_PROJECT_ORIGINAL' and id % 50 = 0")
+    builds = funnels.project_level(e.tasks).filter("stage = 'BUILD_PROJECT_ORIGINAL'")
+    failures = ranking.first_per_key(builds, ["project_id"], ["id"], latest=True).filter("status = 'FAILED'")
     return populations.one_to_one(populations.eligible(projects, F.col("use_test_generalization"), [3], failures), projects.select("project_id", "root_path"), ["project_id"])
 
 

@@ -30,6 +30,18 @@ def saved(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """Write to the shared folder in as many buckets of the keys as shuffles have partitions; later joins and groupings by exactly these keys need no exchange.
+
+    The files lie below spark.checkpoint.dir; the session's catalogue gets a table name for them.
+    """
+    spark = df.sparkSession
+    path, n = scratch(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the workers this package, wherever they run; once an application."""
     app = spark.sparkContext.applicationId
