@@ -12,7 +12,7 @@ from functools import cached_property, wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bitmaps, funnels, quality, runtimes
+from ..operators import bitmaps, failures, funnels, quality, runtimes
 from ..operators import coverage as C
 from ..scratch import bucketed, saved
 from ..sources.snapshot import Snapshot
@@ -29,6 +29,32 @@ REACHED = ["GENERALIZE_TESTS", "COLLECT_PIT_DATA_GENERALIZED"]
 SIGNAL_COUNTS = ["tests", "included_tests", "test_classes", "assertions", "included_assertions", "asserting_tests", "generalizations", "included_generalizations", "variants", "rejected_test", "rejected_assertion", "rejected_generalization", "test_reports", "non_passing_reports",
                  "mutation_reports", "detected_reports", "mutants", "tasks", "failed_tasks", "failed_evaluations", "project_tasks", "failed_project_tasks"]
 
+#: Where failed tasks are said to have failed, and with what: the exception's type, its message's end, and what a command printed; in turn, by the task's id.
+FAILED_AT = ["BUILD_PROJECT_ORIGINAL", "BUILD_PROJECT_INSTRUMENTED", "COLLECT_JUNIT_REPORTS_ORIGINAL", "EXECUTE_JPF", "EXECUTE_TESTS_GENERALIZED", "COLLECT_JACOCO_DATA_INITIAL", "COLLECT_PIT_DATA_GENERALIZED"]
+STATE, IO = "java.lang.IllegalStateException", "java.io.IOException"
+FAILED_WITH = [
+    (STATE, "Command execution timeout exceeded.", ""), (failures.COMMAND, "exit 1", "The coverage process said MINION_DIED"), (failures.COMMAND, "exit 1", "12 tests did not pass without mutation"), (failures.COMMAND, "exit 1", "No tests found"),
+    (STATE, f"Identified 1 error(s) during JPF execution: {failures.UNCAUGHT}\n--\njava.lang.NoSuchMethodError: a.B.c()", ""), (STATE, "Identified 2 error(s) during JPF execution, org.mockito.Answers", ""), (IO, "package org.example.missing does not exist", ""),
+    (IO, "Report directory target/reports does not exist", ""), (failures.NO_ASSERTION, "nothing to generalize", ""), (STATE, "boom", "No tests found"), (failures.ABORTED, "SEARCH_DEPTH_LIMIT at 500", ""),
+]
+
+
+def _pick(values: list, ident: str) -> str:
+    quoted = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+    return f"([{quoted}])[{ident} % {len(values)} + 1]"
+
+
+def _code_sql() -> str:
+    """The rules over said (the whole chain's messages), first, printed, typ and uncaught."""
+    listed = lambda values: "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+    def condition(r) -> str:
+        asked = [f"stage IN {listed(r.stages)}" if r.stages else "", f"typ IN {listed(r.types)}" if r.types else "", f"uncaught IN {listed(r.uncaught)}" if r.uncaught else ""]
+        asked += ["(" + " OR ".join(" AND ".join(f"contains({n}, '{m}')" for m in markers) for markers in getattr(r, n)) + ")" for n in ("said", "first", "printed") if getattr(r, n)]
+        return " AND ".join(a for a in asked if a) or "true"
+
+    return "CASE " + " ".join(f"WHEN {condition(r)} THEN '{r.code}'" for r in failures.RULES) + " END"
+
 
 def _stage_sql(what: str) -> str:
     return "CASE event_type " + " ".join(f"WHEN '{k}' THEN {repr(stage) if what == 'stage' else step}" for k, (stage, step) in STAGE_OF.items()) + " END"
@@ -86,6 +112,9 @@ effects_raw AS (SELECT b.project_id, b.a_variant, b.b_variant, killed_mutations,
   JOIN (SELECT project_id, count(*) AS tt, CAST(sum(line_count) AS BIGINT) AS lt, CAST(sum(runtime) AS BIGINT) AS rt FROM tests JOIN test_ext x ON x.test_id = tests.id AND x.variant = 'ORIGINAL' GROUP BY 1) t USING (project_id)),
 tasks AS (SELECT event_id AS id, user_id % 25 AS project_id, CASE WHEN event_type = 'click' THEN user_id END AS test_id, CAST(NULL AS BIGINT) AS assertion_id, CAST(NULL AS BIGINT) AS generalization_id, {_stage_sql("stage")} AS stage, {_stage_sql("step")} AS step,
     CASE WHEN event_type IN ('purchase', 'error') THEN (['{"','".join(VARIANTS)}'])[event_id % 3 + 1] END AS variant, CASE WHEN value < 20 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status, CAST(floor(value) AS BIGINT) AS runtime FROM events),
+failed AS (SELECT t.id, project_id, variant, runtime, status, {_pick(FAILED_AT, "t.id")} AS stage, {_pick([x[0] for x in FAILED_WITH], "t.id")} AS typ, coalesce(text, '') || chr(10) || {_pick([x[1] for x in FAILED_WITH], "t.id")} AS said, CASE WHEN t.id % 2 = 0 THEN 'wrapped' ELSE coalesce(text, '') || chr(10) || {_pick([x[1] for x in FAILED_WITH], "t.id")} END AS first,
+    CASE WHEN {_pick([x[0] for x in FAILED_WITH], "t.id")} = '{failures.COMMAND}' THEN coalesce(text, '') || chr(10) || {_pick([x[2] for x in FAILED_WITH], "t.id")} ELSE '' END AS printed FROM tasks t LEFT JOIN documents ON doc_id = t.id WHERE status = 'FAILED'),
+coded AS (SELECT *, {_code_sql()} AS reason_code FROM (SELECT *, regexp_extract(said, '{failures.UNCAUGHT}(?:\\s+|--)*([^:\\s]+)', 1) AS uncaught FROM failed)),
 decisions AS (SELECT project_id, 'test' AS level, id AS entity_id, 0 AS ordinal, 'TestTypeFilter' AS filter_name, CASE WHEN id % 13 = 0 THEN 'REJECT' ELSE 'ACCEPT' END AS decision, CASE WHEN id % 13 = 0 THEN 'TYPE_' || id % 3 END AS reason_code FROM tests
   UNION ALL SELECT project_id, 'assertion', id, 0, 'ParameterTypeFilter', CASE WHEN id % 7 = 0 THEN 'REJECT' WHEN id % 7 = 1 THEN 'DEFER' ELSE 'ACCEPT' END, CASE WHEN id % 7 = 0 THEN 'PARAMETER_' || id % 4 END FROM assertions
   UNION ALL SELECT project_id, 'assertion', id, 1, 'ReturnTypeFilter', CASE WHEN id % 5 = 0 THEN 'REJECT' ELSE 'ACCEPT' END, CASE WHEN id % 5 = 0 THEN 'RETURN_' || id % 6 END FROM assertions
@@ -274,6 +303,19 @@ class Experiment:
             F.when(late, F.element_at(F.array(*map(F.lit, VARIANTS)), (F.col("event_id") % 3 + 1).cast("int"))).alias("variant"), F.when(F.col("value") < 20, "FAILED").otherwise("SUCCEEDED").alias("status"), F.floor("value").alias("runtime"),
         )
 
+    @stored()
+    def coded(self) -> DataFrame:
+        """Failed tasks with their codes: the texts of documents stand for messages and logs."""
+        pick = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("id") % len(values)).cast("int"))
+        kinds, ends, prints = zip(*FAILED_WITH)
+        text = F.coalesce("text", F.lit(""))
+        message = F.struct(pick(kinds).alias("type"), F.concat(text, F.lit("\n"), pick(ends)).alias("message"))
+        wrapper = F.struct(F.lit("java.lang.RuntimeException").alias("type"), F.lit("wrapped").alias("message"))
+        chain = F.when(F.col("id") % 2 == 0, F.array(wrapper, message)).otherwise(F.array(message))
+        rows = self.tasks.filter("status = 'FAILED'").join(self.t("documents").select(F.col("doc_id").alias("id"), "text"), "id", "left")
+        rows = rows.withColumn("stage", pick(FAILED_AT)).withColumns({"chain": chain, "output": F.concat(text, F.lit("\n"), pick(prints))})
+        return failures.with_failure_code(rows).select("id", "project_id", "variant", "runtime", "status", "stage", "reason_code")
+
     @cached_property
     def decisions(self) -> DataFrame:
         ident = F.col("id")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import STAGES as RUN_STAGES
 from ..functions.scalars import simple_name
-from ..operators import coverage, filter_reports, funnels, populations, quality, ranking, rates, runtimes, values
+from ..operators import coverage, failures, filter_reports, funnels, populations, quality, ranking, rates, runtimes, values
 from ..sources.tables import content_digest
-from .experiment import PAIRED, REACHED, SIGNAL_COUNTS, VARIANTS, mart
+from .experiment import FAILED_AT, PAIRED, VARIANTS, mart
 
 def _rates(keys: list[str]) -> str:
     """Counts, percentages of all and of covered mutants, and differences to the baseline."""
@@ -165,7 +166,7 @@ def project_signals(e):
     return e.signals
 
 
-BANDS = [("ASSERTING", "asserting_tests > 0"), ("ACCEPTED", "rejected_assertion < included_assertions"), ("GENERALIZED", "included_generalizations > 0"), ("EVALUATED", "failed_evaluations < 20")]
+BANDS = [("ASSERTING", "asserting_tests > 0"), ("ACCEPTED", "rejected_test * 13 <= tests"), ("GENERALIZED", "included_generalizations % 4 <> 0"), ("EVALUATED", "failed_evaluations % 3 <> 0")]
 
 
 def _bands(e):
@@ -187,16 +188,19 @@ def funnel_conserved(e):
     return funnels.conserved(_bands(e))
 
 
+#: The band that a failed stage belongs to.
+BAND_OF = {s: "ACCEPTED" for s in FAILED_AT[:3]} | {s: "GENERALIZED" for s in FAILED_AT[3:5]} | {s: "EVALUATED" for s in FAILED_AT[5:]}
 CAUSES = f"""SELECT s.project_id, s.stage, coalesce(f.code, CASE WHEN failed_project_tasks > 0 THEN 'TASK_FAILED' WHEN included_assertions = 0 THEN 'NOTHING_INCLUDED' END, 'UNEXPLAINED') AS cause
 FROM (SELECT *, CASE {" ".join(f"WHEN NOT ({c}) THEN '{n}'" for n, c in BANDS)} END AS stage FROM signals) s
-LEFT JOIN (SELECT project_id, CASE WHEN stage = 'GENERALIZE_TESTS' THEN 'GENERALIZED' ELSE 'EVALUATED' END AS band, arg_min(stage || '_FAILED', id) AS code FROM tasks WHERE test_id IS NULL AND status = 'FAILED' AND stage IN ('{"','".join(REACHED)}') GROUP BY 1, 2) f ON f.project_id = s.project_id AND f.band = s.stage WHERE s.stage IS NOT NULL"""
+LEFT JOIN (SELECT project_id, CASE stage {" ".join(f"WHEN '{s}' THEN '{b}'" for s, b in BAND_OF.items())} END AS band, arg_min(reason_code, id) AS code FROM coded GROUP BY 1, 2) f ON f.project_id = s.project_id AND f.band = s.stage WHERE s.stage IS NOT NULL"""
 
 
 def _causes(e):
-    failed = funnels.project_level(e.tasks).filter(F.col("status") == "FAILED").filter(F.col("stage").isin(REACHED))
-    failures = failed.select("project_id", F.when(F.col("stage") == "GENERALIZE_TESTS", "GENERALIZED").otherwise("EVALUATED").alias("stage"), F.col("id").alias("ordinal"), F.concat("stage", F.lit("_FAILED")).alias("code"))
+    """A project's cause is the code of its first failed task in the band that it does not survive."""
+    band = F.element_at(F.create_map(*[F.lit(x) for kv in BAND_OF.items() for x in kv]), F.col("stage"))
+    found = e.coded.select("project_id", band.alias("stage"), F.col("id").alias("ordinal"), F.col("reason_code").alias("code"))
     fallback = [(F.col("failed_project_tasks") > 0, "TASK_FAILED"), (F.col("included_assertions") == 0, "NOTHING_INCLUDED")]
-    return funnels.excluded_with_cause(e.signals, "project_id", [(n, F.expr(c)) for n, c in BANDS], failures, fallback)
+    return funnels.excluded_with_cause(e.signals, "project_id", [(n, F.expr(c)) for n, c in BANDS], found, fallback)
 
 
 @mart(CAUSES)
@@ -209,7 +213,7 @@ def exclusion_cause_counts(e):
     return funnels.cause_counts(_causes(e), {n: i for i, (n, _) in enumerate(BANDS)})
 
 
-LABELS = {"GENERALIZE_TESTS_FAILED": "Generalization", "COLLECT_PIT_DATA_GENERALIZED_FAILED": "Evaluation", "TASK_FAILED": "Tasks", "NOTHING_INCLUDED": "Filters", "UNEXPLAINED": "Unexplained"}
+LABELS = {r.code: "Tools" if r.printed else "Builds" if "COMPILE" in r.code or "DEPENDENCY" in r.code else "Executor" for r in failures.RULES} | {"TASK_FAILED": "Tasks", "NOTHING_INCLUDED": "Filters", "UNEXPLAINED": "Unexplained"}
 
 
 @mart(f"SELECT *, CASE cause {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items())} END AS label FROM ({CAUSES})")
@@ -217,6 +221,37 @@ def exclusion_labels(e):
     return funnels.grouped_causes(_causes(e), LABELS)
 
 
+@mart("SELECT stage, reason_code, count(*) AS n, CAST(sum(runtime) AS BIGINT) AS seconds FROM coded GROUP BY 1, 2")
+def failure_codes(e):
+    """Codes of all failed tasks, from their exception chains and captured output."""
+    return e.coded.groupBy("stage", "reason_code").agg(F.count("*").alias("n"), F.sum("runtime").alias("seconds"))
+
+
+def _cause_sql() -> str:
+    ceiling = "reason_code IN ('SUITE_TIMEOUT', 'EXECUTION_TIMEOUT') OR runtime >= 100"
+    pit = " ".join(f"WHEN stage = 'COLLECT_PIT_DATA_GENERALIZED' AND reason_code = '{c}' THEN '{t.format('generalized test suite')}'" for c, t in failures.PIT_CAUSES)
+    return f"""CASE WHEN stage = 'EXECUTE_TESTS_GENERALIZED' AND ({ceiling}) THEN 'timeout exceeded (100 seconds per generalized test suite)'
+WHEN stage = 'COLLECT_JACOCO_DATA_INITIAL' AND ({ceiling}) THEN 'timeout exceeded (100 seconds during JaCoCo coverage collection for the initial test suite)' WHEN stage = 'COLLECT_JACOCO_DATA_INITIAL' AND id % 3 = 0 THEN 'JaCoCo outputs not found for the initial test suite' WHEN stage = 'COLLECT_JACOCO_DATA_INITIAL' THEN 'JaCoCo execution error while measuring the initial test suite'
+WHEN stage = 'COLLECT_PIT_DATA_GENERALIZED' AND ({ceiling}) THEN 'timeout exceeded (100 seconds during PIT mutation testing for the generalized test suite)' {pit} WHEN stage = 'COLLECT_PIT_DATA_GENERALIZED' AND id % 3 = 0 THEN 'PIT reports not found for the generalized test suite' WHEN stage = 'COLLECT_PIT_DATA_GENERALIZED' THEN 'PIT execution error for the generalized test suite'
+WHEN stage = 'COLLECT_JUNIT_REPORTS_ORIGINAL' AND reason_code = 'MISSING_REPORT_FILE' THEN 'JUnit report directory not found' WHEN stage = 'COLLECT_JUNIT_REPORTS_ORIGINAL' AND reason_code = 'UNSUPPORTED_REPORT_LAYOUT' THEN 'unsupported JUnit report layout' WHEN stage = 'COLLECT_JUNIT_REPORTS_ORIGINAL' THEN 'JUnit report collection error'
+WHEN stage = 'BUILD_PROJECT_INSTRUMENTED' THEN 'instrumented project compilation failed' ELSE 'UNCODED' END"""
+
+
+TERMINAL = f"""SELECT project_id, variant, stage, reason_code, cause, CASE WHEN cause = 'UNCODED' THEN '?' WHEN stage = 'COLLECT_JUNIT_REPORTS_ORIGINAL' THEN '1 + 2' WHEN stage = 'BUILD_PROJECT_INSTRUMENTED' THEN '3' WHEN stage = 'EXECUTE_TESTS_GENERALIZED' THEN '4' ELSE '5' END AS failure_stage
+FROM (SELECT *, {_cause_sql()} AS cause FROM (SELECT * FROM coded QUALIFY row_number() OVER (PARTITION BY project_id, id // 40 ORDER BY {"CASE stage " + " ".join(f"WHEN '{s}' THEN {RUN_STAGES.index(s)}" for s in FAILED_AT) + " END"} DESC, id DESC) = 1))"""
+
+
+def _terminal(e):
+    """Each run of 40 tasks of a project ends in one failure; a third of the stages left no artefact."""
+    rows = e.coded.withColumns({"timeout": F.lit(100), "artifact_present": F.col("id") % 3 != 0, "run": F.floor(F.col("id") / 40)})
+    return failures.terminal_failures(rows, ["project_id", "run"], 1.0)
+
+
+@mart(f"SELECT failure_stage, cause, count(*) AS n, sum(count(*)) OVER (PARTITION BY failure_stage)::BIGINT AS stage_total FROM ({TERMINAL}) GROUP BY 1, 2")
+def failure_cause_table(e):
+    return failures.cause_table(_terminal(e))
+
+
 @mart("SELECT level, filter_name, count(DISTINCT entity_id) FILTER (WHERE decision = 'ACCEPT') AS accepted, count(DISTINCT entity_id) FILTER (WHERE decision = 'DEFER') AS deferred, count(DISTINCT entity_id) FILTER (WHERE decision = 'REJECT') AS rejected, count(DISTINCT entity_id) AS entities FROM decisions GROUP BY 1, 2")
 def filter_decisions(e):
     return filter_reports.decision_counts(e.decisions, ["level", "filter_name"], "entity_id")
