@@ -5,6 +5,7 @@ and the frames' seek offsets."""
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -146,6 +147,8 @@ def _tags(data: bytes) -> tuple[dict, int]:
         return {}, 0
     version, flags, end, at, out = data[3], data[5], 10 + _unsafe(data[6:10]), 10, {}
     if flags & 64 and version > 2:
+        if len(data) < at + 4:
+            return {}, end
         at += _unsafe(data[at : at + 4]) if version == 4 else 4 + int.from_bytes(data[at : at + 4], "big")
     letters, lead = (3, 6) if version == 2 else (4, 10)
     while at + lead <= min(end, len(data)) and data[at]:
@@ -171,7 +174,7 @@ def _vbr_table(frame: bytes, h: Header) -> dict | None:
                 out[name] = int.from_bytes(frame[p : p + 4], "big")
                 p += 4
         return out | ({"toc": list(frame[p : p + 100])} if flags & 4 else {})
-    if frame[36:40] == b"VBRI":
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
         size, frames, entries, scale, width, each = struct.unpack(">IIHHHH", frame[46:62])
         return {"kind": "VBRI", "frames": frames, "bytes": size, "toc": [int.from_bytes(frame[62 + i * width : 62 + (i + 1) * width], "big") * scale for i in range(entries)], "frames_per_entry": each}
     return None
@@ -211,7 +214,7 @@ def read_stream(data: bytes) -> Stream:
             parts.append(frame[body + h.side :] if h.layer == 3 else frame[body:])
         at += h.size
     out.payload = b"".join(parts)
-    if (n := out.tags.get("TXXX:payload", "")).isdigit():
+    if re.fullmatch("[0-9]{1,18}", n := out.tags.get("TXXX:payload", "")):
         out.payload = out.payload[: int(n)]
     return out
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -68,6 +69,18 @@ def _decompressor(dictionary: bytes):
     return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdDecompressor()
 
 
+def _dictionary(body: bytes) -> bytes:
+    """The dictionary in a skippable frame's body, which may be compressed itself; empty where it is none."""
+    try:
+        found = zstandard.ZstdDecompressor().decompress(body, max_output_size=1 << 26) if body[:4] == FRAME_MAGIC else body
+        if found[:4] != DICT_MAGIC:
+            return b""
+        _decompressor(found).decompressobj()
+    except zstandard.ZstdError:
+        return b""
+    return found
+
+
 def frames(archive: bytes, most: int = MOST) -> Iterator[tuple[bytes, str | None]]:
     """(content, error) of every frame after the dictionary; a frame of over ``most`` bytes gives an error only. A damaged frame gives its error and ends the archive, as the next one's start is not known."""
     at, dictionary, view = 0, b"", memoryview(archive)
@@ -79,8 +92,8 @@ def frames(archive: bytes, most: int = MOST) -> Iterator[tuple[bytes, str | None
                 yield b"", "cut skippable frame"
                 return
             if at == 0 and magic == DICT_FRAME:
-                dictionary = zstandard.ZstdDecompressor().decompress(body, max_output_size=1 << 26) if body[:4] == FRAME_MAGIC else body
-                if dictionary[:4] != DICT_MAGIC:
+                dictionary = _dictionary(body)
+                if not dictionary:
                     yield b"", "bad dictionary"
                     return
             at += 8 + n
@@ -104,8 +117,14 @@ def frames(archive: bytes, most: int = MOST) -> Iterator[tuple[bytes, str | None
         yield (b"".join(parts), None) if total <= most else (b"", f"record of {total} bytes")
 
 
+def _number(text: str | None) -> int | None:
+    """A length or an id in ASCII digits that fits in 64 bits; else None."""
+    found = int(text) if text and re.fullmatch("-?[0-9]{1,19}", text) else None
+    return found if found is not None and -(2**63) <= found < 2**63 else None
+
+
 def _page(uri: str | None) -> int | None:
-    return int(uri[10:-1]) if uri and uri.startswith("<urn:page:") and uri[10:-1].lstrip("-").isdigit() else None
+    return _number(uri[10:-1]) if uri and uri.startswith("<urn:page:") and uri.endswith(">") else None
 
 
 def _fields(lines: list[bytes]) -> dict[str, str] | None:
@@ -151,7 +170,7 @@ def parse(content: bytes) -> dict:
         return out | {"error": "bad version or no end of headers"}
     if missing := [n for n in REQUIRED if n.lower() not in fields]:
         return out | {"error": f"missing {missing[0]}"}
-    if not fields["content-length"].isdigit() or len(rest) != int(fields["content-length"]) + 4 or rest[-4:] != b"\r\n\r\n":
+    if (length := _number(fields["content-length"])) is None or len(rest) != length + 4 or rest[-4:] != b"\r\n\r\n":
         return out | {"error": "wrong Content-Length or ending"}
     block = rest[:-4]
     if not _agrees(fields.get("warc-block-digest"), block):
@@ -160,9 +179,9 @@ def parse(content: bytes) -> dict:
     payload = block.partition(b"\r\n\r\n")[2] if http else block
     stated = fields.get("warc-payload-digest")
     if out["record_type"] == "revisit":
-        length = fields.get("payload-length", "")
+        length = _number(fields.get("payload-length"))
         kind, _, value = (stated or "").partition(":")
-        return out | {"payload_bytes": int(length) if length.isdigit() else None, "payload_digest": value if kind.lower() == "sha1" else None, "payload": b""}
+        return out | {"payload_bytes": length if length is not None and length >= 0 else None, "payload_digest": value if kind.lower() == "sha1" else None, "payload": b""}
     if not _agrees(stated, payload):
         return out | {"error": "wrong payload digest"}
     return out | {"payload_bytes": len(payload), "payload_digest": digest(payload), "payload": payload}
@@ -220,7 +239,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
     Every record is validated; one that fails has its reason in ``error`` (null otherwise) and whatever fields could be
     read. A page_id is read from record ids of the form that write_archives() gives; any other id is in record_id only.
-    A null or empty content has no record.
+    A damaged or cut
+    dictionary, frame or record gives a row with its error, never an exception. A null or empty content has no record.
     """
     return tune(archives.sparkSession) and archives.select("content").mapInArrow(_read, RECORD)
 
