@@ -113,3 +113,66 @@ def reconciled(decisions: DataFrame, keys: list[str], rejected: DataFrame) -> Da
     listed = rejected.groupBy(*keys).agg(F.count("*").alias("listed"))
     joined = kinds.join(listed, keys, "left").fillna(0, ["listed"])
     return joined.withColumn("holds", (F.col("total") == F.col("accepted") + F.col("deferred") + F.col("rejected")) & (F.col("rejected") == F.col("listed")))
+
+
+#: The nested populations of generalization attempts, in order.
+POPULATIONS = ["attempted", "emitted", "filter_result_recorded", "filter_passed", "validated", "reduced", "final_usable"]
+#: Gates whose exclusions are known by themselves; at the others a failure must have been attempted.
+SELF_EVIDENT = ["emitted", "filter_passed", "validated", "final_usable"]
+FILTER_CLASS = r"filter\.\w+Filter$"
+
+
+def attempted_stages(rows: DataFrame, key: str, tasks: DataFrame) -> DataFrame:
+    """(key): rows (key, project_id, stage, variant) for which some task of the project has that stage, and no variant or the row's.
+
+    The "or" over the variant is a union of two equi-joins' keys. Rows without a stage are not among them.
+    """
+    seen = tasks.select("project_id", "stage", "variant").distinct()
+    plain = rows.join(seen.filter("variant is null").select("project_id", "stage"), ["project_id", "stage"], "left_semi")
+    own = rows.join(seen.filter("variant is not null"), ["project_id", "stage", "variant"], "left_semi")
+    return plain.select(key).union(own.select(key)).distinct()
+
+
+def generalization_lifecycle(generalizations: DataFrame, lifecycle: DataFrame, filter_results: DataFrame, tasks: DataFrame, eligible: DataFrame, variant: str) -> DataFrame:
+    """One row a generalization of eligible projects in one variant: the POPULATIONS as flags, final_failure_stage, and whether a task attempted that stage (null without one).
+
+    generalizations: id, project_id, variant. lifecycle: generalization_id, generated_source_created, generated_project_compiled,
+    generated_tests_executed, generated_report_collected, generated_filter_passed, generated_pit_collected, final_usable,
+    final_failure_stage; at most one row a generalization. filter_results: project_id, generalization_id, filter_name.
+    """
+    g = generalizations.filter(F.col("variant") == variant).join(eligible.select("project_id").distinct(), "project_id", "left_semi").select("project_id", F.col("id").alias("generalization_id"), "variant")
+    recorded = filter_results.filter(F.col("generalization_id").isNotNull() & F.col("filter_name").rlike(FILTER_CLASS)).select("generalization_id").distinct().withColumn("_recorded", F.lit(True))
+    joined = g.join(lifecycle, "generalization_id", "left").join(recorded, "generalization_id", "left")
+    flag = lambda *names: F.coalesce(reduce(lambda a, b: a & b, [F.col(n) for n in names]), F.lit(False))
+    made = ["generated_source_created", "generated_project_compiled", "generated_tests_executed", "generated_report_collected", "generated_filter_passed"]
+    rows = joined.select(
+        "project_id", "generalization_id", "variant", F.lit(True).alias("attempted"), flag(made[0]).alias("emitted"), F.coalesce("_recorded", F.lit(False)).alias("filter_result_recorded"), flag("generated_filter_passed").alias("filter_passed"),
+        flag(*made).alias("validated"), flag("generated_pit_collected").alias("reduced"), flag("final_usable").alias("final_usable"), "final_failure_stage",
+    )
+    attempted = attempted_stages(rows.select("generalization_id", "project_id", F.col("final_failure_stage").alias("stage"), "variant"), "generalization_id", tasks).withColumn("_seen", F.lit(True))
+    observed = F.when(F.col("final_failure_stage").isNotNull(), F.coalesce("_seen", F.lit(False)))
+    return rows.join(attempted, "generalization_id", "left").withColumn("failure_attempt_observed", observed).drop("_seen")
+
+
+def first_failing_gate(rows: DataFrame) -> DataFrame:
+    """Lifecycle rows with ``gate``: the first population that the generalization is not in; null if it is in all."""
+    return rows.withColumn("gate", F.coalesce(*[F.when(~F.col(p), F.lit(p)) for p in POPULATIONS[1:]]))
+
+
+def generalization_funnel(rows: DataFrame) -> DataFrame:
+    """(position, population, entering_population, entering, passing, exclusions, attempt_known, attempt_unknown, projects) of generalization_lifecycle().
+
+    One aggregation over all gates. A generalization in a population but not in the one before it is an error, as is a band
+    that does not conserve. Exclusions are known at SELF_EVIDENT gates, at others where the failing stage was attempted.
+    """
+    sums = []
+    for i, (entering, p) in enumerate(zip(POPULATIONS, POPULATIONS[1:], strict=False), 1):
+        gone = F.col(entering) & ~F.col(p)
+        known = gone if p in SELF_EVIDENT else gone & F.coalesce("failure_attempt_observed", F.lit(False))
+        sums += [F.count_if(F.col(entering)).alias(f"e{i}"), F.count_if(F.col(p)).alias(f"p{i}"), F.count_if(gone).alias(f"x{i}"), F.count_if(known).alias(f"k{i}"), F.min(F.when(F.col(p) & ~F.col(entering), F.col("generalization_id"))).alias(f"o{i}"), F.countDistinct(F.when(F.col(p), F.col("project_id"))).alias(f"d{i}")]
+    band = lambda i: F.struct(F.lit(i).alias("position"), F.lit(POPULATIONS[i]).alias("population"), F.lit(POPULATIONS[i - 1]).alias("entering_population"), *[F.col(f"{c}{i}").alias(n) for c, n in zip("epxkod", ["entering", "passing", "exclusions", "attempt_known", "outside", "projects"], strict=True)])
+    bands = rows.agg(*sums).select(F.inline(F.array(*[band(i) for i in range(1, len(POPULATIONS))])))
+    broken = F.when(F.col("outside").isNotNull(), F.concat("population", F.lit(" generalizations outside "), "entering_population", F.lit(", such as "), "outside"))
+    broken = broken.when(F.col("entering") != F.col("passing") + F.col("exclusions"), F.concat(F.lit("funnel band does not conserve "), "population"))
+    entering = F.when(broken.isNotNull(), F.raise_error(broken).cast("long")).otherwise(F.col("entering"))
+    return bands.select("position", "population", "entering_population", entering.alias("entering"), "passing", "exclusions", "attempt_known", (F.col("exclusions") - F.col("attempt_known")).alias("attempt_unknown"), "projects")

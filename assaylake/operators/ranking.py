@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .digests import ordered_digest
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str], latest: bool = False) -> DataFrame:
     """One row per key, the first (or latest) by order: a partial aggregate of a struct, so no key's rows meet unreduced."""
@@ -52,10 +54,8 @@ def hash_sample(population: DataFrame, strata: list[str], identity: str, n: int,
 
 
 def population_digest(df: DataFrame, identity: list[str]) -> DataFrame:
-    """One row: count, and an order-free digest of all identities: the sum of 64-bit hashes and the SHA-256 of the sorted digests of 256 slices."""
-    row = F.sha2(F.to_json(F.struct(*identity)), 256)
-    sliced = df.groupBy(F.substring(row, 1, 2).alias("slice")).agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(row, 3, 12), 16, 10).cast("decimal(38,0)")).alias("s"))  # 256 rows at most
-    return sliced.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "slice", "n", "s"))), ","), 256).alias("digest"))
+    """One row (n, sha256): the digest of all identities in their order. A repeated identity is an error."""
+    return ordered_digest(df, [], identity, F.to_json(F.array(*[F.col(c).cast("string") for c in identity])))
 
 
 def stratified_sample(population: DataFrame, strata: list[str], identity: str, allocation: DataFrame, seed: str) -> DataFrame:

@@ -302,7 +302,9 @@ def stratified_hash_sample(t):
     return ranking.hash_sample(t("customer").select("c_nationkey", "c_custkey"), ["c_nationkey"], "c_custkey", 5, "review")
 
 
-@query()
+@query("""WITH l0 AS (SELECT pos // 256 AS node, sha256(string_agg(line, chr(10) ORDER BY pos)) AS h FROM (SELECT row_number() OVER (ORDER BY o_orderkey, o_custkey) - 1 AS pos, '["' || o_orderkey || '","' || o_custkey || '"]' AS line FROM orders) GROUP BY 1),
+l1 AS (SELECT node // 256 AS node, sha256(string_agg(h, chr(10) ORDER BY node)) AS h FROM l0 GROUP BY 1), l2 AS (SELECT sha256(string_agg(h, chr(10) ORDER BY node)) AS h FROM l1)
+SELECT (SELECT count(*) FROM orders) AS n, CASE WHEN (SELECT count(*) FROM l0) = 1 THEN (SELECT max(h) FROM l0) WHEN (SELECT count(*) FROM l1) = 1 THEN (SELECT max(h) FROM l1) ELSE (SELECT max(h) FROM l2) END AS sha256""")
 def population_digest(t):
     return ranking.population_digest(t("orders"), ["o_orderkey", "o_custkey"])
 

@@ -148,6 +148,41 @@ def finished_projects(e):
     return funnels.finished_projects(last, ["GENERALIZE_TESTS"], ["COLLECT_PIT_DATA_GENERALIZED"])
 
 
+#: Which generalizations stop at a gate, by their id, and the stage that is said to have failed there.
+GATES = {"emitted": ("id % 9 = 0", "GENERALIZE_TESTS"), "filter_result_recorded": ("id % 8 = 1", "FILTER_TESTS"), "filter_passed": ("NOT is_included", "FILTER_TESTS"), "validated": ("id % 5 = 1", "EXECUTE_TESTS_ORIGINAL"), "reduced": ("id % 7 = 2", "COLLECT_PIT_DATA_GENERALIZED"), "final_usable": ("id % 6 = 5", "BUILD_PROJECT_ORIGINAL")}
+_ALIVE = {p: " AND ".join(f"NOT ({GATES[q][0]})" for q in list(GATES)[: i + 1]) for i, p in enumerate(GATES)}
+_STOPPED = "CASE " + " ".join(f"WHEN {c} THEN '{s}'" for c, s in GATES.values()) + " END"
+LIFECYCLE = f"""(SELECT g.project_id, g.id AS generalization_id, true AS attempted, {", ".join(f"{c} AS {p}" for p, c in _ALIVE.items())}, {_STOPPED} AS final_failure_stage,
+  {_STOPPED} IN (SELECT stage FROM tasks t WHERE t.project_id = g.project_id AND (t.variant IS NULL OR t.variant = g.variant)) AS failure_attempt_observed FROM generalizations g WHERE variant = 'IMPROVED_200_TRIES' AND project_id <> 3)"""
+
+
+def _lifecycle(e):
+    """Generalizations stop at the gates that GATES names; project 3 is not eligible."""
+    alive = lambda p: F.expr(_ALIVE[p])
+    g = e.generalizations
+    made = {"generated_source_created": alive("emitted"), "generated_project_compiled": alive("validated"), "generated_tests_executed": F.lit(True), "generated_report_collected": F.lit(True), "generated_filter_passed": alive("filter_passed"), "generated_pit_collected": alive("reduced"), "final_usable": alive("final_usable")}
+    life = g.select(F.col("id").alias("generalization_id"), *[c.alias(n) for n, c in made.items()], F.expr(_STOPPED).alias("final_failure_stage"))
+    results = g.filter(alive("filter_result_recorded")).select("project_id", F.col("id").alias("generalization_id"), F.lit("engine.filter.NonPassingTestFilter").alias("filter_name"))
+    return funnels.generalization_lifecycle(g, life, results, e.tasks, e.projects.select(F.col("id").alias("project_id")).filter("project_id <> 3"), "IMPROVED_200_TRIES")
+
+
+def _band_sql() -> str:
+    every = funnels.POPULATIONS
+    known = lambda p: "true" if p in funnels.SELF_EVIDENT else "coalesce(failure_attempt_observed, false)"
+    return " UNION ALL ".join(f"SELECT {i} AS position, '{p}' AS population, '{q}' AS entering_population, count(*) FILTER (WHERE {q}) AS entering, count(*) FILTER (WHERE {p}) AS passing, count(*) FILTER (WHERE {q} AND NOT {p}) AS exclusions, count(*) FILTER (WHERE {q} AND NOT {p} AND {known(p)}) AS attempt_known, count(*) FILTER (WHERE {q} AND NOT {p} AND NOT {known(p)}) AS attempt_unknown, count(DISTINCT project_id) FILTER (WHERE {p}) AS projects FROM {LIFECYCLE}" for i, (q, p) in enumerate(zip(every, every[1:]), 1))
+
+
+@mart(_band_sql())
+def generalization_funnel(e):
+    return funnels.generalization_funnel(_lifecycle(e))
+
+
+@mart(f"SELECT gate, count(*) AS n, count(*) FILTER (WHERE failure_attempt_observed) AS attempted FROM (SELECT *, CASE {' '.join(f'WHEN NOT {p} THEN {chr(39)}{p}{chr(39)}' for p in funnels.POPULATIONS[1:])} END AS gate FROM {LIFECYCLE}) GROUP BY 1")
+def failing_gates(e):
+    """Each generalization under the first gate that it does not pass."""
+    return funnels.first_failing_gate(_lifecycle(e)).groupBy("gate").agg(F.count("*").alias("n"), F.count_if("failure_attempt_observed").alias("attempted"))
+
+
 FAILURES = "SELECT DISTINCT ON (project_id) project_id, step, stage, variant, id FROM tasks WHERE test_id IS NULL AND status = 'FAILED' ORDER BY project_id, step, id"
 
 
@@ -416,12 +451,32 @@ def class_census(e):
     return values.census(e.tests, ["project_id", "class_name"], {"included": F.col("is_included")})
 
 
-@mart("SELECT source, count(*) AS files, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS bytes, sha256(string_agg(CAST(doc_id AS VARCHAR) || chr(0) || sha256(coalesce(text, '')), chr(10) ORDER BY CAST(doc_id AS VARCHAR))) AS sha256 FROM documents GROUP BY 1")
+def tree_sql(rows: str, group: str, levels: int = 3, fan: int = 256) -> str:
+    """(grp, n, sha256) over rows (grp, pos from 0, line)."""
+    parts = [f"l0 AS (SELECT grp, pos // {fan} AS node, sha256(string_agg(line, chr(10) ORDER BY pos)) AS h FROM ({rows}) GROUP BY 1, 2)"]
+    parts += [f"l{i} AS (SELECT grp, node // {fan} AS node, sha256(string_agg(h, chr(10) ORDER BY node)) AS h FROM l{i - 1} GROUP BY 1, 2)" for i in range(1, levels)]
+    roots = " ".join(f"WHEN n <= {fan ** (i + 1)} THEN (SELECT h FROM l{i} WHERE l{i}.grp IS NOT DISTINCT FROM c.grp AND node = 0)" for i in range(levels))
+    return f"(WITH {', '.join(parts)} SELECT grp AS {group}, n, CASE {roots} END AS sha256 FROM (SELECT grp, count(*) AS n FROM ({rows}) GROUP BY 1) c)"
+
+
+_FILES = "SELECT source AS grp, row_number() OVER (PARTITION BY source ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS pos, CAST(doc_id AS VARCHAR) || chr(0) || sha256(coalesce(text, '')) AS line FROM documents"
+
+
+@mart(f"SELECT source, n AS files, bytes, sha256 FROM {tree_sql(_FILES, 'source')} JOIN (SELECT source, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS bytes FROM documents GROUP BY 1) USING (source)")
 def project_source_digest(e):
     files = e.t("documents").select("source", F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
     return content_digest(files, ["source"])
 
 
+_TESTS = "SELECT 0 AS grp, row_number() OVER (ORDER BY project_id, id) - 1 AS pos, '[\"' || project_id || '\",\"' || id || '\"]' AS line FROM tests"
+
+
+@mart(f"SELECT n, sha256 FROM {tree_sql(_TESTS, 'grp')}")
+def frozen_population(e):
+    """All tests by project and id."""
+    return ranking.population_digest(e.tests, ["project_id", "id"])
+
+
 @mart("SELECT id, project_id FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY sha256('draw:' || id), id) AS r FROM tests) WHERE r <= 2 + project_id % 3")
 def stratified_sample(e):
     allocation = e.t("nation").select(F.col("n_nationkey").cast("long").alias("project_id"), (F.lit(2) + F.col("n_nationkey") % 3).alias("wanted"))

@@ -222,7 +222,3 @@ def import_outcomes(runs: DataFrame, reports: DataFrame, generalizations: DataFr
     joined = every.join(last, ["execution_id", "generalization_id"], "left")
     return joined.select("execution_id", "generalization_id", F.coalesce("_r.diagnostic_kind", F.lit("DIAGNOSTIC_MISSING")).alias("diagnostic_kind"), F.regexp_replace("_r.message", r"\x00", "").alias("message"))
 
-
-def replace_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Rerun-safe sink: only the partitions (such as project and stage) that are in the frame are replaced."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)

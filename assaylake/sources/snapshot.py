@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def file_listing(spark: SparkSession, *paths: str, suffix: str = "") -> DataFrame:
-    """(path, length, modified) of the files at and below the paths; no content is read. Every given path must exist."""
+    """(path, length, modified) of the files at and below the paths, but for empty ones, which Spark leaves out; no content is read. Every given path must exist."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
     return files.load(list(paths)).select("path", "length", F.col("modificationTime").alias("modified"))
 
@@ -54,17 +54,17 @@ class Snapshot:
 
 
 def missing_artefacts(expected: DataFrame, files: DataFrame, key: str = "path") -> DataFrame:
-    """The rows of ``expected`` with ``length`` (null: no such file) and ``problem``: MISSING, EMPTY or null. Paths are compared without a leading scheme."""
+    """The rows of ``expected`` with ``length`` and ``problem``, MISSING where there is no such file or an empty one. Paths are compared without a leading scheme."""
     plain = lambda c: F.regexp_replace(c, r"^[a-z][a-z0-9+.-]*:/+(?=/)|^file:(?=/)", "")
     known = files.select(plain(F.col("path")).alias("_path"), "length")
     joined = expected.join(known, plain(F.col(key)) == F.col("_path"), "left").drop("_path")
-    return joined.withColumn("problem", F.when(F.col("length").isNull(), "MISSING").when(F.col("length") == 0, "EMPTY"))
+    return joined.withColumn("problem", F.when(F.col("length").isNull(), "MISSING"))
 
 
 def read_outcomes(spark: SparkSession, expected: DataFrame, root: str, key: str = "path") -> DataFrame:
     """Outcome sidecars (outcome.json: one object with diagnosticKind and message) of the expected paths below a root.
 
-    The rows of ``expected`` with diagnostic_kind and message: DIAGNOSTIC_MISSING where no file is, DIAGNOSTIC_UNREADABLE
+    The rows of ``expected`` with diagnostic_kind and message: DIAGNOSTIC_MISSING where no file is, or an empty one, DIAGNOSTIC_UNREADABLE
     where it is no JSON object with a kind. NUL characters go from messages. Files are listed first; only those that are
     there are read, one row each.
     """
@@ -75,4 +75,4 @@ def read_outcomes(spark: SparkSession, expected: DataFrame, root: str, key: str
     parsed = F.try_parse_json("_text")
     kind, message = F.try_variant_get(parsed, "$.diagnosticKind", "string"), F.try_variant_get(parsed, "$.message", "string")
     named = F.when(F.col("_path").isNull(), "DIAGNOSTIC_MISSING").when(kind.isNull(), "DIAGNOSTIC_UNREADABLE").otherwise(kind)
-    return joined.withColumns({"diagnostic_kind": named, "message": F.translate(message, "\0", "")}).drop("_path", "_text")
+    return joined.withColumns({"diagnostic_kind": named, "message": F.regexp_replace(message, r"\x00", "")}).drop("_path", "_text")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.digests import ordered_digest
 from ..operators.quality import require_columns
+from ..scratch import saved
 
 
 def snapshot(spark: SparkSession, root: str, names: list[str]) -> dict[str, DataFrame]:
@@ -99,13 +101,14 @@ def read_sources(spark: SparkSession, path, suffix: str = "java") -> DataFrame:
 
 
 def content_digest(files: DataFrame, keys: list[str], ineligible: DataFrame | None = None) -> DataFrame:
-    """(*keys, files, bytes, sha256): a digest over sorted (path, hash of content) of each project; generated files and ineligible projects are skipped.
+    """(*keys, files, bytes, sha256): the ordered digest of (path, hash of content) of each project; generated files and ineligible projects are skipped.
 
-    files: (*keys, path, content binary). Only paths and hashes meet, never contents.
+    files: (*keys, path, content binary). Only paths and hashes meet, in nodes of bounded size, never contents; a project with the same path twice is an error.
     """
     kept = files.filter(~excluded_file(F.col("path")))
     if ineligible is not None:
         kept = kept.join(ineligible.select(*keys).distinct(), keys, "left_anti")
-    hashed = kept.select(*keys, F.struct("path", F.sha2("content", 256).alias("h")).alias("_f"), F.octet_length("content").cast("long").alias("_n"))
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list("_f")), lambda x: F.concat(x["path"], F.lit("\0"), x["h"])), "\n")
-    return hashed.groupBy(*keys).agg(F.count("*").alias("files"), F.sum("_n").alias("bytes"), F.sha2(listed, 256).alias("sha256"))
+    hashed = saved(kept.select(*keys, "path", F.sha2("content", 256).alias("_h"), F.octet_length("content").cast("long").alias("_n")))
+    digests = ordered_digest(hashed, keys, ["path"], F.concat("path", F.lit("\0"), "_h")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("n").alias("files"), "sha256")
+    sizes = hashed.groupBy(*keys).agg(F.sum("_n").alias("bytes"))
+    return sizes.join(digests, [sizes[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]).select(*keys, "files", "bytes", "sha256")
