@@ -35,10 +35,15 @@ def bucketed(df: DataFrame, *keys: str) -> DataFrame:
 
     The files lie below spark.checkpoint.dir; the session's catalogue gets a table name for them.
     """
+    return in_buckets(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys), *keys)
+
+
+def in_buckets(df: DataFrame, *keys: str) -> DataFrame:
+    """Like bucketed(), but every task writes its own rows to files of their buckets: no exchange, and as many files a task as it has buckets."""
     spark = df.sparkSession
     path, n = scratch(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = path.rsplit("/", 1)[1].replace("-", "_")
-    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
+    df.write.bucketBy(n, *keys).sortBy(*keys).format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
