@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import saved, ship
+from ..scratch import in_buckets, saved, ship
 
-__all__ = ["SPACES", "WORD", "free_names", "let", "saved", "table", "tune"]
+__all__ = ["SPACES", "WORD", "free_names", "in_buckets", "let", "saved", "table", "tune"]
 
 #: ASCII white space of the word rule; a word is a maximal run of anything else.
 SPACES = " \t\n\x0b\x0c\r"

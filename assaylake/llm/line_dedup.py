@@ -2,8 +2,9 @@
 
 Line keys are dealt to parts by their hash, as many as keep a part's filters at a fixed size whatever the corpus. A task
 sends each part the hashes of its lines, each different one once. There a filter of once-seen and a filter of twice-seen
-hashes are built; the twice-seen one is then probed with the part's lines, and only lines that it suspects go on. These
-are grouped by a 128-bit digest of the key, which confirms a repeat and picks the first document.
+hashes are built; the twice-seen one is then probed with the part's 64-bit hashes, chunk by chunk, and answers with one bit
+a line. The chunks stay where they were written; only lines that are suspected leave them with their documents and
+128-bit digests, by which they are grouped: that confirms a repeat and picks the first document.
 """
 
 from __future__ import annotations
@@ -14,18 +15,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, free_names, saved, table, tune
+from .common import SPACES, free_names, in_buckets, saved, table, tune
 
 #: Lines a part at most, on average, and bits of a filter for each of them.
 PART_LINES, BITS_PER_LINE = 1 << 21, 16
 #: Tasks that probe one part, so that a line which is in a large share of all documents is not one task's work.
 PROBES = 4
-#: Lines that a task of the first pass holds at once.
-HELD = 1 << 20
+#: Lines of a chunk: what a task of the first pass holds at once.
+HELD = 1 << 18
 
 
 def _digests(keys: list[str]) -> np.ndarray:
@@ -63,42 +65,54 @@ class Filter:
         return (self.data[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8) & 1).all(axis=0)
 
 
-DEALT = "part int, once binary, twice binary, low binary, high binary, ids binary, nulls binary"
+SPANS = [f"{c}_{x}" for c in ("once", "twice", "low") for x in ("at", "n")]
+DEALT = "chunk long, parts array<int>, " + ", ".join(f"{x} array<int>" for x in SPANS) + ", once binary, twice binary, low binary, high binary, ids binary, nulls binary"
 
 
 def _deal(log_parts: int, min_chars: int):
-    """For each part: its hashes in this task, each once; those in two documents here; and all its lines with their documents."""
-    names = [x.split()[0] for x in DEALT.split(", ")]
+    """Chunks of this task's lines in the order of their parts; for each part its hashes, each once, those in two documents here, and where its bytes lie."""
 
-    def packed(low, high, ids, nulls):
+    def packed(chunk, low, high, ids, nulls):
         part = (low >> np.uint64(64 - log_parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         part, low, high, ids, nulls = (x[order] for x in (part, low, high, ids, nulls))
-        bounds = np.searchsorted(part, np.arange(2**log_parts + 1))
-        out = []
-        for p in np.unique(part):
-            a, b = bounds[p], bounds[p + 1]
+        parts, starts = np.unique(part, return_index=True)
+        bounds = np.append(starts, len(part))
+        once, twice = [], []
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             owners = np.unique(np.column_stack([low[a:b], np.where(nulls[a:b], 0, ids[a:b]).astype(np.int64).view(np.uint64), nulls[a:b].astype(np.uint64)]), axis=0)
-            once, counts = np.unique(owners[:, 0], return_counts=True)
-            out.append((int(p), *(x.tobytes() for x in (once, once[counts > 1], low[a:b], high[a:b], ids[a:b], nulls[a:b]))))
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int32() if i == 0 else pa.binary()) for i in range(len(names))], names=names)
+            seen, counts = np.unique(owners[:, 0], return_counts=True)
+            once.append(seen)
+            twice.append(seen[counts > 1])
+        spans = []
+        for sizes in (np.array([len(x) for x in once]), np.array([len(x) for x in twice]), np.diff(bounds)):
+            spans += [(np.cumsum(sizes) - sizes) * 8, sizes * 8]
+        data = [np.concatenate(once), np.concatenate(twice), low, high, ids, nulls]
+        columns = [pa.array([chunk], pa.int64()), pa.array([parts], pa.list_(pa.int32())), *[pa.array([x.astype(np.int32)], pa.list_(pa.int32())) for x in spans], *[pa.array([x.tobytes()], pa.binary()) for x in data]]
+        return pa.RecordBatch.from_arrays(columns, names=["chunk", "parts", *SPANS, "once", "twice", "low", "high", "ids", "nulls"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, chunk = [], 0, TaskContext.get().partitionId() << 33
         for batch in batches:
             rows, digests = _candidates(batch.column(2), min_chars)
             nulls, ids = batch.column(0).to_numpy(zero_copy_only=False)[rows].astype(np.uint8), batch.column(1).to_numpy()[rows]
             held.append((digests[:, 0], digests[:, 1], ids, nulls))
             size += len(rows)
             if size >= HELD:
-                yield packed(*map(np.concatenate, zip(*held, strict=True)))
-                held, size = [], 0
+                yield packed(chunk, *map(np.concatenate, zip(*held, strict=True)))
+                held, size, chunk = [], 0, chunk + 1
         if size:
-            yield packed(*map(np.concatenate, zip(*held, strict=True)))
+            yield packed(chunk, *map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
 
+def _of_parts(dealt: DataFrame, *names: str) -> DataFrame:
+    """(chunk, part, the part's bytes of each named column)."""
+    each = dealt.select("chunk", F.posexplode("parts").alias("_i", "part"), *[f"{n}{x}" for n in names for x in ("", "_at", "_n")])
+    return each.select("chunk", "part", *[F.expr(f"substring({n}, {n}_at[_i] + 1, {n}_n[_i])").alias(n) for n in names])
+
+
 def _u8(x: bytes) -> np.ndarray:
     return np.frombuffer(x, "<u8")
 
@@ -129,23 +143,37 @@ def _build(bits: int):
 
 
 def _probe(bits: int):
-    """(_null, _id, _low, _high) of the lines that the part's filter suspects; of each part the filter comes first, then its lines."""
+    """(chunk, part, bits): which lines of a chunk the part's filter suspects; of each part the filter comes first, then its lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = None
         for batch in batches:
-            for row in batch.select(["twice", "low", "high", "ids", "nulls"]).to_pylist():
+            out = []
+            for row in batch.select(["chunk", "part", "twice", "low"]).to_pylist():
                 if row["twice"] is not None:
                     twice = Filter(bits, np.frombuffer(row["twice"], np.uint8))
                     continue
-                low = _u8(row["low"])
-                hit = twice.has(low)
-                columns = np.frombuffer(row["nulls"], np.uint8).astype(bool), np.frombuffer(row["ids"], "<i8"), low.view(np.int64), _u8(row["high"]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(c[hit]) for c in columns], names=["_null", "_id", "_low", "_high"])
+                hit = twice.has(_u8(row["low"]))
+                if hit.any():
+                    out.append((row["chunk"], row["part"], np.packbits(hit).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["chunk", "part", "bits"])
 
     return run
 
 
+def _take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_null, _id, _low, _high) of the suspected lines of chunks with their bits."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            low, high, ids, nulls = _u8(row["low"]), _u8(row["high"]), np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["nulls"], np.uint8)
+            spans = {p: (at // 8, n // 8) for p, at, n in zip(row["parts"], row["low_at"], row["low_n"], strict=True)}
+            hits = [at + np.flatnonzero(np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=n)) for x in row["found"] for at, n in [spans[x["part"]]]]
+            hit = np.concatenate(hits)
+            columns = nulls[hit].astype(bool), ids[hit], low[hit].view(np.int64), high[hit].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["_null", "_id", "_low", "_high"])
+
+
 def _rewrite(text_at: int):
     spaces = SPACES.encode()
 
@@ -179,11 +207,14 @@ def suspects(slim: DataFrame, min_chars: int = 10, part_lines: int = PART_LINES,
     lines = slim.agg(F.sum(F.length("_text") - F.length(F.translate("_text", "\n", "")) + 1)).first()[0] or 0
     log_parts = max(2, (-(-lines // part_lines) - 1).bit_length())
     bits = bits or max(10, (BITS_PER_LINE * lines >> log_parts).bit_length())
-    dealt = saved(slim.mapInArrow(_deal(log_parts, min_chars), DEALT))
-    filters = saved(dealt.select("part", "once", "twice").repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(_build(bits), "part int, twice binary"))
-    every = filters.select("part", F.explode(F.sequence(F.lit(0), F.lit(PROBES - 1))).alias("probe"), "twice", *[F.lit(None).cast("binary").alias(c) for c in ("low", "high", "ids", "nulls")])
-    asked = dealt.select("part", F.pmod(F.xxhash64("low"), F.lit(PROBES)).cast("int").alias("probe"), F.lit(None).cast("binary").alias("twice"), "low", "high", "ids", "nulls")
-    return saved(every.union(asked).repartition("part", "probe").sortWithinPartitions("part", "probe", F.col("twice").isNull()).mapInArrow(_probe(bits), "_null boolean, _id long, _low long, _high long"))
+    dealt = in_buckets(slim.mapInArrow(_deal(log_parts, min_chars), DEALT), "chunk")
+    filters = saved(_of_parts(dealt, "once", "twice").repartition(F.col("part")).sortWithinPartitions("part").select("part", "once", "twice").mapInArrow(_build(bits), "part int, twice binary"))
+    every = filters.select(F.lit(None).cast("long").alias("chunk"), "part", F.explode(F.sequence(F.lit(0), F.lit(PROBES - 1))).alias("probe"), "twice", F.lit(None).cast("binary").alias("low"))
+    asked = _of_parts(dealt, "low").select("chunk", "part", F.pmod(F.xxhash64("chunk"), F.lit(PROBES)).cast("int").alias("probe"), F.lit(None).cast("binary").alias("twice"), "low")
+    found = every.union(asked).repartition("part", "probe").sortWithinPartitions("part", "probe", F.col("twice").isNull()).mapInArrow(_probe(bits), "chunk long, part int, bits binary")
+    # The answers go back to the chunks, which stay where they are: they lie in buckets of the join's key.
+    answers = saved(found.groupBy("chunk").agg(F.collect_list(F.struct("part", "bits")).alias("found")))
+    return saved(dealt.select("chunk", "parts", "low_at", "low_n", "low", "high", "ids", "nulls").join(answers, "chunk").select("parts", "low_at", "low_n", "low", "high", "ids", "nulls", "found").mapInArrow(_take, "_null boolean, _id long, _low long, _high long"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, part_lines: int = PART_LINES, bits: int | None = None) -> DataFrame:
