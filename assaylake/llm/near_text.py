@@ -3,7 +3,8 @@
 A byte-position inverted index lists wide fingerprints under pairs of byte places. The places are dealt to spans, and
 every pair of places of a span has its lists, so that two fingerprints which share more bytes at their places than there
 are spans meet in a list (of any such number of places two lie in one span). Members of a list that also agree in most
-of the other bits that a posting carries are tied into candidate groups. Within a group the shared positional bytes of
+of the other bits that a posting carries are tied into candidate groups; the number of these bits grows with the rows, so
+that chance ties stay rare at any size. Within a group the shared positional bytes of
 each pair are tallied, pairs below the minimum are dropped, and the similarity of the rest is counted exactly. Equal
 sets of shingles are one entry, so exact copies cost nothing.
 
@@ -28,8 +29,10 @@ from .common import saved, tune
 from .components import components
 from .simhash import _bytes, _folded, _signed
 
-#: Bits of a list's number, and how many other bits a posting carries beside its key and below it.
-LIST_BITS, BESIDE = 10, 64
+#: Bits of a list's number.
+LIST_BITS = 10
+#: Other texts, on average, that a text may be tied to by chance (see beside_words()).
+FALSE_TIES = 0.01
 #: Members of a list that are compared with each other; of longer lists all members are tied to the first, as candidates.
 LIST_CAP = 4096
 #: Members of a block of a large group, and of a group that is compared whole.
@@ -52,6 +55,25 @@ def differing(min_jaccard: float) -> float:
     return math.acos(2 * min_jaccard / (1 + min_jaccard)) / math.pi
 
 
+def carried_bits(key_bytes: int, words: int, min_jaccard: float) -> tuple[int, int]:
+    """(bits that a posting carries below and beside its key, how many of them may differ in a tie): all but 2 in 1,000 pairs at ``min_jaccard`` are tied."""
+    carried, p = 64 - LIST_BITS - 8 * key_bytes + 64 * words, differing(min_jaccard)
+    return carried, round(carried * p + 3.1 * math.sqrt(carried * p * (1 - p)))
+
+
+def false_ties(rows: int, design: tuple[int, int, int], words: int, min_jaccard: float) -> float:
+    """How many texts without anything in common a text is tied to, on average: those that it meets in its lists, by the chance of a tie."""
+    key_bytes, words64, span = design
+    carried, most = carried_bits(key_bytes, words, min_jaccard)
+    met = len(spans(words64, span, key_bytes)) * rows / 256**key_bytes
+    return met * sum(math.comb(carried, k) for k in range(most + 1)) / 2**carried
+
+
+def beside_words(rows: int, design: tuple[int, int, int], min_jaccard: float) -> int:
+    """Words of 64 bits that a posting carries beside its key: as many as keep false ties rare, so that they never join the corpus."""
+    return next(w for w in range(1, design[1] - 5) if false_ties(rows, design, w, min_jaccard) < FALSE_TIES)
+
+
 def shared_minimum(words64: int, min_jaccard: float, loss: float = LOSS) -> int:
     """The most shared bytes that all but a ``loss`` share of the pairs at ``min_jaccard`` reach."""
     n, p, below = 8 * words64, (1 - differing(min_jaccard)) ** 8, 0.0
@@ -108,8 +130,8 @@ def spans(words64: int, span: int, key_bytes: int) -> list[tuple[int, ...]]:
     return [c for at in range(0, 8 * words64, span) for c in combinations(range(at, at + span), key_bytes)]
 
 
-def _post(places: list, first: int, words64: int):
-    """(_key, _node, _f): the list with, below it, bits of one word; and another word. places[i] has list number first + i."""
+def _post(places: list, first: int, words64: int, words: int):
+    """(_key, _node, _g0 ..): the list with, below it, bits of one word; and other words. places[i] has list number first + i."""
     key_bytes = len(places[0])
     below = 64 - LIST_BITS - 8 * key_bytes
 
@@ -120,16 +142,17 @@ def _post(places: list, first: int, words64: int):
                 node = batch.column(0).to_numpy()
                 fps = np.stack([batch.column(i + 1).to_numpy().view(np.uint64) for i in range(words64)], axis=1)
                 b = _bytes(fps).astype(np.uint64)
-                keys, beside = [], []
+                keys, beside = [], [[] for _ in range(words)]
                 for j, chosen in enumerate(places, first):
                     key = np.full(len(node), j, np.uint64)
                     for place in chosen:
                         key = (key << np.uint64(8)) | b[:, place]
                     own = chosen[0] // 8
-                    one, two = (own + 1 + j % (words64 - 1)) % words64, (own + 1 + (j + 5) % (words64 - 1)) % words64
-                    keys.append((key << np.uint64(below)) | (fps[:, one] >> np.uint64(64 - below)))
-                    beside.append(fps[:, two])
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), pa.array(np.tile(node, len(places))), _signed(np.concatenate(beside))], names=["_key", "_node", "_f"])
+                    other = lambda k: (own + 1 + (j + k) % (words64 - 1)) % words64  # noqa: B023, E731
+                    keys.append((key << np.uint64(below)) | (fps[:, other(0)] >> np.uint64(64 - below)))
+                    for w in range(words):
+                        beside[w].append(fps[:, other(5 + w)])
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), pa.array(np.tile(node, len(places))), *(_signed(np.concatenate(x)) for x in beside)], names=["_key", "_node", *(f"_g{w}" for w in range(words))])
 
     return run
 
@@ -153,11 +176,14 @@ def _link(below: int, max_bits: int, cap: int):
     down = np.uint64(64 - below)
 
     def distances(low, f, i, j):
-        return np.bitwise_count((low[i] ^ low[j]) << down) + np.bitwise_count(f[i] ^ f[j])
+        out = np.bitwise_count((low[i] ^ low[j]) << down).astype(np.uint16)
+        for word in f:
+            out += np.bitwise_count(word[i] ^ word[j])
+        return out
 
     def of_list(low, node, f):
         if len(low) <= 1024:
-            m = np.bitwise_count((low[:, None] ^ low[None]) << down) + np.bitwise_count(f[:, None] ^ f[None]) <= max_bits
+            m = distances(low, f, (slice(None), None), (None, slice(None))) <= max_bits
             if m.sum() == len(m):  # each is near itself only
                 return
             near = lambda a, b: m[np.ix_(a, b)]
@@ -169,7 +195,7 @@ def _link(below: int, max_bits: int, cap: int):
         for child, parent in _span_tree(len(low), near):
             yield node[child], node[parent]
 
-    def of_lists(key, low, node, f):
+    def of_lists(key, low, node, *f):
         bounds = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
         sizes = np.diff(bounds)
         short = np.repeat(sizes <= 8, sizes)
@@ -184,13 +210,13 @@ def _link(below: int, max_bits: int, cap: int):
             if sizes[r] > cap:
                 yield node[a + 1 : b], np.full(b - a - 1, node[a])
             else:
-                yield from of_list(low[a:b], node[a:b], f[a:b])
+                yield from of_list(low[a:b], node[a:b], [word[a:b] for word in f])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             whole = batch.column(0).to_numpy().view(np.uint64)
-            columns = [whole >> np.uint64(below), whole, batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
+            columns = [whole >> np.uint64(below), whole, batch.column(1).to_numpy(), *(c.to_numpy().view(np.uint64) for c in batch.columns[2:])]
             if held is not None:
                 columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
             if not len(columns[0]):
@@ -315,16 +341,15 @@ def _in_pairs(members: DataFrame, buckets: list[str]) -> DataFrame:
     return dealt.join(two, ["_group", "_block"]).select("_pair", "_node", "_named", "_block")
 
 
-def _groups_joined(entries: DataFrame, sets_of, words64: int, key_bytes: int, span: int, min_jaccard: float, list_cap: int, block: int) -> DataFrame:
+def _groups_joined(entries: DataFrame, sets_of, words64: int, key_bytes: int, span: int, min_jaccard: float, list_cap: int, block: int, beside: int | None = None) -> DataFrame:
     """entries (_node, _f0..) -> links (_a, _b) with the similarity, which connect what all such links connect that the index finds."""
     names = [f"_f{i}" for i in range(words64)]
     places = spans(words64, span, key_bytes)
     below = 64 - LIST_BITS - 8 * key_bytes
-    p = differing(min_jaccard)
-    carried = below + BESIDE
-    most = round(carried * p + 3.1 * math.sqrt(carried * p * (1 - p)))
+    words = beside or beside_words(entries.count(), (key_bytes, words64, span), min_jaccard)
+    most = carried_bits(key_bytes, words, min_jaccard)[1]
     lists_of = lambda rows, part, first: saved(
-        rows.mapInArrow(_post(part, first, words64), "_key long, _node long, _f long")
+        rows.mapInArrow(_post(part, first, words64, words), "_key long, _node long, " + ", ".join(f"_g{w} long" for w in range(words)))
         .repartition(F.shiftrightunsigned("_key", below))
         .sortWithinPartitions("_key")
         .mapInArrow(_link(below, most, list_cap), "_a long, _b long")
@@ -369,7 +394,7 @@ def _groups_joined(entries: DataFrame, sets_of, words64: int, key_bytes: int, sp
     return links.union(verified).union(compared(_in_pairs(saved(dealt), ["_owner", "_slot"])))
 
 
-def near_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, min_jaccard: float = 0.8, list_cap: int = LIST_CAP, block: int = BLOCK, design: tuple | None = None) -> tuple[DataFrame, DataFrame]:
+def near_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, min_jaccard: float = 0.8, list_cap: int = LIST_CAP, block: int = BLOCK, design: tuple | None = None, beside: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(kept, repeated): the keys (_null, _id, _t0, _t1) of one row of each near-duplicate group; keys that several rows have."""
     spark = tune(docs.sparkSession)
     key = [F.col(id_col).isNull().alias("_null"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_id"), *text_key(text_col)]
@@ -382,7 +407,7 @@ def near_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     nodes = marked.groupBy("_s0", "_s1", *names).agg(F.min(F.struct(*keys)).alias("_keep"))
     nodes = saved(nodes.withColumn("_node", F.monotonically_increasing_id()))
     if not design and (wanted := index_design(nodes.count())) != (key_bytes, words64, span):
-        return near_representatives(docs, id_col, text_col, shingle, min_jaccard, list_cap, block, wanted)
+        return near_representatives(docs, id_col, text_col, shingle, min_jaccard, list_cap, block, wanted, beside)
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         used = nodes.join(wanted, "_node", "left_semi").select("_node", F.col("_keep._t0").alias("_t0"), F.col("_keep._t1").alias("_t1"))
@@ -390,7 +415,7 @@ def near_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return texts.mapInArrow(_as_sets(shingle), "_node long, _set binary")
 
     entries = nodes.select("_node", *names)
-    links = _groups_joined(entries, sets_of, words64, key_bytes, span, min_jaccard, list_cap, block)
+    links = _groups_joined(entries, sets_of, words64, key_bytes, span, min_jaccard, list_cap, block, beside)
     roots = components(_edges(links))
     kept = nodes.join(roots, nodes["_node"] == roots["node"], "left").groupBy(F.coalesce("root", "_node").alias("_group")).agg(F.min("_keep").alias("_keep"))
     repeated = marked.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").select(*keys)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -709,3 +710,36 @@ def test_pipeline_stages_take_odd_rows(spark, odd, empty, small):
             assert (out.count() > 0) == (docs.count() > 0)
             docs = out if name != "quality rules" else docs
     assert corpus_pipeline.run(spark, small).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_chance_ties_stay_rare():
+    """Whatever the corpus, a text is tied by chance to less than a tenth of another one, and a pair at the similarity is tied."""
+    from assaylake.llm.near_text import beside_words, carried_bits, differing, false_ties, index_design
+
+    for rows in [10**k for k in range(3, 14)] + [2**28 - 1, 2**28, 25_000_000_000]:
+        design = index_design(rows)
+        words = beside_words(rows, design, 0.8)
+        assert false_ties(rows, design, words, 0.8) < 0.1
+        carried, most = carried_bits(design[0], words, 0.8)
+        p = differing(0.8)
+        assert sum(math.comb(carried, k) * p**k * (1 - p) ** (carried - k) for k in range(most + 1)) > 0.998
+    assert beside_words(200_000, index_design(200_000), 0.8) == 1 and beside_words(25_000_000_000, index_design(25_000_000_000), 0.8) == 2
+
+
+@pytest.mark.parametrize("beside", [2, 3])
+def test_planted_pairs_with_more_carried_bits(spark, beside):
+    """Pairs at 0.80 to 0.85 are found as they are with one word beside the key."""
+    import random
+
+    from assaylake.llm.near_text import drop_near_copies
+
+    rng = random.Random(beside)
+    rows, pairs = [], 150
+    for i in range(pairs):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        copy = list(words)
+        for at in (40, 90, 140, 190):  # each change is in five shingles: 180 of 220 are shared
+            copy[at] = f"x{rng.randrange(10**6)}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    kept = {r.doc_id for r in drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), beside=beside).collect()}
+    assert {2 * i for i in range(pairs)} <= kept and len(kept) - pairs <= 0.03 * pairs
