@@ -110,3 +110,22 @@ def entry_gap(t):
 @query("SELECT l_returnflag AS type_domain, CASE WHEN o_orderstatus <> 'O' THEN o_orderpriority END AS exclusion_reason, count(*) AS count FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE NOT l_linenumber > 2 GROUP BY 1, 2")
 def specification_gap(t):
     return _telemetry(t)["specification_gap"]
+
+
+#: Expressions around two names of a document (a, b), its whole text without quotes, brackets and signs (t), and n_chars % 60 nested brackets (o, c); and the shape of each.
+OF_TEXTS = [
+    (["o", "a", "c"], "VARIABLE"), (["a", "'.'", "b", "'('", "t", "')'"], "SINGLE_CALL"), (["a", "'.f('", "t", "').'", "b", "'()'"], "CHAINED_CALLS_END0ARG"), (["'new A('", "t", "').'", "b", "'('", "a", "')'"], "CTOR_RECEIVER_CALL_NARG"),
+    (["a", "'[f'", "o", "t", "c", "']'"], "ARRAY_INDEX"), (["'(int) ('", "a", "' + '", "t", "')'"], "OPERATOR_COMPOSITE"), (["'\"'", "t", "'\"'"], "LITERAL"), (["a", "'.'", "b", "'::'", "t"], "LAMBDA_OR_METHODREF"),
+]
+
+
+@query(f"SELECT lang, ([{', '.join(repr(s) for _, s in OF_TEXTS)}])[doc_id % {len(OF_TEXTS)} + 1] AS shape, count(*) AS n FROM documents GROUP BY 1, 2")
+def expression_shapes_of_texts(t):
+    """Whole texts inside expressions: the scan's time follows their length, not their nesting."""
+    text = F.coalesce("text", F.lit(""))
+    name = lambda pattern: F.concat(F.lit("v"), F.regexp_extract(text, pattern, 1))
+    nested = F.coalesce(F.col("n_chars") % 60, F.lit(0)).cast("int")
+    pieces = {"a": name("([a-z]{2,})"), "b": name("([a-z]{2,})[^a-z]*$"), "t": F.regexp_replace(text, r"[^\w\s.,]|_", ""), "o": F.repeat(F.lit("("), nested), "c": F.repeat(F.lit(")"), nested)}
+    made = F.array(*[F.concat(*[pieces[p] if p in pieces else F.lit(p[1:-1]) for p in parts]) for parts, _ in OF_TEXTS])
+    rows = t("documents").select("lang", T.expression_shape(F.get(made, (F.col("doc_id") % len(OF_TEXTS)).cast("int"))).alias("shape"))
+    return rows.groupBy("lang", "shape").agg(F.count("*").alias("n"))

@@ -1,8 +1,11 @@
 """Shapes and estimates on odd inputs, artefacts, yields, and the fold in slices."""
 
 import itertools
+import random
+import time
 
 import pytest
+from assaylake.functions import expressions as E
 from assaylake.operators import topology as T
 from pyspark.sql import functions as F
 
@@ -24,7 +27,29 @@ def test_shapes(spark):
     rows = frame(spark, "e string", *[(e,) for e in SHAPES if e != "f("])
     got = {r.e: r.s for r in rows.select("e", T.expression_shape(F.col("e")).alias("s")).collect()}
     assert got == {e: s for e, s in SHAPES.items() if e != "f("}
-    assert T.shape_of("(" * 3000 + "x" + ")" * 3000) == "VARIABLE"
+    assert [E.shape(t) for t in E.paired([*(e for e in SHAPES if e is not None)])] == [s for e, s in SHAPES.items() if e is not None] and E.paired([]) == []
+
+
+def test_brackets_are_paired_in_linear_time():
+    """As a stack pairs them, in every text of a batch, balanced or not; four times the brackets take no more than some eight times the time."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("([)]a,.") for _ in range(rng.randrange(40))) for _ in range(500)]
+    for text, t in zip(texts, E.paired(texts), strict=True):
+        stack, partner = [], [-1] * len(t.kinds)
+        for i, v in enumerate(t.values):
+            if v in "([":
+                stack.append(i)
+            elif v in ")]" and stack:
+                j = stack.pop()
+                partner[i], partner[j] = j, i
+        assert t.partner == partner, text
+    took = []
+    for n in (25_000, 100_000):
+        deep = ["(" * n + "x" + ")" * n, "f(" * n + ")" * n, "a.b(" * n + "1" + ")" * n + ".c()", "[(" * n]
+        start = time.process_time()
+        assert [E.shape(t) for t in E.paired(deep)] == ["VARIABLE", "SINGLE_CALL", "CHAINED_CALLS_END0ARG", "FIELD_OR_QUALIFIED_NAME"]
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0] + 1
 
 
 def test_actual_expression(spark):
@@ -44,7 +69,7 @@ def test_receivers_candidates_and_causes(spark):
     calls = {"f()": False, "f( )": False, "f(a)": True, "f(g())": True, "f(a).g()": False, "x": False, "": False, None: False, "f(a) ": True, "f)": False}
     got = {r.c: r.a for r in frame(spark, "c string", *[(c,) for c in calls]).select("c", T.call_has_arguments(F.col("c")).alias("a")).collect()}
     assert got == calls
-    details = {None: 0, "": 0, "x": 0, "[]": 0, '{"callSource":"a(b)"}': 0, '[{"callSource":"a(b)"},{"callSource":null}]': 0, '[{"callSource":"a()"}]': 1, '[{"callSource":"a()"},{"callSource":"b(c)"}]': 2}
+    details = {None: 0, "": 0, "x": 0, "[]": 0, '{"callSource":"a(b)"}': 0, '[{"callSource":"a(b)"},{"callSource":null}]': 0, '[{"callSource":"a()"}]': 1, '[{"callSource":5}]': 0, '[{"callSource":["a(b)"]}]': 0, '[{"callSource":true},{"callSource":"f(x)"}]': 0, "[1]": 0, '[{}]': 0, '[{"callSource":"  "}]': 0, '[{"callSource":"f(\\")\\")"}]': 2, "[null]": 0, "5": 0, '[{"callSource":"a()"},{"callSource":"b(c)"}]': 2}
     names = ["Candidate detail unavailable", "Choice-invariant", "Choice-dependent"]
     got = {r.d: r.c for r in frame(spark, "d string", *[(d,) for d in details]).select("d", T.choice_sensitivity(F.col("d")).alias("c")).collect()}
     assert got == {d: names[n] for d, n in details.items()}
