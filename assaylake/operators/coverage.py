@@ -7,6 +7,8 @@ variant, the location columns, block, and a test_id or generalization_id. A null
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -209,20 +211,26 @@ def gain_totals(rows: DataFrame) -> DataFrame:
     return checked.select(F.coalesce(bad, F.col("projects")).alias("projects"), "covered", "kills", "gaining_projects", F.round(F.try_divide(F.col("kills") * 100.0, F.col("covered")), 2).alias("gain_pp"))
 
 
-def view_checks(mutations: DataFrame, located_mutations: DataFrame, covering_tests: DataFrame, covering_generalizations: DataFrame, located_coverage: DataFrame) -> DataFrame:
-    """(name, violations, holds): reports without location, locations lost or repeated, and statuses at odds with coverage."""
-    covered = covering_tests.select("mutation_id").union(covering_generalizations.select("mutation_id")).distinct()
-    by_status = mutations.select(F.col("id").alias("mutation_id"), "status")
-    sizes = blocks_of(mutations).groupBy("id").agg(F.count("*").alias("_n")).join(located_mutations.groupBy("id").agg(F.count("location_id").alias("_l")), "id", "full")
-    found = [
-        ("every coverage report has a location", located_coverage.filter("location_id is null")),
-        ("every mutation report has a location", located_mutations.filter("location_id is null")),
-        ("as many locations as blocks", sizes.filter("not _n <=> _l")),
-        ("nothing covers an uncovered mutant", covered.join(by_status.filter("status = 'NO_COVERAGE'"), "mutation_id", "left_semi")),
-        ("something covers every other mutant", by_status.filter("status <> 'NO_COVERAGE'").join(covered, "mutation_id", "left_anti")),
-    ]
-    out = None
-    for name, rows in found:
-        one = rows.agg(F.count("*").alias("violations")).select(F.lit(name).alias("name"), "violations", (F.col("violations") == 0).alias("holds"))
-        out = one if out is None else out.union(one)
-    return out
+def view_checks(mutations: DataFrame, extension: DataFrame, pairs: DataFrame, located_mutations: DataFrame, located_coverage: DataFrame, extensions: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
+    """(position, name, violations, holds) of the fifteen checks of the chain of marts.
+
+    ``extensions`` has, for tests, assertions and generalizations, the entities (id) and their extension's rows (id). extension:
+    report_extension(); pairs: mutation_coverage(); the located frames have location_id, and of mutations id. The checks of
+    coverage are counts of one pass over the reports.
+    """
+    reports = mutations.select("id", "status").join(extension, "id").join(pairs.select(F.col("mutation_id").alias("id")).distinct().withColumn("_pair", F.lit(True)), "id", "left")
+    bare, paired = F.col("status") == "NO_COVERAGE", F.col("_pair").isNotNull()
+    tests, assertions, generalizations = (F.col(f"covering_{n}") > 0 for n in ("tests", "assertions", "generalizations"))
+    of_reports = [
+        ("no uncovered mutant has coverage", bare & paired), ("every other mutant has coverage", ~bare & ~paired), ("no uncovered mutant has covering tests", bare & tests), ("no uncovered mutant has covering assertions", bare & assertions),
+        ("covering assertions have covering tests", assertions & ~tests), ("no uncovered mutant has covering generalizations", bare & generalizations), ("every other mutant has covering tests or generalizations", ~bare & ~tests & ~generalizations),
+    ]
+    sizes = blocks_of(mutations).groupBy("id").agg(F.count("*").alias("_n")).join(located_mutations.groupBy("id").agg(F.count("location_id").alias("_l"), F.count_if(F.col("location_id").isNull()).alias("_none")), "id", "full")
+    lost = lambda rows: rows.agg(F.count_if(F.col("location_id").isNull()).alias("n"))
+    counts = [(f"every {name} has its extension", rows.select("id").join(ext.select("id").distinct(), "id", "left_anti").agg(F.count("*").alias("n"))) for name, rows, ext in extensions]
+    counts += [("every coverage report is mapped to a location", lost(located_coverage)), ("every mutation report is mapped to a location", lost(located_mutations)), ("every coverage report has a location", lost(located_coverage))]
+    counts += [("as many locations as blocks", sizes.agg(F.count_if(~F.col("_n").eqNullSafe(F.col("_l") + F.col("_none"))).alias("n"))), ("no location is null", sizes.agg(F.count_if(F.col("_none") > 0).alias("n")))]
+    out = reduce(DataFrame.union, [rows.select(F.lit(i).alias("position"), F.lit(name).alias("name"), F.col("n").alias("violations")) for i, (name, rows) in enumerate(counts, 1)])
+    bands = F.array(*[F.struct(F.lit(len(counts) + i).alias("position"), F.lit(name).alias("name"), F.col(f"_c{i}").alias("violations")) for i, (name, _) in enumerate(of_reports, 1)])
+    whole = out.union(reports.agg(*[F.count_if(c).alias(f"_c{i}") for i, (_, c) in enumerate(of_reports, 1)]).select(F.inline(bands)))
+    return whole.withColumn("holds", F.col("violations") == 0)

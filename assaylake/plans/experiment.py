@@ -284,7 +284,7 @@ class Experiment:
     def covering_assertions(self) -> DataFrame:
         return C.covering_children(self.covering_tests, self.assertions.withColumnRenamed("id", "assertion_id"), "assertion_id", ["model_size"])
 
-    @cached_property
+    @stored("id")
     def extension(self) -> DataFrame:
         return C.report_extension(self.mutations.withColumn("run", F.col("variant_name")), self.coverage, self.tests, self.assertions, self.generalizations, self.test_ext, self.gen_ext)
 
@@ -467,9 +467,22 @@ def mutation_gain_totals(e):
     return C.gain_totals(paired_mutation_gain(e))
 
 
-@mart("""SELECT 'every coverage report has a location' AS name, CAST(0 AS BIGINT) AS violations, true AS holds UNION ALL SELECT 'every mutation report has a location', 0, true UNION ALL SELECT 'as many locations as blocks', 0, true
-UNION ALL SELECT 'nothing covers an uncovered mutant', count(DISTINCT r.id), count(*) = 0 FROM reports r JOIN pairs p ON p.mutation_id = r.id WHERE status = 'NO_COVERAGE'
-UNION ALL SELECT 'something covers every other mutant', count(*), count(*) = 0 FROM reports r WHERE status <> 'NO_COVERAGE' AND id NOT IN (SELECT mutation_id FROM pairs)""")
+_CHECKS = [
+    ("every test has its extension", "SELECT count(*) FROM tests WHERE id NOT IN (SELECT test_id FROM test_ext)"), ("every assertion has its extension", "SELECT count(*) FROM assertions WHERE test_id NOT IN (SELECT test_id FROM test_ext)"),
+    ("every generalization has its extension", "SELECT count(*) FROM generalizations WHERE id NOT IN (SELECT generalization_id FROM gen_ext)"),
+    *[(n, "SELECT 0") for n in ("every coverage report is mapped to a location", "every mutation report is mapped to a location", "every coverage report has a location", "as many locations as blocks", "no location is null")],
+    ("no uncovered mutant has coverage", "SELECT count(*) FROM reports WHERE status = 'NO_COVERAGE' AND id IN (SELECT mutation_id FROM pairs)"), ("every other mutant has coverage", "SELECT count(*) FROM reports WHERE status <> 'NO_COVERAGE' AND id NOT IN (SELECT mutation_id FROM pairs)"),
+    *[(f"no uncovered mutant has covering {n}", f"SELECT count(*) FROM reports WHERE status = 'NO_COVERAGE' AND id IN (SELECT mutation_id FROM {t})") for n, t in (("tests", "cov_tests"), ("assertions", "cov_asserts"))],
+    ("covering assertions have covering tests", "SELECT count(*) FROM (SELECT DISTINCT mutation_id FROM cov_asserts) WHERE mutation_id NOT IN (SELECT mutation_id FROM cov_tests)"),
+    ("no uncovered mutant has covering generalizations", "SELECT count(*) FROM reports WHERE status = 'NO_COVERAGE' AND id IN (SELECT mutation_id FROM cov_gens)"),
+    ("every other mutant has covering tests or generalizations", "SELECT count(*) FROM reports WHERE status <> 'NO_COVERAGE' AND id NOT IN (SELECT mutation_id FROM cov_tests) AND id NOT IN (SELECT mutation_id FROM cov_gens)"),
+]
+
+
+@mart(" UNION ALL ".join(f"SELECT {i} AS position, '{n}' AS name, ({q})::BIGINT AS violations, ({q}) = 0 AS holds" for i, (n, q) in enumerate(_CHECKS, 1)))
 def view_checks(e):
     places = e.locations
-    return C.view_checks(e.mutations, C.located(C.blocks_of(e.mutations), places, ["id"]), e.covering_tests, e.covering_generalizations, C.located(e.coverage, places, ["id"]))
+    own = lambda rows, c: rows.select(F.col(c).alias("id"))
+    ran = e.assertions.join(e.test_ext.select("test_id").distinct(), "test_id", "left_semi")
+    extensions = [("test", e.tests, own(e.test_ext, "test_id")), ("assertion", e.assertions, ran), ("generalization", e.generalizations, own(e.gen_ext, "generalization_id"))]
+    return C.view_checks(e.mutations, e.extension, e.pairs, C.located(C.blocks_of(e.mutations), places, ["id"]), C.located(e.coverage, places, ["id"]), extensions)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions.scalars import STAGES as RUN_STAGES
 from ..functions.scalars import simple_name
-from ..operators import coverage, failures, filter_reports, funnels, populations, quality, ranking, rates, runtimes, values
+from ..operators import coverage, evidence, failures, filter_reports, funnels, populations, quality, ranking, rates, runtimes, values
 from ..sources.tables import content_digest
-from .experiment import FAILED_AT, PAIRED, VARIANTS, mart
+from .experiment import FAILED_AT, PAIRED, VARIANTS, chained, mart
+from .queries import SQL
+
 
 def _rates(keys: list[str]) -> str:
     """Counts, percentages of all and of covered mutants, and differences to the baseline."""
@@ -551,3 +555,83 @@ def non_passing_rule(e):
 
     reports = e.junit.filter("variant_name = 'ORIGINAL'").select(F.col("test_id").alias("id"), "result").join(e.tests.select("id", "project_id", "class_name", "method_name"), "id")
     return non_passing(e.tests, reports, ["project_id", "class_name"], "method_name").select("id", "class_name", "decision", "failing")
+
+
+#: Filter results, exclusions and a lifecycle with planted contradictions, in both languages.
+_R = "entity_id * 100 + CASE level WHEN 'test' THEN 10 WHEN 'assertion' THEN 20 ELSE 30 END + ordinal"
+_INFO = {"tests": "CASE WHEN id % 41 = 0 THEN 'INHERITED_METHOD_NOT_FLATTENABLE: x' WHEN id % 43 = 0 THEN 'Excluded by TestTypeFilter{}' WHEN id % 47 = 0 THEN 'NEW_CODE: y' END", "assertions": "CASE WHEN id % 41 = 1 THEN 'UNCOMPILABLE_INSTRUMENTED_WRAPPER: z' WHEN id % 43 = 1 THEN 'ORACLE_NOT_WIDENABLE' END", "generalizations": "CASE WHEN id % 41 = 2 THEN 'ORACLE_NOT_WIDENABLE: q' END"}
+_RESULTS = {
+    "filter_name": "CASE WHEN id % 53 = 7 THEN 'GeneratedTestValidator' WHEN id % 97 = 5 THEN 'odd.Producer' ELSE 'engine.filter.' || filter_name END", "decision": "CASE WHEN id % 101 = 3 THEN 'MAYBE' ELSE decision END",
+    "reason_code": "CASE WHEN id % 53 = 7 AND id % 2 = 0 THEN 'UNCOMPILABLE_GENERALIZED_TEST' WHEN id % 89 = 2 THEN NULL ELSE reason_code END", "test_id": "CASE WHEN level = 'test' OR (level = 'assertion' AND id % 103 = 4) THEN entity_id END",
+    "assertion_id": "CASE WHEN level = 'assertion' THEN entity_id END", "generalization_id": "CASE WHEN level = 'generalization' THEN entity_id END",
+}
+_LIFE = {"generated_filter_passed": "id % 11 <> 0 AND id % 4 <> 0", "generated_source_created": "id % 3 <> 0", "final_failure_stage": "CASE WHEN id % 13 = 0 THEN 'BUILD_PROJECT_GENERALIZED' END"}
+
+
+def _evidence(e):
+    """(filter results, entities of one variant, entities of all, candidates)."""
+    results = e.decisions.withColumn("id", F.expr(_R)).select("id", "project_id", *[F.expr(x).alias(n) for n, x in _RESULTS.items()])
+    with_info = {n: getattr(e, n).withColumn("exclusion_info", F.expr(x)) for n, x in _INFO.items()}
+    life = e.generalizations.select(F.col("id").alias("generalization_id"), *[F.expr(x).alias(n) for n, x in _LIFE.items()])
+    eligible = e.projects.select(F.col("id").alias("project_id")).filter("project_id <> 3")
+    parts = (with_info["tests"], with_info["assertions"], with_info["generalizations"], life)
+    rows, every = evidence.entities(*parts, eligible, "IMPROVED_200_TRIES"), evidence.entities(*parts, None, None)
+    return results, rows, every, evidence.mechanism_candidates(rows, results, e.tasks)
+
+
+_EVIDENCE = f"""results AS (SELECT id, project_id, {", ".join(f"{x} AS {n}" for n, x in _RESULTS.items())} FROM (SELECT *, {_R} AS id FROM decisions)),
+entities AS (SELECT 'Test' AS level, project_id, id AS entity_id, is_included, split_part({_INFO["tests"]}, ':', 1) AS code, false AS stopped, false AS created, '' AS variant FROM tests UNION ALL SELECT 'Assertion', project_id, id, is_included, split_part({_INFO["assertions"]}, ':', 1), false, false, '' FROM assertions
+  UNION ALL SELECT 'Generalization', project_id, id, {_LIFE["generated_filter_passed"]}, split_part({_INFO["generalizations"]}, ':', 1), ({_LIFE["final_failure_stage"]}) IS NOT NULL, {_LIFE["generated_source_created"]}, variant FROM generalizations),
+known AS (SELECT *, CASE WHEN test_id IS NOT NULL THEN 'Test' WHEN assertion_id IS NOT NULL THEN 'Assertion' ELSE 'Generalization' END AS level, coalesce(test_id, assertion_id, generalization_id) AS entity_id, filter_name LIKE '%filter.%Filter' AS f FROM results),
+flagged AS (SELECT n.*, EXISTS (SELECT 1 FROM known k WHERE k.level = n.level AND k.entity_id = n.entity_id AND decision = 'REJECT' AND f) AS r, EXISTS (SELECT 1 FROM known k WHERE k.level = n.level AND k.entity_id = n.entity_id AND filter_name = 'GeneratedTestValidator') AS q,
+  n.level = 'Test' AND n.entity_id IN (SELECT test_id FROM tasks WHERE status <> 'SUCCEEDED' AND test_id IS NOT NULL) AS t FROM entities n WHERE project_id <> 3 AND variant IN ('', 'IMPROVED_200_TRIES')),
+candidates AS (SELECT *, [x FOR x IN [CASE WHEN is_included AND (level = 'Generalization' OR NOT t) THEN 'included' END, CASE WHEN level = 'Generalization' AND coalesce(code, '') = 'ORACLE_NOT_WIDENABLE' THEN 'generation_gate' END, CASE WHEN r THEN 'filter_rejection' END, CASE WHEN q OR coalesce(code, '') LIKE 'UNCOMPILABLE%' THEN 'build_quarantine' END,
+  CASE WHEN level = 'Test' AND coalesce(code, '') = 'INHERITED_METHOD_NOT_FLATTENABLE' THEN 'inherited_test_inlining_limit' END,
+  CASE WHEN (t OR stopped OR coalesce(code, '') LIKE 'Excluded by%') AND NOT r AND NOT q AND coalesce(code, '') NOT LIKE 'UNCOMPILABLE%' AND NOT (level = 'Generalization' AND coalesce(code, '') = 'ORACLE_NOT_WIDENABLE') AND NOT (level = 'Test' AND coalesce(code, '') = 'INHERITED_METHOD_NOT_FLATTENABLE') AND NOT (level = 'Generalization' AND is_included) THEN 'task_exception' END] IF x IS NOT NULL] AS candidates FROM flagged)
+"""
+
+
+def evidence_mart(select: str):
+    """mart() over the chain with the evidence's own parts."""
+
+    def add(f):
+        mart(select)(f)
+        parts = {m[0]: m[1] for m in re.findall(r"(?ms)^(\w+) AS (\(.*?\)),?$(?=\n\w+ AS \(|\n?\Z)", _EVIDENCE)}
+        below = chained(" ".join(parts.values()))
+        head = below[: below.rindex("\n" + " ".join(parts.values()))]
+        SQL[f.__name__] = head + ",\n" + ",\n".join(f"{n} AS MATERIALIZED {x}" for n, x in parts.items()) + "\n" + select
+        return f
+
+    return add
+
+
+@evidence_mart("SELECT level, CAST(candidates AS VARCHAR) AS candidates, count(*) AS n FROM candidates GROUP BY 1, 2")
+def mechanism_candidates(e):
+    """Entities by their level and the mechanisms that have evidence for them."""
+    _, _, _, found = _evidence(e)
+    return found.groupBy("level", F.concat(F.lit("["), F.array_join("candidates", ", "), F.lit("]")).alias("candidates")).agg(F.count("*").alias("n"))
+
+
+@evidence_mart(f"SELECT level, count(*) AS total, {', '.join(f'count(*) FILTER (WHERE candidates[1] = {chr(39)}{m}{chr(39)}) AS {m}' for m in evidence.MECHANISMS)}, count(*) FILTER (WHERE len(candidates) = 0) AS unclassified FROM candidates WHERE len(candidates) <= 1 GROUP BY 1")
+def mechanism_levels(e):
+    """The table of entities whose evidence does not contradict itself; the others are in evidence_issues."""
+    _, _, _, found = _evidence(e)
+    return evidence.mechanism_table(evidence.mechanism_partition(found.filter(F.size("candidates") <= 1)))
+
+
+@evidence_mart("""SELECT issue, count(*) AS n, min(evidence) AS first FROM (
+SELECT 'invalid filter-result identity' AS issue, 'filter_result:' || id AS evidence FROM known WHERE (test_id IS NOT NULL)::INT + (assertion_id IS NOT NULL)::INT + (generalization_id IS NOT NULL)::INT <> 1
+UNION ALL SELECT 'invalid filter-result decision', 'filter_result:' || id || ':' || decision FROM known WHERE decision NOT IN ('ACCEPT', 'DEFER', 'REJECT') UNION ALL SELECT 'missing filter-result rejection reason', 'filter_result:' || id || ':' || filter_name FROM known WHERE decision = 'REJECT' AND reason_code IS NULL
+UNION ALL SELECT 'unknown filter-result producer', 'filter_result:' || id || ':' || filter_name FROM known WHERE NOT f AND filter_name <> 'GeneratedTestValidator'
+UNION ALL SELECT 'invalid build-quarantine verdict', 'filter_result:' || id || ':' || decision || ':' || coalesce(reason_code, '<null>') FROM known WHERE filter_name = 'GeneratedTestValidator' AND (decision <> 'REJECT' OR coalesce(reason_code, '') NOT LIKE 'UNCOMPILABLE%')
+UNION ALL SELECT 'unparsed test method path', 'Test:' || id FROM tests WHERE id % 59 = 0 UNION ALL SELECT 'inherited-method exclusion without inherited path', 'Test:' || id FROM tests WHERE id % 41 = 0 AND (id % 59 = 0 OR id % 7 <> 0)
+UNION ALL SELECT 'incomplete proactive filter decision', 'Test:engine.filter.TestTypeFilter:' || id FROM tests WHERE id NOT IN (SELECT entity_id FROM known WHERE level = 'Test' AND filter_name = 'engine.filter.TestTypeFilter')
+UNION ALL SELECT 'pre-emission rejection created source', level || ':' || entity_id || ':' || code FROM entities WHERE level = 'Generalization' AND code = 'ORACLE_NOT_WIDENABLE' AND created UNION ALL SELECT 'unknown typed exclusion code', level || ':' || entity_id || ':' || code FROM entities WHERE code = 'NEW_CODE'
+UNION ALL SELECT 'typed exclusion code at invalid level', level || ':' || entity_id || ':' || code FROM entities WHERE level = 'Assertion' AND code = 'ORACLE_NOT_WIDENABLE'
+UNION ALL SELECT CASE WHEN len(candidates) = 0 THEN 'unclassified entity' ELSE 'multiply classified entity' END, level || ':' || entity_id || ':' || array_to_string(candidates, ',') FROM candidates WHERE len(candidates) <> 1) GROUP BY 1""")
+def evidence_issues(e):
+    """All thirteen classes of issues, each planted."""
+    results, _, every, found = _evidence(e)
+    methods = e.tests.select(F.col("id").alias("entity_id"), F.expr("CASE WHEN id % 59 <> 0 THEN CASE WHEN id % 7 = 0 THEN 'Parent' ELSE class_name END END").alias("declaring_type"), "class_name")
+    expected = e.tests.select(F.lit("Test").alias("level"), F.col("id").alias("entity_id"), F.lit("engine.filter.TestTypeFilter").alias("filter_name"))
+    return evidence.evidence_issues(results, every, found, methods, expected).groupBy("issue").agg(F.count("*").alias("n"), F.min("evidence").alias("first"))

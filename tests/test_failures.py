@@ -113,3 +113,58 @@ def test_terminal_failures(spark):
     got = X.terminal_failures(tasks, ["project_id"])
     assert {(r.project_id, r.failure_stage, r.cause) for r in got.collect()} == {("p", "3", "timeout exceeded (10 seconds per initial test suite)"), ("q", "5", "build restore failed")}
     assert [(r.failure_stage, r.n, r.stage_total) for r in X.cause_table(got).collect()] == [("3", 1, 1), ("5", 1, 1)]
+
+
+# Exclusion evidence
+
+
+def evidence_of(spark, results, tests=(), assertions=(), generalizations=(), life=(), tasks=()):
+    from assaylake.operators import evidence as V
+
+    frame = lambda rows, schema: spark.createDataFrame(list(rows), schema)
+    r = frame(results, "id long, project_id long, test_id long, assertion_id long, generalization_id long, filter_name string, decision string, reason_code string")
+    entity = "id long, project_id long, is_included boolean, exclusion_info string"
+    rows = V.entities(frame(tests, entity), frame(assertions, entity), frame(generalizations, entity + ", variant string"), frame(life, "generalization_id long, generated_filter_passed boolean, generated_source_created boolean, final_failure_stage string"), frame([(1,)], "project_id long"), "V")
+    return V, r, rows, V.mechanism_candidates(rows, r, frame(tasks, "test_id long, assertion_id long, generalization_id long, status string"))
+
+
+def test_mechanisms(spark):
+    tests = [(1, 1, True, None), (2, 1, False, "INHERITED_METHOD_NOT_FLATTENABLE: x"), (3, 1, False, None), (4, 1, False, "Excluded by A{b}"), (5, 1, None, None), (6, 9, True, None), (7, 1, True, None), (8, 1, False, None)]
+    assertions = [(1, 1, True, None), (2, 1, False, "UNCOMPILABLE_INSTRUMENTED_WRAPPER"), (3, 1, True, None)]
+    generalizations = [(1, 1, None, None, "V"), (2, 1, None, "ORACLE_NOT_WIDENABLE: y", "V"), (3, 1, None, None, "V"), (4, 1, None, None, "W")]
+    life = [(1, True, True, None), (3, False, True, "EXECUTE_TESTS_GENERALIZED")]
+    results = [(1, 1, 3, None, None, "a.filter.XFilter", "REJECT", "R"), (2, 1, 1, None, None, "a.filter.XFilter", "ACCEPT", None), (3, 1, 8, None, None, "GeneratedTestValidator", "REJECT", "UNCOMPILABLE_GENERALIZED_TEST")]
+    tasks = [(7, None, None, "FAILED"), (3, None, None, "FAILED"), (1, 3, None, "FAILED"), (1, 1, 9, "FAILED"), (1, None, None, "SUCCEEDED")]
+    V, _, _, found = evidence_of(spark, results, tests, assertions, generalizations, life, tasks)
+    got = {(r.level, r.entity_id): r.mechanism for r in V.mechanism_partition(found).collect()}
+    assert got == {
+        ("Test", 1): "included", ("Test", 2): "inherited_test_inlining_limit", ("Test", 3): "filter_rejection", ("Test", 4): "task_exception", ("Test", 5): None, ("Test", 7): "task_exception", ("Test", 8): "build_quarantine",
+        ("Assertion", 1): "included", ("Assertion", 2): "build_quarantine", ("Assertion", 3): "task_exception", ("Generalization", 1): "included", ("Generalization", 2): "generation_gate", ("Generalization", 3): "task_exception",
+    }
+    assert {(r.level, r.included, r.filtered, r.failed) for r in V.collapsed(V.mechanism_partition(found)).collect()} == {("Test", 1, 1, 4), ("Assertion", 1, 0, 2), ("Generalization", 1, 1, 1)}
+    assert {r.level: (r.total, r.unclassified) for r in V.mechanism_table(V.mechanism_partition(found)).collect()} == {"Test": (7, 1), "Assertion": (3, 0), "Generalization": (3, 0)}
+
+
+def test_double_mechanism_is_an_error(spark):
+    V, r, rows, found = evidence_of(spark, [(1, 1, 1, None, None, "a.filter.XFilter", "REJECT", "R")], tests=[(1, 1, True, None), (2, 1, False, None)])
+    with pytest.raises(Exception, match="multiply classified entity: Test:1:included,filter_rejection"):
+        V.mechanism_partition(found).collect()
+    none = spark.createDataFrame([], "entity_id long, declaring_type string, class_name string")
+    issues = V.evidence_issues(r, rows, found, none, spark.createDataFrame([("Test", 1, "a.filter.XFilter"), ("Test", 2, "a.filter.XFilter")], "level string, entity_id long, filter_name string"))
+    assert sorted(tuple(x) for x in issues.collect()) == [("incomplete proactive filter decision", "Test:a.filter.XFilter:2"), ("multiply classified entity", "Test:1:included,filter_rejection"), ("unclassified entity", "Test:2:")]
+    with pytest.raises(ValueError, match="incomplete proactive filter decision=Test:a.filter.XFilter:2; multiply"):
+        V.require_evidence(issues)
+    V.require_evidence(issues.filter("1 = 0"))
+
+
+def test_issues_of_filter_results(spark):
+    results = [(1, 1, 1, 2, None, "a.filter.XFilter", "ACCEPT", None), (2, 1, None, None, None, "a.filter.XFilter", "ACCEPT", None), (3, 1, 1, None, None, "odd", None, None), (4, 1, 1, None, None, "GeneratedTestValidator", "ACCEPT", None), (5, 1, 1, None, None, "a.filter.XFilter", "REJECT", None)]
+    V, r, rows, found = evidence_of(spark, results, assertions=[(7, 1, False, "NEW: x")], tests=[(1, 1, False, "ORACLE_NOT_WIDENABLE"), (2, 1, False, "INHERITED_METHOD_NOT_FLATTENABLE"), (3, 1, False, "INHERITED_METHOD_NOT_FLATTENABLE")], generalizations=[(9, 1, None, "ORACLE_NOT_WIDENABLE", "V")], life=[(9, False, True, None)])
+    methods = spark.createDataFrame([(1, None, "A"), (2, "P", "A"), (3, "A", "A")], "entity_id long, declaring_type string, class_name string")
+    issues = V.evidence_issues(r, rows, found, methods, spark.createDataFrame([], "level string, entity_id long, filter_name string"))
+    got = {tuple(x) for x in issues.collect()}
+    assert got >= {
+        ("invalid filter-result identity", "filter_result:1"), ("invalid filter-result identity", "filter_result:2"), ("invalid filter-result decision", "filter_result:3:<null>"), ("unknown filter-result producer", "filter_result:3:odd"),
+        ("invalid build-quarantine verdict", "filter_result:4:ACCEPT:<null>"), ("missing filter-result rejection reason", "filter_result:5:a.filter.XFilter"), ("unparsed test method path", "Test:1"), ("inherited-method exclusion without inherited path", "Test:3"),
+        ("pre-emission rejection created source", "Generalization:9:ORACLE_NOT_WIDENABLE"), ("unknown typed exclusion code", "Assertion:7:NEW"), ("typed exclusion code at invalid level", "Test:1:ORACLE_NOT_WIDENABLE"), ("multiply classified entity", "Test:1:filter_rejection,build_quarantine"),
+    }
