@@ -183,3 +183,37 @@ def coverage_shares(counts: DataFrame, whole: str, part: str) -> DataFrame:
 def flagged_rule(text: Column, families: dict[str, str]) -> Column:
     """The name of the first family whose pattern the text holds, else null."""
     return F.coalesce(*[F.when(text.rlike(p), name) for name, p in families.items()])
+
+
+#: Categories of rejected parameter types, and what contradicts itself.
+PARAMETER_CATEGORIES, INVALID = ["unsupported_types", "zero_parameters", "missing_declaration", "derivation_gap"], "<invalid_evidence>"
+
+
+def rejections_by(rejected: DataFrame, filter_name: str, category, entity: str, k: int | None = None) -> DataFrame:
+    """(category, assertions, rejected): different entities that a filter rejected under each category, and the sum over all; only the k largest, ties by category, if k is given."""
+    chosen = rejected.filter(F.col("filter_name").endswith(filter_name)).select(F.coalesce(category, F.lit("<missing>")).alias("category"), entity)
+    counts = chosen.groupBy("category").agg(F.countDistinct(entity).alias("assertions"))
+    total = counts.agg(F.coalesce(F.sum("assertions"), F.lit(0)).alias("rejected"))  # one row
+    listed = counts if k is None else counts.orderBy(F.desc("assertions"), "category").limit(k)
+    return listed.crossJoin(F.broadcast(total))
+
+
+def parameter_rejections(rejected: DataFrame, observations: DataFrame) -> DataFrame:
+    """(category, assertions, rejected, evidence_errors) of assertions that the parameter-type filter rejected, by their only observation.
+
+    observations: assertion_id, candidate_param_count, candidate_param_supported, resolved_parameter_types (a JSON list). No
+    or several observations, some of the three missing but not all, a negative count or one that differs from the list's
+    length, and supported without parameters contradict themselves.
+    """
+    c = F.col
+    seen = observations.groupBy("assertion_id").agg(F.count("*").alias("_n"), F.min("candidate_param_count").alias("_c"), F.bool_and("candidate_param_supported").alias("_s"), F.min("resolved_parameter_types").alias("_t"))
+    rows = rejected.filter(F.col("filter_name").endswith("ParameterTypeFilter")).select(F.col("entity_id").alias("assertion_id")).distinct().join(seen, "assertion_id", "left")
+    missing = [c(x).isNull() for x in ("_c", "_s", "_t")]
+    every, some = missing[0] & missing[1] & missing[2], missing[0] | missing[1] | missing[2]
+    length = F.json_array_length("_t")
+    odd = (c("_c") < 0) | length.isNull() | (length != c("_c")) | ((c("_c") == 0) & c("_s"))
+    category = F.when(F.coalesce(c("_n"), F.lit(0)) != 1, INVALID).when(every, "missing_declaration").when(some | odd, INVALID).when(c("_c") == 0, "zero_parameters").when(~c("_s"), "unsupported_types").otherwise("derivation_gap")
+    counts = rows.select(category.alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+    wide = counts.agg(*[F.coalesce(F.sum(F.when(c("category") == x, c("n"))), F.lit(0)).alias(x) for x in [*PARAMETER_CATEGORIES, INVALID]], F.coalesce(F.sum("n"), F.lit(0)).alias("_all"))
+    bands = F.array(*[F.struct(F.lit(x).alias("category"), c(x).alias("assertions"), c("_all").alias("rejected"), F.col(f"`{INVALID}`").alias("evidence_errors")) for x in PARAMETER_CATEGORIES])
+    return wide.select(F.inline(bands))

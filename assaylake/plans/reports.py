@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import STAGES as RUN_STAGES
 from ..functions.scalars import simple_name
-from ..operators import coverage, evidence, failures, filter_reports, funnels, populations, quality, ranking, rates, runtimes, values
+from ..operators import coverage, evidence, failures, filter_reports, funnels, populations, quality, ranking, rates, reviews, runtimes, values
 from ..sources.tables import content_digest
 from .experiment import FAILED_AT, PAIRED, VARIANTS, chained, mart
 from .queries import SQL
@@ -635,3 +635,90 @@ def evidence_issues(e):
     methods = e.tests.select(F.col("id").alias("entity_id"), F.expr("CASE WHEN id % 59 <> 0 THEN CASE WHEN id % 7 = 0 THEN 'Parent' ELSE class_name END END").alias("declaring_type"), "class_name")
     expected = e.tests.select(F.lit("Test").alias("level"), F.col("id").alias("entity_id"), F.lit("engine.filter.TestTypeFilter").alias("filter_name"))
     return evidence.evidence_issues(results, every, found, methods, expected).groupBy("issue").agg(F.count("*").alias("n"), F.min("evidence").alias("first"))
+
+
+@mart("SELECT category, count(DISTINCT entity_id) AS assertions, sum(count(DISTINCT entity_id)) OVER ()::BIGINT AS rejected FROM (SELECT coalesce('assert' || a.model_size % 7, '<missing>') AS category, entity_id FROM rejected JOIN assertions a ON a.id = entity_id WHERE level = 'assertion' AND filter_name = 'ParameterTypeFilter') GROUP BY 1")
+def rejections_by_assertion(e):
+    named = e.rejected.filter("level = 'assertion'").join(e.assertions.select(F.col("id").alias("entity_id"), "model_size"), "entity_id")
+    return filter_reports.rejections_by(named, "ParameterTypeFilter", F.concat(F.lit("assert"), F.col("model_size") % 7), "entity_id")
+
+
+@mart("SELECT coalesce(reason_code, '<missing>') AS category, count(DISTINCT entity_id) AS assertions, sum(count(DISTINCT entity_id)) OVER ()::BIGINT AS rejected FROM rejected WHERE filter_name = 'ParameterTypeFilter' GROUP BY 1")
+def rejections_by_reason(e):
+    return filter_reports.rejections_by(e.rejected, "ParameterTypeFilter", F.col("reason_code"), "entity_id")
+
+
+@mart("SELECT reason_code AS category, count(DISTINCT entity_id) AS assertions, (SELECT count(DISTINCT entity_id) FROM rejected WHERE filter_name = 'ReturnTypeFilter') AS rejected FROM rejected WHERE filter_name = 'ReturnTypeFilter' GROUP BY 1 ORDER BY assertions DESC, category LIMIT 3")
+def rejections_by_return_type(e):
+    """A top-k report: the three most frequent types."""
+    return filter_reports.rejections_by(e.rejected, "ReturnTypeFilter", F.col("reason_code"), "entity_id", 3)
+
+
+_SEEN = """(SELECT id AS assertion_id, CASE WHEN id % 3 <> 0 THEN (id % 4)::INT END AS n, CASE WHEN id % 3 <> 0 THEN id % 5 < 2 END AS s, CASE WHEN id % 3 <> 0 THEN CASE id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 2 END END AS listed FROM assertions WHERE id % 29 <> 0)"""
+_CLASSED = f"(SELECT entity_id, CASE WHEN o.assertion_id IS NULL THEN '<invalid_evidence>' WHEN n IS NULL THEN 'missing_declaration' WHEN n <> listed OR (n = 0 AND s) THEN '<invalid_evidence>' WHEN n = 0 THEN 'zero_parameters' WHEN NOT s THEN 'unsupported_types' ELSE 'derivation_gap' END AS category FROM (SELECT DISTINCT entity_id FROM rejected WHERE filter_name = 'ParameterTypeFilter') LEFT JOIN {_SEEN} o ON o.assertion_id = entity_id)"
+
+
+@mart(" UNION ALL ".join(f"SELECT '{c}' AS category, count(*) FILTER (WHERE category = '{c}') AS assertions, count(*) AS rejected, count(*) FILTER (WHERE category = '<invalid_evidence>') AS evidence_errors FROM {_CLASSED}" for c in filter_reports.PARAMETER_CATEGORIES))
+def rejections_by_parameters(e):
+    n, known = (F.col("id") % 4).cast("int"), F.col("id") % 3 != 0
+    types = F.when(n == 0, "[]").when(n == 1, '["int"]').otherwise('["int","a.B"]')
+    seen = e.assertions.filter("id % 29 <> 0").select(F.col("id").alias("assertion_id"), F.when(known, n).alias("candidate_param_count"), F.when(known, F.col("id") % 5 < 2).alias("candidate_param_supported"), F.when(known, types).alias("resolved_parameter_types"))
+    return filter_reports.parameter_rejections(e.rejected, seen)
+
+
+_DECIDED = "(SELECT id AS test_id, v AS reviewer, CASE WHEN id % 3 = 0 AND v = 'r2' THEN 'wrong' WHEN id % 5 = 0 THEN 'unclear' ELSE 'right' END AS label, id % 4 AS t FROM tests, (SELECT unnest(['r1', 'r2']) AS v) WHERE id % 7 <> 0 AND (v = 'r1' OR id % 2 = 0))"
+
+
+def _reviews(e):
+    """Two reviewers: the second one sees every other test; no one sees the seventh."""
+    reviewer = F.explode(F.array(F.lit("r1"), F.lit("r2")))
+    rows = e.tests.filter("id % 7 <> 0").select(F.col("id").alias("test_id"), reviewer.alias("reviewer")).filter("reviewer = 'r1' or test_id % 2 = 0")
+    label = F.expr("CASE WHEN test_id % 3 = 0 AND reviewer = 'r2' THEN 'wrong' WHEN test_id % 5 = 0 THEN 'unclear' ELSE 'right' END")
+    tier = F.when(label == "unclear", "NONE").otherwise(F.get(F.array(*map(F.lit, reviews.TIERS)), (F.col("test_id") % 4).cast("int")))
+    return rows.select("test_id", "reviewer", label.alias("label"), F.concat(F.lit("by "), "reviewer").alias("rationale"), tier.alias("confidence"), F.array(F.concat(F.lit("s"), F.col("test_id") % 9), F.concat(F.lit("of-"), "reviewer")).alias("source_ids"))
+
+
+_TIER = "(['T1_PROVEN', 'T2_CORROBORATED', 'T3_SINGLE_WEAK', 'T4_GUESS'])[t + 1]"
+_ADJUDICATED = f"""(SELECT id AS test_id, CASE WHEN lo = hi THEN CASE lo WHEN 'unclear' THEN 'incompatible' ELSE 'resolved' END ELSE 'unresolved' END AS status, CASE WHEN lo = hi THEN lo ELSE 'unresolved' END AS label, CASE WHEN lo = hi THEN CASE lo WHEN 'unclear' THEN 'NONE' ELSE {_TIER} END ELSE 'NONE' END AS confidence,
+CASE WHEN n IS NULL THEN 'No reviewer decision is available.' WHEN lo <> hi THEN 'Reviewer decisions disagree; individual decisions are preserved.' WHEN n = 1 THEN 'by r1' ELSE 'Reviewer decisions agree.' END AS rationale,
+CASE WHEN n IS NULL THEN '' WHEN n = 1 THEN 'of-r1,s' || id % 9 ELSE 'of-r1,of-r2,s' || id % 9 END AS source_ids, coalesce(n, 0) AS reviewers, CASE WHEN n IS NULL THEN 'unreviewed' WHEN lo <> hi THEN 'disputed' WHEN n = 1 THEN 'single-reviewed' ELSE 'agreed' END AS review_state
+FROM tests LEFT JOIN (SELECT test_id, min(label) AS lo, max(label) AS hi, count(*) AS n, any_value(t) AS t FROM {_DECIDED} GROUP BY 1) d ON d.test_id = id)"""
+_STATUSES = {"right": "resolved", "wrong": "resolved", "unclear": "incompatible"}
+
+
+@mart(f"SELECT * FROM {_ADJUDICATED}")
+def adjudicated_reviews(e):
+    found = reviews.adjudicated(e.tests.select(F.col("id").alias("test_id")), _reviews(e), ["test_id"], _STATUSES)
+    return found.withColumn("source_ids", F.array_join("source_ids", ","))
+
+
+@mart(f"SELECT 'tests' AS claim, status, label AS outcome, count(*) AS reviewed_count FROM {_ADJUDICATED} WHERE reviewers > 0 GROUP BY 1, 2, 3")
+def reviewed_outcomes(e):
+    found = reviews.adjudicated(e.tests.select(F.col("id").alias("test_id")), _reviews(e), ["test_id"], _STATUSES)
+    return reviews.outcome_counts(found.filter("reviewers > 0").withColumn("claim", F.lit("tests")))
+
+
+_MAPPED = """(SELECT id AS assertion_id, project_id, CASE WHEN id % 11 = 0 THEN 'no-visible-call' WHEN id % 11 = 1 THEN 'unresolved-source-declaration' WHEN id % 11 = 2 THEN NULL WHEN id % 4 = 2 THEN 't3-single-weak' WHEN id % 4 = 3 THEN 't4-guess' WHEN model_size % 3 > 1 THEN 'ambiguous-high-confidence' END AS stratum FROM assertions)"""
+
+
+def _mappings(e):
+    tier = F.get(F.array(*map(F.lit, reviews.TIERS)), (F.col("id") % 4).cast("int"))
+    reason = F.expr("CASE WHEN id % 11 = 0 THEN 'NO_VISIBLE_CALL' WHEN id % 11 = 1 THEN 'UNRESOLVED_SOURCE_DECLARATION' END")
+    rows = e.assertions.select(F.col("id").alias("assertion_id"), "project_id", reason.alias("no_pick_reason"), F.expr("CASE WHEN id % 11 <= 2 THEN 'UNRESOLVED' ELSE 'RESOLVED' END").alias("resolution_status"), tier.alias("confidence_tier"), (F.col("model_size") % 3).alias("candidate_count"))
+    return rows.withColumn("stratum", reviews.mapping_stratum())
+
+
+@mart(f"""SELECT stratum, assertion_id, project_id, h AS selection_sha256, n AS stratum_size FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h) AS r, count(*) OVER (PARTITION BY stratum) AS n FROM (SELECT *, sha256('mapping-review' || '["' || project_id || '","' || assertion_id || '"]') AS h FROM {_MAPPED} WHERE stratum IS NOT NULL)) WHERE r <= 20""")
+def mapping_review_sample(e):
+    """A sampling operator: 20 of every weak stratum."""
+    return reviews.rule_sample(_mappings(e), "stratum", ["project_id", "assertion_id"], dict.fromkeys(reviews.STRATA, 20), "mapping-review")
+
+
+@mart("SELECT stratum, count(*) AS n FROM (SELECT t.project_id, t.id, CASE WHEN n = 1 THEN 'one-per-project' WHEN n <= 5 THEN 'two-to-five-per-project' WHEN n <= 20 THEN 'six-to-twenty-per-project' ELSE 'more-than-twenty-per-project' END AS stratum FROM (SELECT *, count(*) OVER (PARTITION BY project_id, class_name) AS n FROM tests WHERE id NOT IN (SELECT test_id FROM assertions) AND project_id <> 3) t) GROUP BY 1")
+def no_assertion_strata(e):
+    """Tests without assertions by how many of them their class has."""
+    bare = e.tests.join(e.assertions.select(F.col("test_id").alias("id")).distinct(), "id", "left_anti")
+    results = bare.select(F.col("id").alias("entity_id"), F.lit("a.filter.NoAssertionsFilter").alias("filter_name"), F.lit("REJECT").alias("decision"), F.lit("NO_ASSERTIONS").alias("reason_code"))
+    population = reviews.no_assertion_population(e.tests, results, e.assertions, e.projects.select(F.col("id").alias("project_id")).filter("project_id <> 3"))
+    sized = reviews.size_stratum(population.withColumn("place", F.concat_ws("/", "project_id", "class_name")), "place")
+    return sized.groupBy("stratum").agg(F.count("*").alias("n"))

@@ -55,7 +55,7 @@ def read_values(spark: SparkSession, path) -> DataFrame:
 def export_sections(sections: dict[str, DataFrame], root: str) -> None:
     """Each section's rows as CSV with a header in a folder of its name."""
     for name, rows in sections.items():
-        rows.write.mode("overwrite").option("header", True).csv(f"{root.rstrip('/')}/{name}")
+        rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{root.rstrip('/')}/{name}")
 
 
 def excluded_file(path: Column) -> Column:
