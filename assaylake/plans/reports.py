@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import STAGES as RUN_STAGES
 from ..functions.scalars import simple_name
-from ..operators import coverage, evidence, failures, filter_reports, funnels, populations, quality, ranking, rates, reviews, runtimes, values
+from ..operators import cohorts, coverage, evidence, failures, filter_reports, funnels, populations, quality, ranking, rates, reviews, runtimes, values
 from ..sources.tables import content_digest
 from .experiment import FAILED_AT, PAIRED, VARIANTS, chained, mart
 from .queries import SQL
@@ -722,3 +722,79 @@ def no_assertion_strata(e):
     population = reviews.no_assertion_population(e.tests, results, e.assertions, e.projects.select(F.col("id").alias("project_id")).filter("project_id <> 3"))
     sized = reviews.size_stratum(population.withColumn("place", F.concat_ws("/", "project_id", "class_name")), "place")
     return sized.groupBy("stratum").agg(F.count("*").alias("n"))
+
+
+@mart(f"""SELECT variant, level, is_included, CASE WHEN contains(info, 'Excluded by ') THEN nullif(regexp_extract(info, 'Excluded by ([^{{]*)[{{]', 1), '') END AS excluded_by, count(*) AS count FROM (SELECT project_id, 'SHARED' AS variant, '1-TEST' AS level, is_included, {_INFO['tests']} AS info FROM tests
+UNION ALL SELECT project_id, 'SHARED', '2-ASSERTION', is_included, {_INFO['assertions']} FROM assertions UNION ALL SELECT project_id, variant, '3-GENERALIZATION', is_included, {_INFO['generalizations']} FROM generalizations) JOIN projects p ON p.id = project_id WHERE use_test_generalization GROUP BY ALL""")
+def exclusions_all(e):
+    frames = [getattr(e, n).withColumn("exclusion_info", F.expr(x)) for n, x in _INFO.items()]
+    return cohorts.exclusions(*frames, e.projects)
+
+
+@mart("SELECT coalesce(variant, 'SHARED') AS variant, CASE level WHEN 'test' THEN '1-TEST' WHEN 'assertion' THEN '2-ASSERTION' ELSE '3-GENERALIZATION' END AS level, filter_name, count(*) AS total, count(*) FILTER (WHERE decision = 'ACCEPT') AS accept, count(*) FILTER (WHERE decision = 'REJECT') AS reject, count(*) FILTER (WHERE decision = 'DEFER') AS defer FROM decisions d JOIN projects p ON p.id = d.project_id LEFT JOIN generalizations g ON g.id = entity_id AND level = 'generalization' WHERE use_test_generalization GROUP BY ALL")
+def exclusions_filtering(e):
+    named = e.decisions.withColumn("filter_name", F.concat(F.lit("engine.filter."), "filter_name"))
+    return cohorts.filtering(named, e.generalizations, e.projects)
+
+
+_CAUSE_AT = [m.lstrip("=") for m, _ in cohorts.EXTRACTION_CAUSES]
+_INFO_SQL = f"(SELECT CASE WHEN id % {len(_CAUSE_AT) + 1} < {len(_CAUSE_AT) - 2} THEN coalesce(text, '') || ' ' ELSE '' END || ([{', '.join(chr(39) + m + chr(39) for m in [*_CAUSE_AT, 'nothing known'])}])[id % {len(_CAUSE_AT) + 1} + 1] AS info FROM tasks LEFT JOIN documents ON doc_id = id WHERE status = 'FAILED')"
+
+
+@mart(f"SELECT CASE {' '.join(f'WHEN info = {chr(39)}{m[1:]}{chr(39)} THEN {chr(39)}{n}{chr(39)}' if m.startswith('=') else f'WHEN contains(info, {chr(39)}{m}{chr(39)}) THEN {chr(39)}{n}{chr(39)}' for m, n in cohorts.EXTRACTION_CAUSES)} ELSE 'Other failures' END AS error_category, count(*) AS count FROM {_INFO_SQL} GROUP BY 1")
+def exclusions_extraction(e):
+    """Every failed task counts as one of the extraction stage; whole documents stand before the markers."""
+    n = F.col("id") % (len(_CAUSE_AT) + 1)
+    text = e.t("documents").select(F.col("doc_id").alias("id"), "text")
+    info = F.concat(F.when(n < len(_CAUSE_AT) - 2, F.concat(F.coalesce("text", F.lit("")), F.lit(" "))).otherwise(""), F.get(F.array(*map(F.lit, [*_CAUSE_AT, "nothing known"])), n.cast("int")))
+    return cohorts.extraction_causes(e.tasks.filter("status = 'FAILED'").join(text, "id", "left").select("status", F.lit("EXECUTE_JPF").alias("stage"), info.alias("info")))
+
+
+@mart("SELECT variant_name AS variant, 'Error' || coalesce(test_id, generalization_id) % 3 AS failure_type, count(*) AS count FROM junit WHERE result <> 'PASSED' GROUP BY 1, 2")
+def exclusions_test_fails(e):
+    stage = F.concat(F.lit("EXECUTE_TESTS_"), "variant_name")
+    kind = F.concat(F.lit("a.b.Error"), F.coalesce("test_id", "generalization_id") % 3)
+    return cohorts.test_failures(e.junit.select(stage.alias("stage"), "variant", "result", kind.alias("failure_type")))
+
+
+_BY_MUTATOR = "(SELECT regexp_extract(mutator, '[^.]+$') AS mutator, variant_name AS variant, count(*) AS total, count(*) FILTER (WHERE status <> 'NO_COVERAGE') AS covered, count(*) FILTER (WHERE is_detected) AS detected FROM reports GROUP BY 1, 2)"
+
+
+@mart(f"""SELECT w.mutator, total_mutants, percent, min_percent, max_percent, {", ".join(f"detected_{v.lower()}" for v in ["INITIAL", *VARIANTS])}, {", ".join(f"detected_{v.lower()} - detected_initial AS detected_diff_{v.lower()}" for v in VARIANTS)}
+FROM (SELECT mutator, {", ".join(f"max(coalesce(detected * 100.0::DOUBLE / nullif(covered, 0), 0)) FILTER (WHERE variant = '{v}') AS detected_{v.lower()}" for v in ["INITIAL", *VARIANTS])} FROM {_BY_MUTATOR} GROUP BY 1) w
+JOIN (SELECT mutator, total AS total_mutants, total * 100.0::DOUBLE / sum(total) OVER () AS percent FROM {_BY_MUTATOR} WHERE variant = 'INITIAL') USING (mutator)
+JOIN (SELECT mutator, min(p) AS min_percent, max(p) AS max_percent FROM (SELECT regexp_extract(mutator, '[^.]+$') AS mutator, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY project_id) * 100 AS p FROM reports WHERE variant_name = 'INITIAL' GROUP BY project_id, 1) GROUP BY 1) USING (mutator)""")
+def mutator_statistics(e):
+    rows = e.mutations.select("project_id", simple_name(F.col("mutator")).alias("mutator"), F.col("variant_name").alias("variant"), "status", "is_detected")
+    counted = rows.groupBy("mutator", "variant").agg(F.count("*").alias("total"), F.count_if(F.col("status") != "NO_COVERAGE").alias("covered"), F.count_if("is_detected").alias("detected"))
+    shares = rows.filter("variant = 'INITIAL'").groupBy("project_id", "mutator").agg(F.count("*").alias("total"))
+    return cohorts.mutator_statistics(counted, shares, VARIANTS)
+
+
+@mart("SELECT m.*, coalesce(tests, 0) AS tests, coalesce(included_tests, 0) AS included_tests, coalesce(classes, 0) AS classes, coalesce(included_classes, 0) AS included_classes FROM (SELECT project_id, count(*) AS mutants, count(*) FILTER (WHERE status <> 'NO_COVERAGE') AS covered, count(*) FILTER (WHERE status = 'NO_COVERAGE') AS uncovered FROM reports WHERE variant_name = 'INITIAL' GROUP BY 1) m LEFT JOIN (SELECT project_id, count(*) AS tests, count(*) FILTER (WHERE is_included) AS included_tests, count(DISTINCT class_name) AS classes, count(DISTINCT class_name) FILTER (WHERE is_included) AS included_classes FROM tests GROUP BY 1) t USING (project_id)")
+def project_mutation_coverage(e):
+    return cohorts.project_mutation_coverage(e.mutations, e.tests)
+
+
+@mart("SELECT project_id, CASE WHEN is_detected THEN 'yes' ELSE 'no' END AS detected, count(*) AS count, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY project_id), 2) AS mutant_percent FROM reports WHERE status <> 'NO_COVERAGE' AND variant_name = 'IMPROVED_200_TRIES' GROUP BY project_id, is_detected")
+def mutation_model_complexity(e):
+    """Shares of the detection comparison's rows; its other columns are in mutation_detection_comparison."""
+    from .experiment import mutation_detection_comparison
+
+    return cohorts.with_mutant_percent(mutation_detection_comparison(e)).select("project_id", "detected", "count", "mutant_percent")
+
+
+_SCORED = "(SELECT project_id, variant_name AS variant, round(count(*) FILTER (WHERE is_detected) * 100.0::DOUBLE / count(*) FILTER (WHERE status <> 'NO_COVERAGE'), 2) AS detected_pct FROM reports WHERE variant_name <> 'ORIGINAL' GROUP BY 1, 2)"
+
+
+@mart(f"SELECT CASE WHEN s.project_id < 10 THEN 'first' ELSE 'second' END AS cohort, round(min(s.detected_pct - b.detected_pct), 2) AS min_pp, round(max(s.detected_pct - b.detected_pct), 2) AS max_pp FROM {_SCORED} s JOIN {_SCORED} b ON b.project_id = s.project_id AND b.variant = 'INITIAL' WHERE s.variant <> 'INITIAL' GROUP BY 1")
+def headline_improvements(e):
+    rated = rates.mutation_rates(e.mutations, ["project_id"]).filter("variant_name <> 'ORIGINAL'")
+    rows = rated.select("project_id", F.col("variant_name").alias("variant"), F.col("detected_of_covered_pct").alias("detected_pct"), F.col("detected_of_covered_pct_diff").alias("improvement"))
+    return cohorts.headline_improvements(rows, {"first": list(range(10)), "second": list(range(10, 25))}, ["INITIAL", *VARIANTS])
+
+
+@mart(f"SELECT f.*, d.reason_code FROM ({FAILURES}) f LEFT JOIN (SELECT id, reason_code FROM coded) d USING (id)")
+def project_failure_diagnostics(e):
+    diagnostics = e.coded.select(F.col("id").alias("task_id"), "id", "reason_code", F.lit(None).cast("string").alias("detail"))
+    return cohorts.first_diagnostics(funnels.project_failures(e.tasks), diagnostics).drop("detail")
