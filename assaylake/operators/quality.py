@@ -111,3 +111,59 @@ def registry_findings(present: DataFrame, registered: DataFrame, name: str) -> D
     """(name, finding): unregistered where only present, missing where only registered; names on both sides give no row."""
     p, r = present.select(name).distinct().withColumn("_p", F.lit(True)), registered.select(name).distinct().withColumn("_r", F.lit(True))
     return p.join(r, name, "full").filter("_p is null or _r is null").select(name, F.when(F.col("_r").isNull(), "unregistered").otherwise("missing").alias("finding"))
+
+
+#: The largest share of a generic bucket, and the generic bucket of each table's codes.
+GENERIC_SHARE = 0.3
+GENERIC = {"task_diagnostic": "OTHER_COMPILE_FAILURE", "extraction_summary": "UNCAUGHT_EXCEPTION_PATH", "assertion_semantics": "UNKNOWN", "filter_result": "<none>"}
+
+
+def telemetry_integrity(tables: dict[str, DataFrame | None], budget: float = GENERIC_SHARE) -> DataFrame:
+    """(invariant, actual, expected, holds) of the telemetry writers: totals that must agree, and shares of generic codes within a budget.
+
+    Tables by name: assertion, resolution, assertion_semantics (semantic_kind), generalization, lifecycle (generated_source_created,
+    final_usable), outcomes, task_diagnostic (stage, reason_code), extraction_summary (failure_counts: a JSON object of
+    counts), filter_result (decision, reason_code). A table that is absent (None) gives a row with its name and nulls. Every
+    table is counted once, and only these one-row counts meet.
+    """
+    c, zero = F.col, F.lit(0).cast("long")
+    of = lambda *cols: F.coalesce(F.sum(F.when(reduce(lambda a, b: a & b, cols), 1)), zero)
+    built, rejected = c("stage").startswith("BUILD_"), c("decision") == "REJECT"
+    counted = {
+        "assertion": {"n": F.count("*")}, "resolution": {"n": F.count("*")}, "generalization": {"n": F.count("*")}, "outcomes": {"n": F.count("*")},
+        "assertion_semantics": {"n": F.count("*"), "generic": of(c("semantic_kind") == GENERIC["assertion_semantics"])},
+        "lifecycle": {"n": F.count("*"), "unsourced": of(~c("generated_source_created")), "usable": of(c("final_usable"))},
+        "task_diagnostic": {"n": of(built), "generic": of(built, c("reason_code") == GENERIC["task_diagnostic"])},
+        "filter_result": {"n": of(rejected), "generic": of(rejected, c("reason_code").isNull() | (c("reason_code") == GENERIC["filter_result"]))},
+    }
+    frames = []
+    for name, figures in counted.items():
+        if tables.get(name) is not None:
+            frames.append(tables[name].agg(*[f.alias(f"{name}_{k}") for k, f in figures.items()]))
+    if tables.get("extraction_summary") is not None:
+        causes = tables["extraction_summary"].select(F.explode(F.from_json("failure_counts", "map<string,bigint>")).alias("cause", "k"))
+        frames.append(causes.agg(F.coalesce(F.sum("k"), zero).alias("extraction_summary_n"), F.coalesce(F.sum(F.when(c("cause") == GENERIC["extraction_summary"], c("k"))), zero).alias("extraction_summary_generic")))
+    if not frames:
+        raise ValueError("no table is given")
+    whole = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), frames)  # one row each
+    number = lambda x: x.cast("double")
+    rules = [
+        ("resolution total (== assertions)", ["resolution", "assertion"], lambda: (c("resolution_n"), c("assertion_n"), c("resolution_n") == c("assertion_n"))),
+        ("assertion_semantics total (== assertions)", ["assertion_semantics", "assertion"], lambda: (c("assertion_semantics_n"), c("assertion_n"), c("assertion_semantics_n") == c("assertion_n"))),
+        ("lifecycle rows only for generated sources (0 unsourced)", ["lifecycle"], lambda: (c("lifecycle_unsourced"), zero, c("lifecycle_unsourced") == 0)),
+        ("lifecycle rows within generalizations (<=)", ["lifecycle", "generalization"], lambda: (c("lifecycle_n"), c("generalization_n"), c("lifecycle_n") <= c("generalization_n"))),
+        ("outcome rows cover final_usable (>=)", ["outcomes", "lifecycle"], lambda: (c("outcomes_n"), c("lifecycle_usable"), c("outcomes_n") >= c("lifecycle_usable"))),
+    ]
+
+    def share(name):
+        actual = F.coalesce(F.try_divide(number(c(f"{name}_generic")), c(f"{name}_n")), F.lit(0.0))
+        return lambda: (actual, F.lit(budget), actual <= budget)
+
+    rules += [(f"generic budget: {name} {code} share", [name], share(name)) for name, code in GENERIC.items()]
+    rows = []
+    for invariant, needed, values in rules:
+        lost = [n for n in needed if tables.get(n) is None]
+        actual, expected, holds = (F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("boolean")) if lost else values()
+        text = f"(skipped: no table {lost[0]}) {invariant}" if lost else invariant
+        rows.append(F.struct(F.lit(text).alias("invariant"), number(actual).alias("actual"), number(expected).alias("expected"), holds.alias("holds")))
+    return whole.select(F.inline(F.array(*rows)))

@@ -798,3 +798,24 @@ def headline_improvements(e):
 def project_failure_diagnostics(e):
     diagnostics = e.coded.select(F.col("id").alias("task_id"), "id", "reason_code", F.lit(None).cast("string").alias("detail"))
     return cohorts.first_diagnostics(funnels.project_failures(e.tasks), diagnostics).drop("detail")
+
+
+_INTEGRITY = [
+    ("resolution total (== assertions)", "(SELECT count(*) FROM assertions WHERE id % 5 <> 0)", "(SELECT count(*) FROM assertions)", "="), ("assertion_semantics total (== assertions)", "(SELECT count(*) FROM assertions)", "(SELECT count(*) FROM assertions)", "="),
+    ("lifecycle rows only for generated sources (0 unsourced)", "(SELECT count(*) FROM generalizations WHERE id % 9 = 0)", "0", "="), ("lifecycle rows within generalizations (<=)", "(SELECT count(*) FROM generalizations)", "(SELECT count(*) FROM generalizations)", "<="),
+    ("(skipped: no table outcomes) outcome rows cover final_usable (>=)", "NULL", "NULL", "="), ("generic budget: task_diagnostic OTHER_COMPILE_FAILURE share", "(SELECT coalesce(count(*) FILTER (WHERE reason_code = 'OTHER_COMPILE_FAILURE')::DOUBLE / nullif(count(*), 0), 0) FROM coded WHERE stage LIKE 'BUILD!_%' ESCAPE '!')", "0.3", "<="),
+    ("generic budget: extraction_summary UNCAUGHT_EXCEPTION_PATH share", "(SELECT coalesce(sum(id % 4) FILTER (WHERE id % 2 = 0)::DOUBLE / nullif(sum(id % 4), 0), 0) FROM tasks)", "0.3", "<="), ("generic budget: assertion_semantics UNKNOWN share", "(SELECT count(*) FILTER (WHERE model_size % 4 = 0)::DOUBLE / count(*) FROM assertions)", "0.3", "<="),
+    ("generic budget: filter_result <none> share", "(SELECT count(*) FILTER (WHERE reason_code IS NULL)::DOUBLE / count(*) FROM rejected)", "0.3", "<="),
+]
+
+
+@mart(" UNION ALL ".join(f"SELECT '{n}' AS invariant, {a}::DOUBLE AS actual, {x}::DOUBLE AS expected, {a} {op} {x} AS holds" for n, a, x, op in _INTEGRITY))
+def telemetry_integrity(e):
+    """Totals and budgets, of which some are violated and one table is absent."""
+    kind = F.when(F.col("model_size") % 4 == 0, "UNKNOWN").otherwise("EQUALITY")
+    counts = F.concat(F.lit('{"'), F.when(F.col("id") % 2 == 0, "UNCAUGHT_EXCEPTION_PATH").otherwise("PC_SIZE_LIMIT"), F.lit('":'), F.col("id") % 4, F.lit("}"))
+    tables = {
+        "assertion": e.assertions, "resolution": e.assertions.filter("id % 5 <> 0"), "assertion_semantics": e.assertions.select(kind.alias("semantic_kind")), "generalization": e.generalizations, "outcomes": None, "task_diagnostic": e.coded, "filter_result": e.rejected,
+        "lifecycle": e.generalizations.select(F.expr("id % 9 <> 0").alias("generated_source_created"), F.expr("id % 5 = 1").alias("final_usable")), "extraction_summary": e.tasks.select(counts.alias("failure_counts")),
+    }
+    return quality.telemetry_integrity(tables)
