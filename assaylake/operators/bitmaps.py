@@ -22,34 +22,37 @@ def masks(rows: DataFrame, keys: list[str], entity: str) -> DataFrame:
     return held.groupBy(*keys, F.shiftright(F.col(entity).cast("long"), 6).alias("word")).agg(F.bit_or(_bit(entity)).alias("mask"))
 
 
-def bit_index(entities: DataFrame, entity: str, flags: dict[str, Column], weights: dict[str, Column]) -> DataFrame:
-    """(word, one mask for each flag, one array of masks for each weight, lowest digit first) of entities with different ids.
+def bit_index(entities: DataFrame, entity: str, flags: dict[str, Column], weights: dict[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """(word, one mask for each flag, one for each binary digit of each weight as <weight>_<digit>) of entities with different ids, and the digits of each weight (flags: 0).
 
     A null flag is false, a null weight 0; a negative weight is an error. One aggregation finds the number of digits.
     """
     valued = entities.select(entity, *[F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()], *[F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in weights.items()])
-    digits = {}
+    digits = dict.fromkeys(flags, 0)
     if weights:
         low, high = valued.agg(F.min(F.least(*weights, F.lit(0))), F.array(*[F.max(n) for n in weights])).first()
         if low is not None and low < 0:
             raise ValueError("weights are counts or sums, not negative")
-        digits = {n: max(1, (h or 0).bit_length()) for n, h in zip(weights, high, strict=True)}
+        digits |= {n: max(1, (h or 0).bit_length()) for n, h in zip(weights, high, strict=True)}
     bit, none = _bit(entity), F.lit(0).cast("long")
-    sliced = lambda n: F.array(*[F.bit_or(F.when(F.shiftright(F.col(n), k).bitwiseAND(1) == 1, bit).otherwise(none)) for k in range(digits[n])])
-    return valued.groupBy(F.shiftright(F.col(entity).cast("long"), 6).alias("word")).agg(*[F.bit_or(F.when(F.col(n), bit).otherwise(none)).alias(n) for n in flags], *[sliced(n).alias(n) for n in weights])
+    of = lambda holds, name: F.bit_or(F.when(holds, bit).otherwise(none)).alias(name)
+    slices = [of(F.shiftright(F.col(n), k).bitwiseAND(1) == 1, f"{n}_{k}") for n in weights for k in range(digits[n])]
+    return valued.groupBy(F.shiftright(F.col(entity).cast("long"), 6).alias("word")).agg(*[of(F.col(n), n) for n in flags], *slices), digits
 
 
-def _count(mask: Column) -> Column:
-    return F.bit_count(mask).cast("long")
-
-
-def union_sums(words: DataFrame, keys: list[str], index: DataFrame) -> DataFrame:
+def union_sums(words: DataFrame, keys: list[str], index: tuple[DataFrame, dict[str, int]]) -> DataFrame:
     """(*keys, each flag's number of entities, each weight's sum) over the union of a key's masks; words have (*keys, word, mask), a word more than once at will.
 
     The index has one row a word, 64 times fewer than entities, and meets the united masks in a plain equi-join.
     """
+    rows, digits = index
     united = words.groupBy(*keys, "word").agg(F.bit_or("mask").alias("mask"))
-    kinds = dict(index.drop("word").dtypes)
-    both = lambda c: F.col("mask").bitwiseAND(c)
-    value = lambda n: _count(both(F.col(n))) if kinds[n] == "bigint" else F.aggregate(F.transform(F.col(n), lambda x, i: F.call_function("shiftleft", _count(both(x)), i)), F.lit(0).cast("long"), lambda a, b: a + b)
-    return united.join(index, "word").groupBy(*keys).agg(*[F.sum(value(n)).alias(n) for n in kinds])
+    common = lambda c: F.bit_count(F.col("mask").bitwiseAND(F.col(c))).cast("long")
+
+    def value(name: str) -> Column:
+        out = common(f"{name}_0") if digits[name] else common(name)
+        for k in range(1, digits[name]):
+            out += F.shiftleft(common(f"{name}_{k}"), k)
+        return out
+
+    return united.join(rows, "word").groupBy(*keys).agg(*[F.sum(value(n)).alias(n) for n in digits])

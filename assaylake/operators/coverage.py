@@ -47,20 +47,28 @@ def mutation_ids(mutations: DataFrame, identity: list[str]) -> DataFrame:
     return global_dense_id(mutations, identity, "mutation_id")
 
 
-def mutation_coverage(mutations: DataFrame, coverage: DataFrame) -> DataFrame:
+def mutation_coverage(mutations: DataFrame, coverage: DataFrame, run: str | None = None) -> DataFrame:
     """Distinct (mutation_id, coverage_id): reports of one project and run that meet in a location.
 
-    An equi-join over exploded blocks; adaptive execution splits a hot location, as both sides are plainly shuffled.
+    An equi-join over exploded blocks; adaptive execution splits a hot location, as both sides are plainly shuffled. ``run`` is a
+    column of both that names the run and is never null; without it the run is the variant, and null variants are one run.
     """
-    run = F.coalesce("variant", F.lit("")).alias("_run")
-    left = blocks_of(mutations).select("project_id", run, *LOCATION, F.col("id").alias("mutation_id")).distinct()
-    right = coverage.select("project_id", run, *LOCATION, F.col("id").alias("coverage_id"))
-    return left.join(right, ["project_id", "_run", *LOCATION]).select("mutation_id", "coverage_id").distinct()
+    key = run or "_run"
+    named = lambda df: df if run else df.withColumn("_run", F.coalesce("variant", F.lit("")))
+    keys = ["project_id", key, *LOCATION]
+    left = blocks_of(named(mutations)).select(*keys, F.col("id").alias("mutation_id")).distinct()
+    return left.join(named(coverage).select(*keys, F.col("id").alias("coverage_id")), keys).select("mutation_id", "coverage_id").distinct()
 
 
-def covering(pairs: DataFrame, coverage: DataFrame, entity: str, extension: DataFrame, least: list[str]) -> DataFrame:
-    """(mutation_id, entity, *least): each entity that covers a mutant, with the least of its extension's values over all runs."""
-    hit = pairs.join(coverage.filter(F.col(entity).isNotNull()).select(F.col("id").alias("coverage_id"), entity), "coverage_id").select("mutation_id", entity).distinct()
+def covering(mutations: DataFrame, coverage: DataFrame, entity: str, extension: DataFrame, least: list[str]) -> DataFrame:
+    """(mutation_id, entity, *least): each entity that covers a mutation report, with the least of its extension's values over all runs.
+
+    Reports meet the coverage reports of their project and run in a location; mutation_id is the report's id. Both have
+    project_id, run and the location columns, by which stored coverage lies in buckets.
+    """
+    keys = ["project_id", "run", *LOCATION]
+    left = blocks_of(mutations).select(*keys, F.col("id").alias("mutation_id")).distinct()
+    hit = left.join(coverage.filter(F.col(entity).isNotNull()).select(*keys, entity), keys).select("mutation_id", entity).distinct()
     return hit.join(extension.groupBy(entity).agg(*[F.min(c).alias(c) for c in least]), entity).select("mutation_id", entity, *least)
 
 

@@ -260,9 +260,7 @@ class Experiment:
 
     @stored("mutation_id")
     def pairs(self) -> DataFrame:
-        """Runs without a variant are told apart by their name here."""
-        named = lambda df, c: df.withColumn("variant", F.col(c))
-        return C.mutation_coverage(named(self.mutations, "variant_name"), named(self.coverage, "run"))
+        return C.mutation_coverage(self.in_runs, self.coverage, "run")
 
     @stored("test_id")
     def test_ext(self) -> DataFrame:
@@ -273,12 +271,16 @@ class Experiment:
         return self.junit.filter("generalization_id is not null").groupBy("generalization_id").agg(F.count("*").alias("reports"), F.sum("runtime").alias("runtime"))
 
     @cached_property
+    def in_runs(self) -> DataFrame:
+        return self.mutations.withColumn("run", F.col("variant_name"))
+
+    @stored("mutation_id")
     def covering_tests(self) -> DataFrame:
-        return C.covering(self.pairs, self.coverage, "test_id", self.test_ext, ["runtime"])
+        return C.covering(self.in_runs, self.coverage, "test_id", self.test_ext, ["runtime"])
 
-    @cached_property
+    @stored("mutation_id")
     def covering_generalizations(self) -> DataFrame:
-        return C.covering(self.pairs, self.coverage, "generalization_id", self.gen_ext, ["runtime"])
+        return C.covering(self.in_runs, self.coverage, "generalization_id", self.gen_ext, ["runtime"])
 
     @cached_property
     def covering_assertions(self) -> DataFrame:
@@ -286,7 +288,7 @@ class Experiment:
 
     @stored("id")
     def extension(self) -> DataFrame:
-        return C.report_extension(self.mutations.withColumn("run", F.col("variant_name")), self.coverage, self.tests, self.assertions, self.generalizations, self.test_ext, self.gen_ext)
+        return C.report_extension(self.in_runs, self.coverage, self.tests, self.assertions, self.generalizations, self.test_ext, self.gen_ext)
 
     @stored()
     def changes(self) -> DataFrame:
