@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches by rows and bytes, so that a worker never holds many long texts at once; give the workers this package."""
+    """Bound Arrow batches by rows and bytes, so that a worker never holds many long texts at once; give the workers this package. The session keeps these two settings, as frames run later."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
