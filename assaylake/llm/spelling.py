@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import saved, table, tune
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
-LEVELS, NODE, LEAF = 12, 30_000, 8
+LEVELS, NODE, LEAF = 12, 6_000, 8
 #: Words up to this length are verified as rows of a matrix, longer ones one by one.
 WIDTH = 48
 #: Different words that a task counts, queries that descend together, pairs that are verified together.
