@@ -12,7 +12,7 @@ from functools import cached_property, wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bitmaps, failures, funnels, quality, runtimes
+from ..operators import failures, funnels, quality, runtimes
 from ..operators import coverage as C
 from ..scratch import bucketed, saved
 from ..sources.snapshot import Snapshot

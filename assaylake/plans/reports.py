@@ -10,7 +10,7 @@ from ..functions.scalars import STAGES as RUN_STAGES
 from ..functions.scalars import simple_name
 from ..operators import cohorts, coverage, evidence, failures, filter_reports, funnels, populations, quality, ranking, rates, reviews, runtimes, values
 from ..sources.tables import content_digest
-from .experiment import FAILED_AT, PAIRED, VARIANTS, chained, mart
+from .experiment import FAILED_AT, VARIANTS, chained, mart
 from .queries import SQL
 
 
