@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assaylake.functions import scalars
+from assaylake import scratch
 from assaylake.operators import bitmaps, coverage, digests, funnels, ranking
 from assaylake.plans import experiment
 from assaylake.sources import rerun, snapshot
@@ -46,6 +47,16 @@ def test_marts_read_each_given_table_once(spark, small, monkeypatch):
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_small_files_of_many_rows_are_not_broadcast(spark, small):
+    """A million sorted ids are a small file, and far more in the driver's hash table."""
+    experiment.Experiment.of(spark, small)
+    ids = scratch.bucketed(spark.range(1_000_000).select("id", (F.col("id") % 7).alias("n")), "id")
+    many = scratch.bucketed(spark.range(1_000_000).select("id", (F.col("id") % 5).alias("m"), F.rand(1).alias("x")), "id")
+    assert "BroadcastHashJoin" not in plan_of(many.join(ids, "id"))
+    few = spark.read.parquet(f"{small}/nation.parquet")
+    assert "BroadcastHashJoin" in plan_of(many.join(few, many.m == few.n_nationkey))
+
+
 def test_experiment_follows_its_files(spark, small, tmp_path):
     """The same files give the same experiment; a changed one gives a new one."""
     for n in experiment.TABLES:
