@@ -4,6 +4,7 @@ import itertools
 import random
 import time
 
+import pandas as pd
 import pytest
 from assaylake.functions import expressions as E
 from assaylake.operators import topology as T
@@ -108,3 +109,15 @@ def test_sliced_fold_equals_whole(spark, width):
     whole = fold_events(events, "k", ["seq"], ["a", "b"])
     parts = fold_events(events, "k", ["seq"], ["a", "b"], F.floor(F.col("seq") / width))
     assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, parts.collect()), key=str)
+
+
+def test_tokens_of_a_batch_are_held_in_slices(monkeypatch):
+    """A batch of many texts never has all its tokens at once; slices change no result."""
+    texts = pd.Series([f"a{i}.get(b, (c))" if i % 3 else None for i in range(300)] + ["(" * 500 + "x" + ")" * 500])
+    whole = (list(E._shapes(texts)), list(E._arguments(texts)), list(E._any_arguments(pd.Series([list(texts[:5]), None, []]))))
+    sizes, pair = [], E.paired
+    monkeypatch.setattr(E, "SLICE", 200)
+    monkeypatch.setattr(E, "paired", lambda held: sizes.append(sum(map(len, held))) or pair(held))
+    assert (list(E._shapes(texts)), list(E._arguments(texts)), list(E._any_arguments(pd.Series([list(texts[:5]), None, []])))) == whole
+    assert max(sizes) == 1001 and sorted(sizes)[-3] <= 200
+    assert len(E._shapes(pd.Series([], dtype="object"))) == 0
