@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from assaylake.functions import scalars
 from assaylake import scratch
-from assaylake.operators import bitmaps, coverage, digests, funnels, ranking
+from assaylake.operators import bitmaps, coverage, digests, filter_reports, funnels, ranking
 from assaylake.plans import experiment
 from assaylake.sources import rerun, snapshot
 
@@ -57,6 +57,29 @@ def test_small_files_of_many_rows_are_not_broadcast(spark, small):
     assert "BroadcastHashJoin" in plan_of(many.join(few, many.m == few.n_nationkey))
 
 
+def test_marts_have_buckets_by_the_size_of_the_input(spark, small, monkeypatch):
+    """A bucket holds about as many rows at any size, all marts have the same number, and readers that join nothing leave generalizations unwritten."""
+    monkeypatch.setattr(experiment, "BUCKET", 10_000)
+    e = experiment.Experiment(snapshot.Snapshot(spark, small, experiment.TABLES))
+    given = sum(os.path.getsize(f"{small}/{n}.parquet") for n in ("orders", "lineitem"))
+    assert e.buckets == -(-given // 10_000) > 8
+    for mart in (e.tests, e.lines):
+        files = {re.search(r"_(\d{5})\.", f)[1] for f in mart.inputFiles()}
+        assert 8 < len(files) <= e.buckets
+    assert rows_of(e.generated) and "generalizations" not in e.written
+    assert {r.entity_id for r in e.decisions.filter("level = 'generalization'").collect()} == {r.id for r in e.generated.collect()}
+    assert "generalizations" not in e.written
+    assert rows_of(e.generated) == rows_of(e.generalizations)
+
+
+def test_decisions_are_counted_by_one_row_an_entity(spark):
+    """Nulls, repeated entities and different decisions on one; no row is multiplied before the shuffle."""
+    rows = [("a", 1, "ACCEPT"), ("a", 1, "ACCEPT"), ("a", 1, "REJECT"), ("a", 2, "DEFER"), ("a", None, "REJECT"), ("a", 3, None), ("b", None, "ACCEPT")]
+    counts = filter_reports.decision_counts(spark.createDataFrame(rows, "k string, id long, decision string"), ["k"], "id")
+    assert rows_of(counts) == [("a", 1, 1, 1, 3), ("b", 0, 0, 0, 0)]
+    assert "Expand" not in plan_of(counts)
+
+
 def test_experiment_follows_its_files(spark, small, tmp_path):
     """The same files give the same experiment; a changed one gives a new one."""
     for n in experiment.TABLES:
