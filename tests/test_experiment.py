@@ -8,6 +8,7 @@ import re
 import statistics
 
 import pytest
+from comparing import canonical
 from pyspark.sql import functions as F
 
 from assaylake.functions import scalars
@@ -72,6 +73,23 @@ def test_marts_have_buckets_by_the_size_of_the_input(spark, small, monkeypatch):
     assert rows_of(e.generated) == rows_of(e.generalizations)
 
 
+def test_mutants_need_no_coverage_rows(spark, small, tmp_path, duck):
+    """Mutations are drawn from places: no mart of coverage or generalizations is written for them, and places with null parts have no killers, as in the SQL."""
+    for n in experiment.TABLES:
+        rows = spark.read.parquet(f"{small}/{n}.parquet")
+        if n == "lineitem":
+            rows = rows.withColumn("l_partkey", F.when(F.col("l_orderkey") % 5 != 0, F.col("l_partkey"))).withColumn("l_suppkey", F.when(F.col("l_orderkey") % 7 != 0, F.col("l_suppkey")))
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{n}.parquet")
+    e = experiment.Experiment(snapshot.Snapshot(spark, str(tmp_path), experiment.TABLES))
+    names = ["id", "project_id", "variant_name", "variant", *coverage.PLACE, "mutator", "blocks", "status", "killing_test_id", "killing_generalization_id", "is_detected"]
+    got = e.mutations.select(*names).toPandas()
+    assert {"coverage", "covered", "generalizations"}.isdisjoint(e.written)
+    sql = experiment.chained(f"SELECT {', '.join(names)} FROM reports")
+    for n in ("orders", "lineitem"):
+        sql = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 '{tmp_path}/{n}.parquet/*.parquet'", sql)
+    assert len(got) and got.class_name.isna().any() and canonical(got) == canonical(duck(sql))
+
+
 def test_decisions_are_counted_by_one_row_an_entity(spark):
     """Nulls, repeated entities and different decisions on one; no row is multiplied before the shuffle."""
     rows = [("a", 1, "ACCEPT"), ("a", 1, "ACCEPT"), ("a", 1, "REJECT"), ("a", 2, "DEFER"), ("a", None, "REJECT"), ("a", 3, None), ("b", None, "ACCEPT")]
