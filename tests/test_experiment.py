@@ -89,6 +89,7 @@ def test_mutants_need_no_coverage_rows(spark, small, tmp_path, duck):
         sql = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 '{tmp_path}/{n}.parquet/*.parquet'", sql)
     assert len(got) and got.class_name.isna().any() and canonical(got) == canonical(duck(sql))
     assert e.signals.count() and {"coverage", "covered", "generalizations"}.isdisjoint(e.written)
+    assert e.coverage.count() and "generalizations" not in e.written
 
 
 def test_decisions_are_counted_by_one_row_an_entity(spark):
