@@ -225,6 +225,15 @@ def test_unions_by_bitmaps(spark):
         bitmaps.bit_index(spark.createDataFrame([(1, -1)], "e long, w long"), "e", {}, {"w": F.col("w")})
 
 
+def test_locations_and_lists_leave_coverage_unwritten(spark, small, duck):
+    """Locations come from places, also those where only generalizations are, and a mutant's reports share one list."""
+    e = experiment.Experiment(snapshot.Snapshot(spark, small, experiment.TABLES))
+    got = experiment.enriched_mutations(e)
+    assert canonical(got.toPandas()) == canonical(duck(experiment.SQL["enriched_mutations"]))
+    assert {"coverage", "covered", "generalizations"}.isdisjoint(e.written)
+    assert rows_of(e.locations) == rows_of(coverage.locations(e.coverage, e.mutations).select(*e.locations.columns))
+
+
 def test_detection_comparison_is_the_product(spark):
     rng = random.Random(6)
     mutants = [(i, "p" if i % 3 else "q", i % 2 == 0) for i in range(12)] + [(99, "r", True)]
