@@ -234,6 +234,14 @@ def test_locations_and_lists_leave_coverage_unwritten(spark, small, duck):
     assert rows_of(e.locations) == rows_of(coverage.locations(e.coverage, e.mutations).select(*e.locations.columns))
 
 
+def test_detection_comparison_asks_its_runs_alone(spark, small, duck):
+    """Only the reports of the two compared runs meet coverage; the covering marts of all runs are not written for it."""
+    e = experiment.Experiment(snapshot.Snapshot(spark, small, experiment.TABLES))
+    got = experiment.mutation_detection_comparison(e)
+    assert canonical(got.toPandas()) == canonical(duck(experiment.SQL["mutation_detection_comparison"]))
+    assert {"covering_tests", "covering_generalizations"}.isdisjoint(e.written)
+
+
 def test_detection_comparison_is_the_product(spark):
     rng = random.Random(6)
     mutants = [(i, "p" if i % 3 else "q", i % 2 == 0) for i in range(12)] + [(99, "r", True)]
