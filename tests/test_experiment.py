@@ -242,6 +242,13 @@ def test_detection_comparison_asks_its_runs_alone(spark, small, duck):
     assert {"covering_tests", "covering_generalizations"}.isdisjoint(e.written)
 
 
+def test_view_checks_make_no_pairs(spark, small, duck):
+    e = experiment.Experiment(snapshot.Snapshot(spark, small, experiment.TABLES))
+    got = experiment.view_checks(e)
+    assert canonical(got.toPandas()) == canonical(duck(experiment.SQL["view_checks"])) and "pairs" not in e.written
+    assert rows_of(coverage.covered_reports(e.in_runs, e.coverage).distinct()) == rows_of(e.pairs.select("mutation_id").distinct())
+
+
 def test_detection_comparison_is_the_product(spark):
     rng = random.Random(6)
     mutants = [(i, "p" if i % 3 else "q", i % 2 == 0) for i in range(12)] + [(99, "r", True)]
