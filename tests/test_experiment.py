@@ -249,6 +249,29 @@ def test_view_checks_make_no_pairs(spark, small, duck):
     assert rows_of(coverage.covered_reports(e.in_runs, e.coverage).distinct()) == rows_of(e.pairs.select("mutation_id").distinct())
 
 
+def test_changes_without_killers_are_dealt_to_many_tasks(spark):
+    """Most status changes have no killing entity: they meet nothing, not even an entity whose id is their hash, and lie in no single task."""
+    keyless = spark.range(4000).selectExpr("id as a_id", "id + 5000 as b_id", "cast(null as long) as killing_generalization_id", "cast(null as long) as killing_test_id")
+    keyed = spark.createDataFrame([(-1, 1, 10, None), (-1, 2, 11, 3), (-1, 3, None, 3), (-1, 4, 99, 98)], keyless.schema)
+    hashed = keyless.filter("a_id = 7").select(F.xxhash64("a_id", "b_id")).first()[0]
+    g = spark.createDataFrame([(10, 1, 100, 5), (11, 2, 200, 6), (hashed, 2, 300, 7)], "id long, test_id long, assertion_id long, line_count long")
+    runs = spark.createDataFrame([(10, 50), (10, 60), (11, 70), (hashed, 80), (hashed, 90), (None, 1)], "generalization_id long, runtime long")
+    tests = spark.createDataFrame([(1,), (3,), (hashed,)], "id long")
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    try:
+        out = coverage.killing_entities(keyless.union(keyed), tests, g, runs)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        names = ["b_id", "killing_test_id", "killing_generalization_id", "killing_assertion_id", "killing_line_count", "killing_runtime"]
+        assert sum(sizes) == 4005 and max(sizes) < 1000
+        assert rows_of(out.filter("a_id < 0").select(*names)) == [(1, 1, 10, 100, 5, 50), (1, 1, 10, 100, 5, 60), (2, 2, 11, 200, 6, 70), (3, 3, None, None, None, None), (4, None, 99, None, None, None)]
+        assert out.filter("a_id >= 0 and coalesce(killing_test_id, killing_generalization_id, killing_assertion_id, killing_line_count, killing_runtime) is not null").count() == 0
+    finally:
+        for k in off:
+            spark.conf.unset(k)
+
+
 def test_detection_comparison_is_the_product(spark):
     rng = random.Random(6)
     mutants = [(i, "p" if i % 3 else "q", i % 2 == 0) for i in range(12)] + [(99, "r", True)]
