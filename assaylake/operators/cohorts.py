@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import excluded_by, ordered_rules, percent, simple_name, variant_name
-from .failures import markers_in
 
 LEVELS = ["1-TEST", "2-ASSERTION", "3-GENERALIZATION"]
 SHARED = "SHARED"
@@ -45,10 +44,8 @@ def filtering(decisions: DataFrame, generalizations: DataFrame, projects: DataFr
 
 
 def extraction_cause(info: Column) -> Column:
-    """What readers call an extraction failure; its text is scanned once for all markers."""
-    marks = [m for m, _ in EXTRACTION_CAUSES if not m.startswith("=")]
-    held = F.array_distinct(markers_in(info, marks))
-    rules = [(info == m[1:] if m.startswith("=") else F.array_contains(held, m), label) for m, label in EXTRACTION_CAUSES]
+    """What readers call an extraction failure, by the first marker that holds; no later one is looked for."""
+    rules = [(info == m[1:] if m.startswith("=") else info.contains(m), label) for m, label in EXTRACTION_CAUSES]
     return ordered_rules([(F.coalesce(c, F.lit(False)), label) for c, label in rules], OTHER)
 
 

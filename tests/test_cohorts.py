@@ -22,6 +22,13 @@ def test_extraction_causes(spark):
     assert dict(rows_of(cohorts.extraction_causes(tasks)))["Other failures"] == 4
 
 
+def test_extraction_markers_are_not_sought_again_for_each_rule(spark):
+    """A scan for all markers was made again by each of the rules that asked for its result."""
+    tasks = spark.createDataFrame([("FAILED", "EXECUTE_JPF", "x")], "status string, stage string, info string")
+    plan = cohorts.extraction_causes(tasks)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 1
+
+
 def test_headline_refuses_another_matrix(spark):
     rows = lambda *x: spark.createDataFrame(list(x), "project string, variant string, detected_pct double, improvement double")
     whole = [(p, v, 50.0, {"INITIAL": 0.0, "N": 1.255, "I": float(len(p))}[v]) for p in ("a", "bb") for v in ("INITIAL", "N", "I")]
