@@ -100,6 +100,14 @@ def test_decisions_are_counted_by_one_row_an_entity(spark):
     assert "Expand" not in plan_of(counts)
 
 
+def test_decisions_are_dealt_before_they_are_united(spark):
+    """Many entities with one decision each: none is aggregated where it is read, and a task holds its share."""
+    rows = spark.range(8000).selectExpr("concat('a', id % 1) as k", "id", "'ACCEPT' as decision")
+    counts = filter_reports.decision_counts(rows, ["k"], "id", 16)
+    assert rows_of(counts) == [("a0", 8000, 0, 0, 8000)]
+    assert re.search(r"hashpartitioning\(k#\d+, id#\d+L, 16\), REPARTITION_BY_NUM", plan_of(counts)) and not re.search(r"hashpartitioning\(k#\d+, id#\d+L?, \d+\), ENSURE", plan_of(counts))
+
+
 def test_experiment_follows_its_files(spark, small, tmp_path):
     """The same files give the same experiment; a changed one gives a new one."""
     for n in experiment.TABLES:
