@@ -325,3 +325,20 @@ def test_generalization_funnel(spark):
     with pytest.raises(Exception, match="reduced generalizations outside validated, such as 4"):
         funnels.generalization_funnel(rows.withColumn("reduced", F.col("reduced") | (F.col("generalization_id") == 4))).collect()
     assert funnels.generalization_funnel(rows.filter("1 = 0")).agg(F.sum("entering")).first()[0] == 0
+
+
+def test_non_passing_classes_are_dealt_to_many_tasks(spark, small, tmp_path, duck):
+    """Only tests are read; a class's rows and its long list lie in several tasks, and a writer keeps such a list once, not in each row."""
+    from assaylake.operators import rules
+    from assaylake.plans import reports
+
+    e = experiment.Experiment(snapshot.Snapshot(spark, small, experiment.TABLES))
+    assert canonical(reports.non_passing_rule(e).toPandas()) == canonical(duck(reports.SQL["non_passing_rule"])) and set(e.written) == {"tests"}
+    tests = spark.range(4000).selectExpr("id", "cast(null as string) as p", "concat('C', id % 2) as c").union(spark.range(300).selectExpr("-id", "'p'", "'C'"))
+    names = spark.range(60_000).selectExpr("'p' as p", "'C' as c", "sha2(string(id), 256) as n", "if(id % 4 = 0, 'PASSED', 'FAILED') as result").union(spark.createDataFrame([("p", "D", None, "FAILED"), ("p", "C", "a", None)], "p string, c string, n string, result string"))
+    out = rules.non_passing(tests, names, ["p", "c"], "n", 16)
+    assert out.select("id", "p", "c").subtract(tests).count() == 0 and out.count() == 4300
+    held = out.filter("decision = 'REJECT'").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.max(F.length("failing")).alias("length")).collect()
+    assert sum(r.n for r in held) == 300 and max(r.n for r in held) < 150 and {r.length for r in held} == {66 * 45_000 - 2}
+    out.write.parquet(f"{tmp_path}/out")
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 60 << 20 and spark.read.parquet(f"{tmp_path}/out").agg(F.sum(F.length("failing"))).first()[0] == 300 * (66 * 45_000 - 2)
