@@ -342,3 +342,45 @@ def test_non_passing_classes_are_dealt_to_many_tasks(spark, small, tmp_path, duc
     assert sum(r.n for r in held) == 300 and max(r.n for r in held) < 150 and {r.length for r in held} == {66 * 45_000 - 2}
     out.write.parquet(f"{tmp_path}/out")
     assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 60 << 20 and spark.read.parquet(f"{tmp_path}/out").agg(F.sum(F.length("failing"))).first()[0] == 300 * (66 * 45_000 - 2)
+
+
+@pytest.fixture(scope="module")
+def odd(spark, small, tmp_path_factory):
+    """An experiment over tables with null parts of places, null figures and repeated rows, and the SQL over the same tables."""
+    base, e = tmp_path_factory.mktemp("odd"), {}
+    for kind in ("nulls", "repeated"):
+        for n in experiment.TABLES:
+            rows = spark.read.parquet(f"{small}/{n}.parquet")
+            if n == "lineitem" and kind == "nulls":
+                for c, k in (("l_partkey", 5), ("l_suppkey", 7), ("l_quantity", 3), ("l_returnflag", 4)):
+                    rows = rows.withColumn(c, F.when((F.col("l_orderkey") + F.col("l_linenumber")) % k != 0, F.col(c)))
+            if n == "orders" and kind == "nulls":
+                rows = rows.withColumn("o_custkey", F.when(F.col("o_orderkey") % 13 != 0, F.col("o_custkey"))).withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderstatus")))
+            if n in ("orders", "lineitem"):
+                rows = rows.union(rows.filter(f"{'o' if n == 'orders' else 'l'}_orderkey % 17 = 0")) if (kind, n) != ("nulls", "orders") else rows
+            rows.coalesce(1).write.parquet(f"{base}/{kind}/{n}.parquet")
+        e[kind] = experiment.Experiment(snapshot.Snapshot(spark, f"{base}/{kind}", experiment.TABLES))
+    there = lambda sql, kind: re.sub(rf"\b(FROM|JOIN) ({'|'.join(experiment.TABLES)})\b", rf"\1 '{base}/{kind}/\2.parquet/*.parquet'", sql)
+    return e, lambda name, kind: there(experiment.SQL[name], kind)
+
+
+def same_as_sql(name, odd, duck, kinds=("nulls", "repeated")):
+    """The query over new experiments of the odd tables equals its SQL there; what it wrote."""
+    experiments, sql = odd
+    for kind in kinds:
+        e = experiment.Experiment(experiments[kind].snapshot)
+        got = canonical(getattr(experiment, name)(e).toPandas())
+        assert len(got[1]) and got == canonical(duck(sql(name, kind)))
+    return set(e.written), e
+
+
+#: What reports and footprints are made of.
+PARTS = {"tests", "lines", "assertions", "met"}
+
+
+def test_covering_tests_meet_reports_by_places(spark, odd, duck):
+    """Neither coverage, mutations nor pairs are written, and pairs leave the join of places as they are."""
+    written, e = same_as_sql("covering_tests", odd, duck)
+    assert written == PARTS | {"test_ext"}
+    whole = plan_of(e.covering_tests)
+    assert "Exchange" not in whole[: whole.index("ShuffledHashJoin")]
