@@ -384,3 +384,11 @@ def test_covering_tests_meet_reports_by_places(spark, odd, duck):
     assert written == PARTS | {"test_ext"}
     whole = plan_of(e.covering_tests)
     assert "Exchange" not in whole[: whole.index("ShuffledHashJoin")]
+
+
+def test_covering_assertions_travel_as_lists(spark, odd, duck):
+    """A test's assertions are one list in its footprint: no pair of report and assertion is shuffled, sorted or made different."""
+    written, e = same_as_sql("covering_assertions", odd, duck)
+    assert written == PARTS | {"test_ext"}
+    whole = plan_of(e.covering_assertions)
+    assert not re.search("Exchange|Aggregate|Sort ", whole[: whole.index("ShuffledHashJoin")])
