@@ -392,3 +392,11 @@ def test_covering_assertions_travel_as_lists(spark, odd, duck):
     assert written == PARTS | {"test_ext"}
     whole = plan_of(e.covering_assertions)
     assert not re.search("Exchange|Aggregate|Sort ", whole[: whole.index("ShuffledHashJoin")])
+
+
+def test_coverage_pairs_are_not_written(spark, odd, duck):
+    """Ids are made where reports and coverage meet; nothing but the parts is written, and pairs are not shuffled."""
+    written, e = same_as_sql("mutation_coverage_pairs", odd, duck)
+    assert written == PARTS
+    whole = plan_of(e.pairs)
+    assert not re.search("Exchange|Aggregate|Sort ", whole[: whole.index("ShuffledHashJoin")])
