@@ -397,6 +397,13 @@ def test_covering_assertions_travel_as_lists(spark, odd, duck):
 def test_coverage_pairs_are_not_written(spark, odd, duck):
     """Ids are made where reports and coverage meet; nothing but the parts is written, and pairs are not shuffled."""
     written, e = same_as_sql("mutation_coverage_pairs", odd, duck)
-    assert written == PARTS
+    assert written == PARTS - {"tests"}
     whole = plan_of(e.pairs)
     assert not re.search("Exchange|Aggregate|Sort ", whole[: whole.index("ShuffledHashJoin")])
+
+
+def test_comparison_keeps_no_pairs(spark, odd, duck):
+    """Weights are found and values counted where places meet: neither pairs, nor coverage, generalizations or mutations are written, and lists hold sizes alone."""
+    written, e = same_as_sql("mutation_detection_comparison", odd, duck)
+    assert written == PARTS | {"test_ext"}
+    assert e.asserting_footprints("model_size").columns == ["project_id", "cls", "m", "blocks", "runtime", "model_size"]
