@@ -402,6 +402,16 @@ def test_coverage_pairs_are_not_written(spark, odd, duck):
     assert not re.search("Exchange|Aggregate|Sort ", whole[: whole.index("ShuffledHashJoin")])
 
 
+def test_extension_sums_footprints_that_are_alike(spark, odd, duck):
+    """Neither coverage nor mutations are written for it; reports without coverage and with null parts stay; repeated tests count as in the SQL, their assertions once."""
+    written, _ = same_as_sql("mutation_report_extension", odd, duck)
+    assert written == PARTS | {"test_ext"}
+    sites = spark.createDataFrame([(1, [0], 10), (1, [0, 1], 11), (2, [5], 12), (None, None, 13)], "p int, blocks array<int>, id long")
+    feet = spark.createDataFrame([(1, [0], 3), (1, [0, 1], 4), (1, [1], 5), (1, [0], None), (2, [0], 9), (None, [1], 7)], "p int, blocks array<int>, w long")
+    assert rows_of(coverage.covered_sums(sites, feet, ["p"], ["w"]).select("id", "w")) == [(10, 7), (11, 12), (12, 0), (13, 0)]
+    assert rows_of(coverage.covering(sites, feet, ["p"]).select("mutation_id", "w")) == [(10, 3), (10, 4), (10, None), (11, 3), (11, 4), (11, 5), (11, None)]
+
+
 def test_comparison_keeps_no_pairs(spark, odd, duck):
     """Weights are found and values counted where places meet: neither pairs, nor coverage, generalizations or mutations are written, and lists hold sizes alone."""
     written, e = same_as_sql("mutation_detection_comparison", odd, duck)
