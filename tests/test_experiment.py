@@ -417,3 +417,9 @@ def test_comparison_keeps_no_pairs(spark, odd, duck):
     written, e = same_as_sql("mutation_detection_comparison", odd, duck)
     assert written == PARTS | {"test_ext"}
     assert e.asserting_footprints("model_size").columns == ["project_id", "cls", "m", "blocks", "runtime", "model_size"]
+
+
+def test_view_checks_ask_shared_parts_once(spark, odd, duck):
+    """Coverage is asked by its places and reports by their mutants; no mart of coverage or generalizations is written, and places with null parts have locations."""
+    written, _ = same_as_sql("view_checks", odd, duck)
+    assert written == PARTS | {"test_ext", "mutations", "locations"}
